@@ -1,0 +1,113 @@
+"""Streaming operators: run over all available rows, written out and read back."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from folioflow import fixtures as X
+from folioflow.catalog.base import ORACLES, query
+from folioflow.catalog.frames import KEY, ORDER
+from folioflow.operators import windows as W
+from folioflow.session import scratch_path
+from folioflow.streaming import streams as T
+
+SG = X.SIGNAL_SQL
+
+
+def _feed(spark, df, name, parts=4, order=None):
+    """Write a table as the files of a stream source, oldest rows first, and open the stream."""
+    path = scratch_path(spark, name)
+    if order:
+        df = df.repartitionByRange(parts, *order)
+    df.write.parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
+
+
+def _finish(spark, stream, name, mode="append"):
+    path = scratch_path(spark, name)
+    T.run_available(stream, path, mode=mode, checkpoint=scratch_path(spark, name + "-checkpoint"))
+    return spark.read.parquet(path)
+
+
+@query("t1_stream_dedupe", ORACLES["q1_dedupe_frames"])
+def t1(spark, d):
+    T.use_rocksdb(spark)
+    frames = X.micro_frames(spark, d).select(*KEY, *ORDER, "px", "width", "height")
+    stream = _feed(spark, frames, "frames", order=ORDER)
+    out = T.stream_dedupe(stream, KEY, ORDER, layout="full_scroll", static=0.20, structure=0.0, min_side=0, blur=False)
+    return _finish(spark, out, "t1").select(*KEY, *ORDER)
+
+
+@query(
+    "t2_stream_sample",
+    f"""WITH {SG}, a AS (SELECT source_id, epoch_us(ts) AS us, event_id FROM sg), m AS (SELECT max(us) // 1000 * 1000 - 3600000000 AS wm FROM a),
+s AS (SELECT source_id, us // 21600000000 * 21600000000 AS slot, arg_min(event_id, ROW(us, event_id)) AS event_id, min(us) AS first_us FROM a GROUP BY ALL)
+SELECT source_id, slot AS slot_start, event_id, first_us FROM s, m WHERE slot + 21600000000 <= wm""",
+)
+def t2(spark, d):
+    T.use_rocksdb(spark)
+    rows = X.signal(spark, d).select("source_id", "ts", "event_id")
+    out = T.stream_sample(_feed(spark, rows, "signal", 1), ["source_id"], slot="6 hours", delay="1 hour", tie=["event_id"])
+    back = _finish(spark, out, "t2")
+    return back.select("source_id", F.unix_micros("slot_start").alias("slot_start"), "event_id", F.unix_micros("ts").alias("first_us"))
+
+
+BURST = """b AS (SELECT source_id, ts, event_id, lead(ts) OVER (PARTITION BY source_id ORDER BY ts, event_id) AS nxt FROM sg)"""
+
+
+@query(
+    "t3_debounce_latest",
+    f"""WITH {SG}, {BURST}, k AS (SELECT source_id, ts, event_id FROM b WHERE nxt IS NULL OR nxt >= ts + INTERVAL 6 HOUR)
+SELECT source_id, event_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY ts, event_id) - 1 AS INTEGER) AS burst FROM k""",
+)
+def t3(spark, d):
+    rows = X.signal(spark, d).select("source_id", "ts", "event_id")
+    gap = F.expr("interval 6 hours")
+    return W.debounce_latest(rows, ["source_id"], tie="event_id", gap=gap).select("source_id", "event_id", "burst")
+
+
+@query(
+    "t3_stream_debounce",
+    f"""WITH {SG}, {BURST}, m AS (SELECT max(epoch_us(ts)) // 1000 * 1000 - 3600000000 AS wm FROM sg)
+SELECT source_id, event_id, epoch_us(ts) AS last_us FROM b, m WHERE (nxt IS NULL OR nxt >= ts + INTERVAL 6 HOUR) AND epoch_us(ts) + 21600000000 <= wm""",
+)
+def t3b(spark, d):
+    T.use_rocksdb(spark)
+    rows = X.signal(spark, d).select("source_id", "ts", "event_id")
+    out = T.stream_debounce(_feed(spark, rows, "requests", 1), ["source_id"], gap="6 hours", delay="1 hour", tie="event_id")
+    return _finish(spark, out, "t3").select("source_id", "event_id", F.unix_micros("ts").alias("last_us"))
+
+
+_FIELDS = ("progress", "current_step", "message", "error_code")
+
+
+@query("t4_stream_current_jobs", ORACLES["w7_current_jobs"])
+def t4(spark, d):
+    T.use_rocksdb(spark)
+    stream = _feed(spark, X.job_patches(spark, d), "patches", order=["ts", "seq"])
+    back = _finish(spark, T.stream_current_jobs(stream, fields=_FIELDS), "t4", mode="update")
+    out = T.latest_batch_rows(back, ["job_id"], ["status", "updated_at", *_FIELDS])
+    return out.withColumn("updated_at", F.unix_micros("updated_at"))
+
+
+@query(
+    "t4_stream_transitions",
+    f"""WITH {X.JOB_PATCHES_SQL} SELECT job_id, min(seq) AS seq, arg_min(status, seq) AS status FROM (SELECT job_id, seq, status, row_number() OVER (PARTITION BY job_id ORDER BY ts, seq) AS n FROM jp WHERE status IN ('done','error')) WHERE n = 1 GROUP BY job_id""",
+)
+def t4b(spark, d):
+    T.use_rocksdb(spark)
+    stream = _feed(spark, X.job_patches(spark, d), "patches", order=["ts", "seq"])
+    return _finish(spark, T.stream_transitions(stream), "t4-final").select("job_id", "seq", "status")
+
+
+@query(
+    "t5_stream_recover",
+    f"""WITH {X.JOB_PATCHES_SQL}, b AS (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, seq) AS nxt FROM jp), m AS (SELECT max(epoch_us(ts)) // 1000 * 1000 - 3600000000 AS wm FROM jp)
+SELECT job_id, epoch_us(ts) AS updated_us, 'error' AS status, 'RECOVERED_AFTER_RESTART' AS error_code FROM b, m
+WHERE (nxt IS NULL OR nxt >= ts + INTERVAL 24 HOUR) AND status IN ('queued','running') AND epoch_us(ts) + 86400000000 <= wm""",
+)
+def t5b(spark, d):
+    T.use_rocksdb(spark)
+    out = T.stream_recover(_feed(spark, X.job_patches(spark, d), "patches", 1), stale_after="24 hours", delay="1 hour")
+    back = _finish(spark, out, "t5")
+    return back.select("job_id", F.unix_micros("updated_at").alias("updated_us"), "status", "error_code")

@@ -340,8 +340,8 @@ def slice_by_whitespace(
     )
     # Staged: one row per page, read again for the neighbours and for the tail.
     ends = stage(walked.filter(F.size("cuts") > 0).select(*key, "_h", "_target", "_w", F.explode("cuts").alias("y_end")))
-    pages = Ordered(ends, key, ["y_end"], small=small).neighbour("_from", F.col("y_end")).position("page_index").result()
-    pages = pages.withColumn("y_start", F.coalesce("_from", F.lit(0)))
+    pages = Ordered(ends, key, ["y_end"], small=small).neighbour("_above", F.col("y_end")).position("page_index").result()
+    pages = pages.withColumn("y_start", F.coalesce("_above", F.lit(0)))
     return merge_short_tail(
         pages, key, target=F.col("_target"), mode=mode, ratio=ratio, width=F.col("_w"), height=F.col("_h")
     )
