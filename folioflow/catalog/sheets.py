@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioflow import fixtures as X
 from folioflow.catalog.base import query, r10, r10s, r6, r6s
 from folioflow.operators import pagination as P
-from folioflow.runs import Ordered
+from folioflow.runs import Ordered, fits
 
 KEY = ["sheet_id"]
 SP = X.sheet_profile_sql()
@@ -17,9 +17,10 @@ BANDS = """act AS (SELECT t.sheet_id, t.y, y - row_number() OVER (PARTITION BY t
 bands AS (SELECT sheet_id, CAST(min(y) AS INTEGER) AS band_start, CAST(max(y) + 1 AS INTEGER) AS band_end FROM act GROUP BY sheet_id, isl HAVING count(*) >= {m})"""
 
 
-def _bands(profile, min_len):
-    cuts = P.density_quantiles(profile, KEY, {"p72": 0.72}).withColumn("cut", P.band_threshold(F.col("p72")))
-    return P.active_bands(profile.join(cuts, KEY), KEY, threshold=F.col("cut"), min_len=F.lit(min_len))
+def _bands(profile, min_len, small=None):
+    small = fits(profile, KEY) if small is None else small
+    cuts = P.density_quantiles(profile, KEY, {"p72": 0.72}, small=small).withColumn("cut", P.band_threshold(F.col("p72")))
+    return P.active_bands(profile.join(cuts, KEY), KEY, threshold=F.col("cut"), min_len=F.lit(min_len), small=small)
 
 
 @query(
@@ -97,8 +98,9 @@ ranges AS (SELECT sheet_id, CAST(pg AS INTEGER) AS range_no, CAST(min(cs) AS INT
 
 def _ranges(prof, min_len=9):
     sheets = prof.groupBy("sheet_id").agg((F.max("y") + 1).alias("h"))
-    bands = _bands(prof, min_len).join(sheets, KEY)
-    return P.pack_bands(bands, KEY, height=F.col("h"), target=F.lit(700)), sheets
+    small = fits(prof, KEY)
+    bands = _bands(prof, min_len, small).join(sheets, KEY)
+    return P.pack_bands(bands, KEY, height=F.col("h"), target=F.lit(700), small=small), sheets
 
 
 @query("q7_pack_bands", f"""WITH RECURSIVE {SP}, {QUANT.format(t="sp")}, {BANDS.format(t="sp", m=9)}, {PACK} SELECT * FROM ranges""")

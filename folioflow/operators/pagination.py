@@ -53,7 +53,7 @@ def page_scale(height: Column, width: Column, ratio: float = C.PAGE_RATIO) -> Co
 
 
 def density_quantiles(
-    profile: DataFrame, key: Sequence[str], probs: dict[str, float], *, value: str = "density"
+    profile: DataFrame, key: Sequence[str], probs: dict[str, float], *, value: str = "density", small: bool | None = None
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key, one column per entry of ``probs``.
 
@@ -62,7 +62,7 @@ def density_quantiles(
     """
     key = list(key)
     counts = profile.groupBy(*key, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = Ordered(counts, key, [value]).running("_cum", F.col("_n")).result()
+    ranked = Ordered(counts, key, [value], small=small).running("_cum", F.col("_n")).result()
     totals = counts.groupBy(*key).agg((F.sum("_n") - 1).alias("_last"))
     ranked = ranked.join(totals, key)
     picks = {}
@@ -88,12 +88,19 @@ def blank_threshold(p28: Column) -> Column:
 
 
 def active_bands(
-    profile: DataFrame, key: Sequence[str], *, threshold: Column, min_len: Column, y: str = "y", density: str = "density"
+    profile: DataFrame,
+    key: Sequence[str],
+    *,
+    threshold: Column,
+    min_len: Column,
+    y: str = "y",
+    density: str = "density",
+    small: bool | None = None,
 ) -> DataFrame:
     """(key, band_start, band_end): maximal half-open runs of rows above the threshold."""
     key = list(key)
     active = profile.filter(F.col(density) > threshold).withColumn("_min", min_len)
-    placed = Ordered(active, key, [y]).position("_pos").result()
+    placed = Ordered(active, key, [y], small=small).position("_pos").result()
     bands = placed.groupBy(*key, (F.col(y) - F.col("_pos")).alias("_island")).agg(
         F.min(y).alias("band_start"), (F.max(y) + 1).alias("band_end"), F.max("_min").alias("_min")
     )
@@ -126,9 +133,9 @@ def boundary_score(
     )
 
 
-def page_gaps(pages: DataFrame, key: Sequence[str], *, max_gap: Column) -> DataFrame:
+def page_gaps(pages: DataFrame, key: Sequence[str], *, max_gap: Column, small: bool | None = None) -> DataFrame:
     """(key, has_gap): does any page start more than ``max_gap`` rows after the one before ends?"""
-    rows = Ordered(pages.withColumn("_max", max_gap), key, ["y_start", "y_end"])
+    rows = Ordered(pages.withColumn("_max", max_gap), key, ["y_start", "y_end"], small=small)
     rows = rows.neighbour("_next", F.col("y_start"), 1).result()
     wide = F.coalesce(F.col("_next") - F.col("y_end") > F.col("_max"), F.lit(False))
     return rows.groupBy(*key).agg(F.bool_or(wide).alias("has_gap"))
@@ -151,7 +158,15 @@ class Pack(Fold):
         return (s, e), (True,)
 
 
-def pack_bands(bands: DataFrame, key: Sequence[str], *, height: Column, target: Column, mode: str = "performance") -> DataFrame:
+def pack_bands(
+    bands: DataFrame,
+    key: Sequence[str],
+    *,
+    height: Column,
+    target: Column,
+    mode: str = "performance",
+    small: bool | None = None,
+) -> DataFrame:
     """(key, range_no, y_start, y_end): padded bands packed greedily into page ranges."""
     key = list(key)
     mode, p = _mode(mode)
@@ -165,7 +180,7 @@ def pack_bands(bands: DataFrame, key: Sequence[str], *, height: Column, target:
             "_under": _int(target * p["underfill"]),
         }
     )
-    small = fits(rows, key)
+    small = fits(rows, key) if small is None else small
     packed = ordered_fold(rows, key, ["band_start"], Pack(), small=small)
     packed = Ordered(packed, key, ["band_start"], small=small).running("range_no", F.col("new_page").cast("int")).result()
     return packed.groupBy(*key, (F.col("range_no") - 1).cast("int").alias("range_no")).agg(
@@ -187,12 +202,14 @@ class Separate(Fold):
         return cut, (cut,)
 
 
-def resolve_overlaps(ranges: DataFrame, profile: DataFrame, key: Sequence[str], *, height: Column) -> DataFrame:
+def resolve_overlaps(
+    ranges: DataFrame, profile: DataFrame, key: Sequence[str], *, height: Column, small: bool | None = None
+) -> DataFrame:
     """(key, range_no, y_start, y_end) made disjoint: overlapping neighbours part at the least dense row."""
     key = list(key)
     rows = ranges.withColumns({"y_start": F.greatest(F.lit(0), "y_start"), "y_end": _int(F.least(height, F.col("y_end")))})
     rows = rows.filter("y_end > y_start").select(*key, "range_no", "y_start", "y_end")
-    small = fits(rows, key)
+    small = fits(rows, key) if small is None else small
     rows = stage(Ordered(rows, key, ["range_no"], small=small).neighbour("_before", F.col("y_end")).result())
     shared = rows.filter("y_start < _before").select(
         *key, "range_no", F.explode(F.sequence("y_start", F.col("_before") - 1)).alias("y")
@@ -238,6 +255,7 @@ class Slice(Fold):
         start, seen, due = state
         seen.append(density)
         if due is None:
+            start = y  # 0, or the first row of a run whose true start is not known yet
             min_h, _, _, hi = self._bounds(start, h, target)
             due = min(h - 1, max(hi, start + min_h) + C.SEAM_RADIUS)
         cuts = None
@@ -322,6 +340,7 @@ def slice_by_whitespace(
     mode: str = "performance",
     width: Column | None = None,
     ratio: float | None = None,
+    small: bool | None = None,
 ) -> DataFrame:
     """(key, page_index, y_start, y_end): pages near the target height, cut at whitespace.
 
@@ -332,9 +351,9 @@ def slice_by_whitespace(
     facts = rows.groupBy(*key).agg(
         _int(F.max("y") + 1).alias("_h"), F.max("_target").alias("_target"), F.max("_w").alias("_w")
     )
-    blanks = density_quantiles(profile, key, {"_p28": 0.28}).withColumn("_blank", blank_threshold(F.col("_p28")))
+    small = fits(profile, key) if small is None else small
+    blanks = density_quantiles(profile, key, {"_p28": 0.28}, small=small).withColumn("_blank", blank_threshold(F.col("_p28")))
     facts = facts.join(blanks.drop("_p28"), key)
-    small = fits(profile, key)
     walked = ordered_fold(
         rows.select(*key, "y", "density").join(facts, key), key, ["y"], Slice(mode), small=small
     )
@@ -420,20 +439,24 @@ def split_pages(
     tall = sheets.filter(scale < p["single"])
 
     body = profile.select(*key, "y", "density").join(tall, key)
-    # Thresholds, bands and ranges are small next to the profile and read several times: staged.
-    cuts = stage(density_quantiles(body, key, {"_p72": 0.72}).withColumn("_cut", band_threshold(F.col("_p72"))))
+    # Distinct densities, bands, ranges and pages of a sheet are never more than its rows: one count serves all.
+    small = fits(profile, key)
+    cuts = density_quantiles(body, key, {"_p72": 0.72}, small=small).withColumn("_cut", band_threshold(F.col("_p72")))
     bands = active_bands(
         body.join(cuts, key),
         key,
         threshold=F.col("_cut"),
         min_len=F.greatest(F.lit(6), _int(F.col("height") * 0.004)),
+        small=small,
     )
-    banded = stage(bands).join(tall, key)
-    ranges = stage(pack_bands(banded, key, height=F.col("height"), target=F.col("_target"), mode=mode))
-    ranges = stage(resolve_overlaps(ranges.join(tall, key), body, key, height=F.col("height"))).join(tall, key)
+    banded = bands.join(tall, key)
+    ranges = pack_bands(banded, key, height=F.col("height"), target=F.col("_target"), mode=mode, small=small)
+    ranges = resolve_overlaps(ranges.join(tall, key), body, key, height=F.col("height"), small=small)
+    # Staged: a few rows per sheet, read by every check below.
+    ranges = stage(ranges.join(tall, key))
 
     gap = F.greatest(F.lit(6), _int(F.col("_target") * 0.004))
-    checks = page_gaps(ranges, key, max_gap=gap)
+    checks = page_gaps(ranges, key, max_gap=gap, small=small)
     oversize = F.col("y_end") - F.col("y_start") > _int(F.col("_target") * C.OVERSIZE)
     alone = ranges.groupBy(*key).agg(
         F.count(F.lit(1)).alias("_n"),
@@ -441,7 +464,7 @@ def split_pages(
         F.max(page_scale(F.col("y_end") - F.col("y_start"), F.col("width"), ratio)).alias("_scale"),
     )
     lone = (F.col("_n") == 1) & ~F.col("_over") & (F.col("_scale") < p["single"])
-    verdict = stage(checks.join(alone, key).withColumn("_whole", F.col("has_gap") | lone).select(*key, "_whole"))
+    verdict = checks.join(alone, key).withColumn("_whole", F.col("has_gap") | lone).select(*key, "_whole")
 
     good = ranges.join(verdict.filter(~F.col("_whole")).select(*key), key, "left_semi")
     kept = good.filter(~oversize).select(*key, "y_start", "y_end")
@@ -453,11 +476,11 @@ def split_pages(
     pieces = profile.select(*key, "y", "density").join(wanted, [*key, "y"]).withColumn("y", F.col("y") - F.col("_from"))
     pieces = stage(pieces)
     sliced = slice_by_whitespace(
-        pieces, [*key, "_from"], target=F.col("_target"), mode=mode, width=F.col("width"), ratio=ratio
+        pieces, [*key, "_from"], target=F.col("_target"), mode=mode, width=F.col("width"), ratio=ratio, small=small
     )
     sliced = sliced.select(*key, (F.col("y_start") + F.col("_from")).alias("y_start"), (F.col("y_end") + F.col("_from")).alias("y_end"))
     pages = single.select(*key, F.lit(0).alias("y_start"), F.col("height").alias("y_end")).unionByName(kept).unionByName(sliced)
-    return Ordered(pages, key, ["y_start"]).position("page_index").result().select(*key, "page_index", "y_start", "y_end")
+    return Ordered(pages, key, ["y_start"], small=small).position("page_index").result().select(*key, "page_index", "y_start", "y_end")
 
 
 def frame_pages(pages: DataFrame, key: Sequence[str], *, ratio: float = C.PAGE_RATIO) -> DataFrame:
