@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folioflow import constants as C
 from folioflow import fixtures as X
 from folioflow.catalog.base import query, r10, r10s, r6, r6s
 from folioflow.operators import pagination as P
@@ -131,16 +132,60 @@ def q8(spark, d):
     return P.resolve_overlaps(wide, prof, KEY, height=F.col("h"))
 
 
-@query("q9_slice_by_whitespace")
+def _slice_sql(target: int, mode: str) -> str:
+    """Whitespace slicing as a recursive walk over per-sheet density lists (dn), with seam means (sm)."""
+    p = C.PAGINATION[mode]
+    min_h = max(180, int(target * p["min_page"]))
+    back, ahead, close = int(target * p["back"]), int(target * p["forward"]), int(target * 0.09)
+    tail = max(84, int(target * p["tail"]))
+    hard, soft = int(target * p["tail_hard"]), int(target * p["tail_soft"])
+    lit = lambda v: f"{v!r}::DOUBLE"
+    early = "list_position(bk, list_min(bk)) - 1"
+    near = "nr"
+    if mode == "performance":
+        early = f"coalesce(list_max(list_filter(range(0, len(bk)), lambda i: bk[i + 1] <= b * 0.96::DOUBLE)), {early})"
+        near = f"CASE WHEN len(list_filter(nr, lambda y: y >= greatest(s + {min_h}, hd - {close}))) > 0 THEN list_filter(nr, lambda y: y >= greatest(s + {min_h}, hd - {close})) ELSE nr END"
+    return f"""WITH RECURSIVE {SP}, {QUANT.format(t="sp")},
+sd AS (SELECT sheet_id, y, density, avg(density) OVER (PARTITION BY sheet_id ORDER BY y ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING) AS sm FROM sp),
+ls AS (SELECT sheet_id, CAST(count(*) AS INTEGER) AS h, list(density ORDER BY y) AS dn, list(sm ORDER BY y) AS sm, greatest(0.0025::DOUBLE, least(0.018::DOUBLE, any_value(p28) * 1.35::DOUBLE)) AS b FROM sd JOIN qt USING (sheet_id) GROUP BY sheet_id),
+wk AS (SELECT sheet_id, 0 AS s, 0 AS e FROM ls
+  UNION ALL
+  SELECT w.sheet_id, w.e AS s, CASE WHEN f.hd >= h THEN h ELSE CAST(z.cut AS INTEGER) END AS e FROM (SELECT * FROM wk) w JOIN ls USING (sheet_id),
+  LATERAL (SELECT w.e AS s, least(h, w.e + {target}) AS hd) f,
+  LATERAL (SELECT greatest(f.s + {min_h}, hd - {back}) AS lo, least(h - 1, hd + {ahead}) AS hi) g,
+  LATERAL (SELECT dn[lo + 1 : hd] AS bk, dn[hd + 1 : hi + 1] AS fw) i,
+  LATERAL (SELECT lo + {early} AS early) j,
+  LATERAL (SELECT CASE WHEN hd > lo AND (dn[early + 1] <= b * {lit(p["back_blank"])} OR dn[early + 1] < dn[hd] * {lit(p["back_ratio"])}) THEN early ELSE hd END AS c1) k,
+  LATERAL (SELECT hd + list_position(fw, list_min(fw)) - 1 AS late) l,
+  LATERAL (SELECT CASE WHEN (c1 - f.s < {min_h} OR dn[c1] > b * 1.25::DOUBLE) AND hi > hd AND dn[late + 1] <= dn[c1] * 0.94::DOUBLE THEN late ELSE c1 END AS c2) m,
+  LATERAL (SELECT least(greatest(c2, f.s + {min_h}), h) AS c3) n,
+  LATERAL (SELECT list_filter(range(lo, hi + 1), lambda y: dn[y + 1] <= b) AS nr) o,
+  LATERAL (SELECT {near.replace("s +", "f.s +")} AS nq) q,
+  LATERAL (SELECT list_transform(nq, lambda y: abs(y - hd)) AS far) r,
+  LATERAL (SELECT nq[list_position(far, list_min(far))] AS pick) t,
+  LATERAL (SELECT CASE WHEN dn[c3] > b * 1.12::DOUBLE AND len(nr) > 0 AND pick - f.s >= {max(96, int(min_h * 0.42))} THEN pick ELSE c3 END AS c4) u,
+  LATERAL (SELECT list_transform(range(greatest(f.s + {min_h}, lo), hi + 1), lambda y: sm[y + 1] + abs(y - hd) * 0.00018::DOUBLE) AS sc) v,
+  LATERAL (SELECT CASE WHEN c4 - f.s < {min_h} OR sm[c4 + 1] <= 0.0105 OR hi <= greatest(f.s + {min_h}, lo) THEN c4
+     WHEN list_min(sc) < sm[c4 + 1] + abs(c4 - hd) * 0.00018::DOUBLE AND list_min(sc) < sm[c4 + 1] * 0.92::DOUBLE THEN greatest(f.s + {min_h}, lo) + list_position(sc, list_min(sc)) - 1 ELSE c4 END AS cut) z
+  WHERE w.e < h),
+pgs AS (SELECT sheet_id, h, CAST(row_number() OVER (PARTITION BY sheet_id ORDER BY e) - 1 AS INTEGER) AS page_index, s AS y_start, e AS y_end FROM wk JOIN ls USING (sheet_id) WHERE e > 0),
+n AS (SELECT sheet_id, max(page_index) AS last FROM pgs GROUP BY sheet_id),
+up AS (SELECT p.sheet_id, p.page_index, p.y_start AS ts, true AS go, h FROM pgs p JOIN n ON n.sheet_id = p.sheet_id AND page_index = last
+  UNION ALL
+  SELECT p.sheet_id, p.page_index, CASE WHEN x.ok THEN p.y_start ELSE u.ts END, x.ok, u.h FROM up u JOIN pgs p ON p.sheet_id = u.sheet_id AND p.page_index = u.page_index - 1,
+  LATERAL (SELECT u.go AND u.h - u.ts < {tail} AND (u.h - p.y_start <= {hard} OR (u.h - u.ts <= {int(tail * 0.62)} AND u.h - p.y_start <= {soft})) AS ok) x),
+tl AS (SELECT sheet_id, min(ts) AS ts FROM up GROUP BY sheet_id)
+SELECT sheet_id, page_index, y_start, CASE WHEN y_start = ts THEN h ELSE y_end END AS y_end FROM pgs JOIN tl USING (sheet_id) WHERE y_start <= ts"""
+
+
+@query("q9_slice_by_whitespace", _slice_sql(600, "performance"))
 def q9(spark, d):
-    prof = X.sheet_profile(spark, d)
-    return P.slice_by_whitespace(prof, KEY, target=F.lit(600), mode="performance")
+    return P.slice_by_whitespace(X.sheet_profile(spark, d), KEY, target=F.lit(600), mode="performance")
 
 
-@query("q9_slice_balanced")
+@query("q9_slice_balanced", _slice_sql(500, "balanced"))
 def q9b(spark, d):
-    prof = X.sheet_profile(spark, d)
-    return P.slice_by_whitespace(prof, KEY, target=F.lit(500), mode="balanced", width=F.lit(400), ratio=0.7071)
+    return P.slice_by_whitespace(X.sheet_profile(spark, d), KEY, target=F.lit(500), mode="balanced")
 
 
 # Sheets cut every 300 + 31 * sheet rows; the tail joins the page before while it is short.

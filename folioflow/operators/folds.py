@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from folioflow import constants as C
 from folioflow import kernels as K
 from folioflow.arrow import map_rows
-from folioflow.operators.frames import consecutive_pairs
+from folioflow.operators.frames import consecutive_pairs, unpack
 from folioflow.runs import Fold, Ordered, fits, ordered_fold
 from folioflow.session import stage
 
@@ -358,7 +358,8 @@ def compose_rows(
         return F.when(o > 0, F.least(size, F.col("height"))).otherwise(F.lit(0))
 
     steps = steps.withColumns({"_seam": rows_of("overlap"), "_next_seam": F.coalesce(rows_of("next_overlap"), F.lit(0))})
-    placed = steps.join(frames.select(*key, *order, "px", "width"), [*key, *order])
+    grids = unpack(frames.select(*key, *order, "px", "width", *(["height"] if dict(frames.dtypes)["px"] == "binary" else [])))
+    placed = steps.join(grids.select(*key, *order, "px", "width"), [*key, *order])
     lines = F.transform(
         F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.slice("px", y * F.col("width") + 1, F.col("width"))
     )

@@ -18,8 +18,23 @@ from folioflow.arrow import map_rows
 from folioflow.runs import Ordered
 
 
-def _flat(img: np.ndarray) -> list:
-    return img.reshape(-1).astype(np.int32)
+def _like(frames: DataFrame, px: str = "px"):
+    """(column type, converter) for an image column of the same kind as ``px``: packed bytes or a grid."""
+    if dict(frames.dtypes)[px] == "binary":
+        return "binary", lambda img: img.astype(np.uint8).tobytes()
+    return "array<int>", lambda img: img.reshape(-1).astype(np.int32)
+
+
+def unpack(frames: DataFrame) -> DataFrame:
+    """``px`` as a gray grid, whatever it was."""
+
+    def grid(px, width, height):
+        gray = K.image(px, width, height)
+        return (None if gray is None else gray.reshape(-1).astype(np.int32),)
+
+    if dict(frames.dtypes)["px"] != "binary":
+        return frames
+    return map_rows(frames, ["px", "width", "height"], grid, [("_px", "array<int>")]).drop("px").withColumnRenamed("_px", "px")
 
 
 def _height(px: Column, width: Column) -> Column:
@@ -117,28 +132,31 @@ def ink_mask(
     opened: bool = False,
     threshold: int | None = None,
 ) -> DataFrame:
-    """Add ``ink ARRAY<INT>`` (1 = ink). A global ``threshold`` stays in the JVM; else adaptive."""
+    """Add ``ink`` (1 = ink), of the kind of ``px``. A global ``threshold`` stays in the JVM; else adaptive."""
     if threshold is not None:
         return frames.withColumn("ink", F.transform("px", lambda v: F.when(v <= threshold, 1).otherwise(0)))
 
+    kind, pack = _like(frames)
+
     def mask(px, width, height):
         gray = K.image(px, width, height)
-        return (None if gray is None else _flat(K.ink_mask(gray, block, c, opened)),)
+        return (None if gray is None else pack(K.ink_mask(gray, block, c, opened)),)
 
-    return map_rows(frames, ["px", "width", "height"], mask, [("ink", "array<int>")])
+    return map_rows(frames, ["px", "width", "height"], mask, [("ink", kind)])
 
 
 # --- tone, hash, geometry ------------------------------------------------------------
 
 
 def normalize_tone(frames: DataFrame, *, median: bool = True) -> DataFrame:
-    """Add ``tone ARRAY<INT>``: median filter, percentile stretch, lift."""
+    """Add ``tone``, of the kind of ``px``: median filter, percentile stretch, lift."""
+    kind, pack = _like(frames)
 
     def tone(px, width, height):
         gray = K.image(px, width, height)
-        return (None if gray is None else _flat(K.normalize_tone(gray, median)),)
+        return (None if gray is None else pack(K.normalize_tone(gray, median)),)
 
-    return map_rows(frames, ["px", "width", "height"], tone, [("tone", "array<int>")])
+    return map_rows(frames, ["px", "width", "height"], tone, [("tone", kind)])
 
 
 def frame_hash(frames: DataFrame) -> DataFrame:
@@ -156,14 +174,15 @@ def rectify_frames(frames: DataFrame, *, roi: str = "roi") -> DataFrame:
 
     Rows without a region pass their frame through; unreadable frames are dropped.
     """
-    outputs = [("sheet", "array<int>"), ("sheet_width", "int"), ("sheet_height", "int")]
+    kind, pack = _like(frames)
+    outputs = [("sheet", kind), ("sheet_width", "int"), ("sheet_height", "int")]
 
     def rectify(px, width, height, points):
         gray = K.image(px, width, height)
         if gray is None:
             return None, None, None
         out = gray if points is None else K.warp(gray, points)
-        return _flat(out), out.shape[1], out.shape[0]
+        return pack(out), out.shape[1], out.shape[0]
 
     return map_rows(frames, ["px", "width", "height", roi], rectify, outputs).filter("sheet is not null")
 
