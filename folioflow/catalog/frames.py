@@ -422,12 +422,12 @@ def q6(spark, d):
 
 @query(
     "q13_compose_rows",
-    f"""WITH {MF}, {STITCH}, st AS (SELECT plan.*, mf.px, lead(overlap) OVER w AS no, lead(y_offset) OVER w AS nyo FROM plan JOIN mf USING (source_id, frame_index) WINDOW w AS (PARTITION BY source_id, page_no ORDER BY frame_index)),
+    f"""WITH {MF}, {STITCH}, st AS (SELECT plan.*, mf.px, lead(overlap) OVER w AS no, lead(frame_index) OVER w AS nfi FROM plan JOIN mf USING (source_id, frame_index) WINDOW w AS (PARTITION BY source_id, page_no ORDER BY frame_index)),
 ss AS (SELECT *, CASE WHEN overlap > 0 THEN least(greatest(10, least(overlap, 42)), 8) ELSE 0 END AS seam, CASE WHEN no > 0 THEN least(greatest(10, least(no, 42)), 8) ELSE 0 END AS nseam FROM st),
 ln AS (SELECT *, unnest(range(0, 8)) AS l FROM ss),
-own AS (SELECT source_id, page_no, y_offset + l AS y, l, seam, px[l * 8 + 1 : l * 8 + 8] AS row FROM ln WHERE l < 8 - coalesce(no, 0)),
-ab AS (SELECT source_id, page_no, nyo + l - (8 - nseam) AS y, px[l * 8 + 1 : l * 8 + 8] AS above FROM ln WHERE l >= 8 - nseam),
-jn AS (SELECT own.*, above, CASE WHEN seam > 1 THEN 1.0::DOUBLE - l / CAST(seam - 1 AS DOUBLE) ELSE 1.0::DOUBLE END AS al FROM own LEFT JOIN ab USING (source_id, page_no, y))
+own AS (SELECT source_id, page_no, frame_index, y_offset + l AS y, l, seam, px[l * 8 + 1 : l * 8 + 8] AS row FROM ln WHERE l < 8 - coalesce(no, 0)),
+ab AS (SELECT source_id, page_no, nfi AS frame_index, l - (8 - nseam) AS l, px[l * 8 + 1 : l * 8 + 8] AS above FROM ln WHERE l >= 8 - nseam),
+jn AS (SELECT own.*, above, CASE WHEN seam > 1 THEN 1.0::DOUBLE - l / CAST(seam - 1 AS DOUBLE) ELSE 1.0::DOUBLE END AS al FROM own LEFT JOIN ab USING (source_id, page_no, frame_index, l))
 SELECT source_id, page_no, CAST(y AS BIGINT) AS y, array_to_string(CASE WHEN above IS NULL THEN row ELSE list_transform(range(1, 9), lambda i: CAST(floor(greatest(0.0::DOUBLE, least(255.0::DOUBLE, above[i] * al + row[i] * (1.0::DOUBLE - al)))) AS INTEGER)) END, ',') AS row FROM jn""",
 )
 def q13(spark, d):

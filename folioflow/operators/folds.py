@@ -342,15 +342,16 @@ def compose_rows(
 ) -> DataFrame:
     """(key, page_no, y, row) of the composed sheets; rows blend over the seam of two frames.
 
-    Every output row takes one frame row, or two at a seam, found by an equi join on
-    (key, page_no, y): sheets of any height are spread over all tasks.
+    Every output row takes one frame row, or two at a seam: the last rows of a frame
+    are sent to the first rows of the next one by an equi join on (frame, line), so
+    sheets of any height are spread over all tasks.
     """
     paged = "page_no" in plan.columns
     group = [*key, "page_no"] if paged else list(key)
     plan = plan.select(*group, *order, "height", "overlap", "y_offset")
     nxt = Ordered(plan, group, order, small=fits(frames, key)).neighbour("next_overlap", F.col("overlap"), 1)
     # Staged: the plan has no pixels and is joined to the frames twice.
-    steps = stage(nxt.neighbour("next_offset", F.col("y_offset"), 1).result())
+    steps = stage(nxt.neighbour("_next", F.struct(*order), 1).result())
 
     def rows_of(overlap: str):
         o = F.col(overlap)
@@ -364,15 +365,16 @@ def compose_rows(
         F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.slice("px", y * F.col("width") + 1, F.col("width"))
     )
     placed = placed.select(
-        *group, "height", "y_offset", "next_overlap", "next_offset", "_seam", "_next_seam",
+        *group, *order, "height", "y_offset", "next_overlap", "_next", "_seam", "_next_seam",
         F.posexplode(lines).alias("line", "row"),
     )
     own = placed.filter(F.col("line") < F.col("height") - F.coalesce("next_overlap", F.lit(0))).select(
-        *group, (F.col("y_offset") + F.col("line")).alias("y"), "line", "_seam", "row"
+        *group, *order, (F.col("y_offset") + F.col("line")).alias("y"), "line", "_seam", "row"
     )
     above = placed.filter(F.col("line") >= F.col("height") - F.col("_next_seam")).select(
         *group,
-        (F.col("next_offset") + F.col("line") - (F.col("height") - F.col("_next_seam"))).alias("y"),
+        *[F.col("_next")[o].alias(o) for o in order],
+        (F.col("line") - (F.col("height") - F.col("_next_seam"))).alias("line"),
         F.col("row").alias("above"),
     )
     alpha = F.when(F.col("_seam") > 1, 1.0 - F.col("line") / (F.col("_seam") - 1)).otherwise(F.lit(1.0))
@@ -381,5 +383,5 @@ def compose_rows(
         "row",
         lambda a, b: F.greatest(F.lit(0.0), F.least(F.lit(255.0), a * F.col("_alpha") + b * (1.0 - F.col("_alpha")))).cast("int"),
     )
-    joined = own.join(above, [*group, "y"], "left").withColumn("_alpha", alpha)
+    joined = own.join(above, [*group, *order, "line"], "left").withColumn("_alpha", alpha)
     return joined.select(*group, "y", F.when(F.col("above").isNull(), F.col("row")).otherwise(blend).alias("row"))
