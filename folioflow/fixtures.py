@@ -17,8 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _micros(ts) -> F.Column:
-    """TIMESTAMP_NTZ read as UTC, as an instant."""
-    return F.col(ts).cast("timestamp")
+    """TIMESTAMP_NTZ read as UTC, as an instant, whatever the session's time zone."""
+    epoch = F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00"))
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(ts)))
 
 
 # --- frames ------------------------------------------------------------------------------

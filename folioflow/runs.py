@@ -12,11 +12,13 @@ from __future__ import annotations
 
 import math
 import pickle
+import zlib
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from folioflow.arrow import append_columns, appended_schema, column_values
@@ -24,14 +26,27 @@ from folioflow.session import stage
 
 RUN = "_run"
 RUN_ROWS_CONF = "spark.folioflow.runRows"
+# Rows of one key that one task may walk: plain rows, and rows that carry pixels or vectors.
 DEFAULT_RUN_ROWS = 1_000_000
+DEFAULT_RUN_FRAMES = 20_000
 # What the driver may hold for the borders of one fold: one state per run.
 BORDER_BYTES = 256 * 1024 * 1024
 MAX_ROUNDS = 8
 
 
 def run_rows(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(RUN_ROWS_CONF, str(DEFAULT_RUN_ROWS)))
+    heavy = any(isinstance(f.dataType, (T.BinaryType, T.ArrayType)) for f in df.schema.fields)
+    default = DEFAULT_RUN_FRAMES if heavy else DEFAULT_RUN_ROWS
+    return int(df.sparkSession.conf.get(RUN_ROWS_CONF, str(default)))
+
+
+def _pack(value) -> bytes:
+    """Border values cross the driver, so they are compressed (a frame shrinks about tenfold)."""
+    return zlib.compress(pickle.dumps(value), 1)
+
+
+def _unpack(data: bytes):
+    return pickle.loads(zlib.decompress(data))
 
 
 def group_sizes(df: DataFrame, key: Sequence[str]) -> tuple[int, int]:
@@ -225,7 +240,7 @@ def _entry(batches, entries):
     for batch in batches:
         if batch.num_rows:
             number = batch.column(RUN)[0].as_py()
-            state = pickle.loads(entries[number]) if number in entries else None
+            state = _unpack(entries[number]) if number in entries else None
 
             def again(head=batch):
                 yield head
@@ -242,7 +257,7 @@ def _summarise(key, fold, entries, todo):
             return
         for batch, out in _walk(rest, key, fold, state):
             if batch is None:
-                first, last, end = (pickle.dumps(v) for v in out)
+                first, last, end = (_pack(v) for v in out)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([number], pa.int32())] + [pa.array([v], pa.binary()) for v in (first, last, end)],
                     names=["run", "first", "last", "state"],

@@ -14,6 +14,7 @@ from folioflow.arrow import _TYPES
 from folioflow.operators.folds import KeepDistinctFrames, gray_frames
 from folioflow.operators.windows import latest_fields
 from folioflow.runs import Fold
+from folioflow.ship import by_value
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -60,12 +61,13 @@ def stream_fold(stream: DataFrame, key: Sequence[str], order: Sequence[str], fol
     names = [f.name for f in stream.schema.fields if f.name not in fold.columns]
     fields = [stream.schema[n] for n in names]
     schema = T.StructType(fields + [T.StructField(n, _TYPES[t][0], True) for n, t in fold.outputs])
-    return stream.groupBy(*key).transformWithStateInPandas(
-        statefulProcessor=_FoldProcessor(fold, key, order, names),
-        outputStructType=schema,
-        outputMode="Append",
-        timeMode="None",
-    )
+    with by_value():
+        return stream.groupBy(*key).transformWithStateInPandas(
+            statefulProcessor=_FoldProcessor(fold, key, order, names),
+            outputStructType=schema,
+            outputMode="Append",
+            timeMode="None",
+        )
 
 
 def stream_dedupe(
@@ -135,9 +137,11 @@ def stream_transitions(stream: DataFrame, key: Sequence[str] = ("job_id",)) -> D
     """(key, seq, status): the first final state of every job, exactly once."""
     key = list(key)
     schema = T.StructType([stream.schema[k] for k in key] + [stream.schema["seq"], stream.schema["status"]])
-    return stream.select(*key, "ts", "seq", "status").groupBy(*key).transformWithStateInPandas(
-        statefulProcessor=_Transitions(key), outputStructType=schema, outputMode="Append", timeMode="None"
-    )
+    slim = stream.select(*key, "ts", "seq", "status")
+    with by_value():
+        return slim.groupBy(*key).transformWithStateInPandas(
+            statefulProcessor=_Transitions(key), outputStructType=schema, outputMode="Append", timeMode="None"
+        )
 
 
 def stream_recover(stream: DataFrame, key: Sequence[str] = ("job_id",), *, stale_after: str, delay: str) -> DataFrame:
