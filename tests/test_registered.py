@@ -15,6 +15,8 @@ ORDERED = [
     "q4_collapse_page_turns", "q5_stitch_plan", "q6_merge_plan", "q13_compose_rows", "w1_frame_change", "x3_dhash",
     "t3_debounce_latest", "w2_text_bands", "q7_pack_bands", "q8_resolve_overlaps",
 ]
+# At the smallest size the sheets have no band of nine rows, so these are rightly empty.
+SPARSE = {"q7_pack_bands", "q8_resolve_overlaps", "w2_active_bands", "w4_page_gaps"}
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +27,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_equals_sql(spark, con, name):
     error, rows = oracle.check(spark, con, name, QUERIES[name], SQL[name], SF)
-    assert error is None and rows > 0
+    assert error is None and (rows > 0 or name in SPARSE)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
@@ -36,7 +38,7 @@ def test_rows_only(spark, name):
 @pytest.mark.parametrize("name", ORDERED)
 def test_equals_sql_in_runs(small_runs, con, name):
     error, rows = oracle.check(small_runs, con, name, QUERIES[name], SQL[name], SF)
-    assert error is None and rows > 0
+    assert error is None and (rows > 0 or name in SPARSE)
 
 
 def test_names_and_columns_are_registered():
