@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 
@@ -55,7 +56,26 @@ def x2(spark, d):
     return FR.ink_mask(X.micro_frames(spark, d), threshold=120).select(*KEY, *ORDER, joined("ink").alias("ink"))
 
 
-@query("x2_ink_mask_adaptive")
+def _adaptive_sql(px: str, name: str, block: int = 5, c: int = 7) -> str:
+    """CTE bodies: the adaptive mask of 8x8 ``px`` (m), eroded (t) and dilated (o) over 2x2."""
+    half = block // 2
+    sigma = 0.3 * ((block - 1) * 0.5 - 1) + 0.8
+    w = [math.exp(-((i - half) ** 2) / (2 * sigma * sigma)) for i in range(block)]
+    w = [v / sum(w) for v in w]
+    weights = "[" + ", ".join(f"{v!r}::DOUBLE" for v in w) + "]"
+    at = f"{px}[least(7, greatest(0, i // 8 + j // {block} - {half})) * 8 + least(7, greatest(0, i % 8 + j % {block} - {half})) + 1]"
+    mean = f"round_even(list_sum(list_transform(range(0, {block * block}), lambda j: {weights}[j // {block} + 1] * {weights}[j % {block} + 1] * {at})), 0)"
+    four = "[i, CASE WHEN i >= 8 THEN i - 8 END, CASE WHEN i % 8 > 0 THEN i - 1 END, CASE WHEN i >= 8 AND i % 8 > 0 THEN i - 9 END]"
+    near = f"list_filter({four}, lambda n: n IS NOT NULL)"
+    return f"""{name}_m AS (SELECT source_id, frame_index, list_transform(range(0, 64), lambda i: {px}[i + 1] <= {mean} - {c}) AS m FROM mf),
+{name}_t AS (SELECT source_id, frame_index, list_transform(range(0, 64), lambda i: len(list_filter({near}, lambda n: NOT m[n + 1])) = 0) AS t FROM {name}_m),
+{name} AS (SELECT source_id, frame_index, list_transform(range(0, 64), lambda i: len(list_filter({near}, lambda n: t[n + 1])) > 0) AS o FROM {name}_t)"""
+
+
+@query(
+    "x2_ink_mask_adaptive",
+    f"""WITH {MF}, {_adaptive_sql("px", "op")} SELECT source_id, frame_index, array_to_string(list_transform(o, lambda v: CASE WHEN v THEN 1 ELSE 0 END), ',') AS ink FROM op""",
+)
 def x2a(spark, d):
     out = FR.ink_mask(X.micro_frames(spark, d), block=5, c=7, opened=True)
     return out.select(*KEY, *ORDER, joined("ink").alias("ink"))
@@ -75,13 +95,27 @@ def x3(spark, d):
     return out.select(*KEY, *ORDER, "dhash", H.hamming(F.col("dhash"), F.col("_prev")).cast("int").alias("distance"))
 
 
-@query("x3_frame_hash")
+# The three-fold frame is 12 wide and 16 high; cell (y, j) of the 9x8 hash grid covers two rows and 4/3 columns.
+_CELL = "list_sum(list_transform(range(0, 24), lambda t: greatest(0, least(3 * (t % 12) + 3, 4 * (c % 9) + 4) - greatest(3 * (t % 12), 4 * (c % 9))) * p[(2 * (c // 9) + t // 12) * 12 + t % 12 + 1]))"
+
+
+@query(
+    "x3_frame_hash",
+    f"""WITH {MF}, a AS (SELECT source_id, frame_index, list_concat(list_concat(px, px), px) AS p FROM mf),
+g AS (SELECT source_id, frame_index, list_transform(range(0, 72), lambda c: round_even({_CELL} / 8.0::DOUBLE, 0)) AS g FROM a)
+SELECT source_id, frame_index, CAST(list_sum(list_transform(range(0, 64), lambda b: CASE WHEN g[(b // 8) * 9 + b % 8 + 2] > g[(b // 8) * 9 + b % 8 + 1]
+  THEN CASE WHEN b = 0 THEN CAST(-9223372036854775808 AS HUGEINT) ELSE CAST(1::BIGINT << CAST(63 - b AS INTEGER) AS HUGEINT) END ELSE CAST(0 AS HUGEINT) END)) AS BIGINT) AS dhash FROM g""",
+)
 def x3b(spark, d):
     wide = X.micro_frames(spark, d).withColumn("px", F.concat("px", "px", "px")).withColumns({"width": F.lit(12), "height": F.lit(16)})
     return FR.frame_hash(wide).select(*KEY, *ORDER, "dhash")
 
 
-@query("x4_structure_diff")
+@query(
+    "x4_structure_diff",
+    f"""WITH {MF}, {_adaptive_sql("px", "op")}, q AS (SELECT source_id, frame_index, o, lag(o) OVER (PARTITION BY source_id ORDER BY frame_index) AS p FROM op)
+SELECT source_id, frame_index, CASE WHEN p IS NOT NULL THEN {r6s("len(list_filter(range(1, 65), lambda i: o[i] <> p[i])) / 64.0::DOUBLE")} END AS structure_diff FROM q""",
+)
 def x4(spark, d):
     out = FR.structure_diff(_pairs(spark, d), block=5, c=7)
     return out.select(*KEY, *ORDER, r6(F.col("structure_diff")).alias("structure_diff"))

@@ -55,7 +55,7 @@ def micro_frames_sql(gain: int = 100) -> str:
 def sheet_profile(spark, sf_dir, sheets: int = 10) -> DataFrame:
     """Tall sheets: one row per ship day, density from the day's quantity, every day present.
 
-    The daily sums are staged: the line items are read once, whatever follows.
+    The daily sums and the profile are staged: the line items are read once, whatever follows.
     """
     items = table(spark, sf_dir, "lineitem").select(
         (F.col("l_suppkey") % sheets).cast("int").alias("sheet_id"),
@@ -68,9 +68,8 @@ def sheet_profile(spark, sf_dir, sheets: int = 10) -> DataFrame:
     lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
     grid = facts.select("sheet_id", "most", lo.alias("lo"), F.explode(F.sequence(lo, hi)).alias("day"))
     dens = F.floor(F.coalesce("q", F.lit(0.0)) / (50.0 * F.col("most")) * 0.06 * 1e6 + 0.5) / 1e6
-    return grid.join(days.drop("n"), ["sheet_id", "day"], "left").select(
-        "sheet_id", (F.col("day") - F.col("lo")).alias("y"), dens.alias("density")
-    )
+    rows = grid.join(days.drop("n"), ["sheet_id", "day"], "left")
+    return stage(rows.select("sheet_id", (F.col("day") - F.col("lo")).alias("y"), dens.alias("density")))
 
 
 def sheet_profile_sql(sheets: int = 10) -> str:

@@ -106,7 +106,7 @@ def test_lone_blank_row_in_a_dense_band_is_not_a_seam(spark):
     assert slices(spark, density, 2000)[0][1] >= 2045
 
 
-def naive_slices(d, target, mode):
+def naive_slices(d, target, mode, fits_page=lambda rows: True):
     """The cut rules written out over the whole array, as a check on the streaming form."""
     p, tight = C.PAGINATION[mode], mode == "performance"
     h, start, pages = len(d), 0, []
@@ -149,7 +149,7 @@ def naive_slices(d, target, mode):
     tail, hard_cap, soft_cap = max(84, int(target * p["tail"])), int(target * p["tail_hard"]), int(target * p["tail_soft"])
     while len(pages) >= 2:
         t, both = pages[-1][1] - pages[-1][0], pages[-1][1] - pages[-2][0]
-        if t >= tail or not (both <= hard_cap or (t <= int(tail * 0.62) and both <= soft_cap)):
+        if t >= tail or not (both <= hard_cap or (t <= int(tail * 0.62) and both <= soft_cap)) or not fits_page(both):
             break
         pages[-2:] = [(pages[-2][0], pages[-1][1])]
     return pages
@@ -187,6 +187,84 @@ def test_slightly_oversized_sheet_is_cut(spark):
     assert P.split_pages(profile_df(spark, density), sheets, ["sheet_id"]).count() >= 2
 
 
+def naive_scale(h, w, ratio):
+    mx, mt, mb = max(10, int(w * 0.015)), max(14, int(h * 0.026)), max(24, int(h * 0.056))
+    ch = max(mt + mb + 1, round((w + 2 * mx) / max(0.6, ratio)))
+    return min(1.0, w / w, max(1, ch - mt - mb) / h)
+
+
+def naive_split(d, w, mode, ratio=C.PAGE_RATIO):
+    """The whole page decision for one sheet, written out step by step."""
+    p, h = C.PAGINATION[mode], len(d)
+    target = int(min(max(round(w / max(0.35, ratio)), 900), 2600))
+    if naive_scale(h, w, ratio) >= p["single"]:
+        return [(0, h)]
+
+    def sliced(part):
+        pages = naive_slices(part, target, mode, lambda rows: naive_scale(rows, w, ratio) >= p["single"])
+        return pages
+
+    cut = min(max(np.percentile(d, 72) * 0.34, 0.004), 0.03)
+    edges = np.flatnonzero(np.diff(np.r_[0, (d > cut).astype(int), 0]))
+    bands = [(s, e) for s, e in zip(edges[::2], edges[1::2]) if e - s >= max(6, int(h * 0.004))]
+    if not bands:
+        return sliced(d)
+    pad = max(6, int(target * 0.012)) if mode == "performance" else max(8, int(h * 0.012))
+    soft, hard, under = int(target * p["soft"]), int(target * p["hard"]), int(target * p["underfill"])
+    pages = []
+    for s, e in [(max(0, s - pad), min(h, e + pad)) for s, e in bands]:
+        if pages:
+            top, bottom = pages[-1]
+            if e - top <= soft or (under > 0 and bottom - top < under and e - top <= hard):
+                pages[-1] = (top, e)
+                continue
+        pages.append((s, e))
+    apart = []
+    for s, e in pages:
+        if apart and s < apart[-1][1]:
+            ps, pe = apart[-1]
+            lo, hi = max(ps + 1, s), min(pe - 1, e - 1)
+            if lo <= hi:
+                s2 = int(min(max(s + d[s:pe].argmin(), lo), hi))
+                apart[-1], s = (ps, s2), s2
+        apart.append((s, e))
+    if any(b[0] - a[1] > max(6, int(target * 0.004)) for a, b in zip(apart, apart[1:])):
+        return sliced(d)
+    out = []
+    for s, e in apart:
+        if e - s > int(target * C.OVERSIZE):
+            out += [(s + a, s + b) for a, b in sliced(d[s:e])]
+        else:
+            out.append((s, e))
+    if len(out) == 1 and naive_scale(out[0][1] - out[0][0], w, ratio) < p["single"]:
+        return sliced(d)
+    return out
+
+
+@pytest.mark.parametrize("mode", ["performance", "balanced"])
+def test_page_decision_equals_the_written_out_rules(spark, mode):
+    sheets, rows, want = [], [], {}
+    for key in range(14):
+        h, w = int(RNG.integers(900, 5200)), int(RNG.integers(420, 900))
+        d = np.round(RNG.random(h) * 0.002, 6)
+        y = int(RNG.integers(0, 80))
+        while y < h - 60:
+            n = int(RNG.integers(40, [260, 1500][key % 2]))
+            d[y : y + n] = np.round(0.02 + RNG.random(len(d[y : y + n])) * 0.04, 6)
+            y += n + int(RNG.integers(3, [30, 14, 160][key % 3]))
+        if key == 13:
+            d[:] = 0.0
+        sheets.append((key, w, h))
+        rows += [(key, i, float(v)) for i, v in enumerate(d)]
+        want[key] = [(int(a), int(b)) for a, b in naive_split(d, w, mode)]
+    profile = spark.createDataFrame(rows, "sheet_id int, y int, density double")
+    sized = spark.createDataFrame(sheets, "sheet_id int, width int, height int")
+    got: dict = {}
+    for r in P.split_pages(profile, sized, ["sheet_id"], mode=mode).orderBy("sheet_id", "page_index").collect():
+        got.setdefault(r.sheet_id, []).append((r.y_start, r.y_end))
+    assert got == want
+
+
 def test_short_sheet_is_one_page(spark):
     sheets = spark.createDataFrame([(1, 1800, 1500)], "sheet_id int, width int, height int")
     pages = P.split_pages(profile_df(spark, np.full(1500, 0.02)), sheets, ["sheet_id"]).collect()
