@@ -56,7 +56,7 @@ def group_sizes(df: DataFrame, key: Sequence[str]) -> tuple[int, int]:
 
 
 def fits(df: DataFrame, key: Sequence[str]) -> bool:
-    """Can one task walk the largest key? Ask the smallest input; it holds for rows derived from it."""
+    """Can one task walk the largest key? A yes also holds for rows derived by filtering or grouping."""
     return group_sizes(df, key)[1] <= run_rows(df)
 
 
