@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import decontaminate, mixing, quality, sharding, simhash
+from folioflow.llm import decontaminate, language, mixing, quality, sharding, simhash, substrings
 from folioflow.llm.common import table
 
 QUERIES: dict = {}
@@ -39,6 +39,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+@query("op7_language")
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", F.size("lang_mix").alias("n_langs"))
+
+
+@query("op8_unit_dedup")
+def op8_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 _SPACES = r"[\x20\x09-\x0D]"
 _LEDGER_SQL = f"""
 WITH t AS (
