@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import decontaminate, language, mixing, quality, sharding, simhash, substrings
+from folioflow.llm import decontaminate, language, licenses, lines, mixing, quality, sharding, simhash, substrings
 from folioflow.llm.common import table
 
 QUERIES: dict = {}
@@ -23,6 +23,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_license_scan")
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op2_kd_shards")
 def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_table(table(spark, sf_dir, "documents"), shards=SHARDS)
@@ -39,6 +44,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+@query("op6_line_dedup")
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents"))
+
+
 @query("op7_language")
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", F.size("lang_mix").alias("n_langs"))

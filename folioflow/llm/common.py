@@ -61,6 +61,15 @@ def fresh(columns, *names: str) -> list[str]:
     return out
 
 
+def settled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column behind a generator of one row, which later filters are not pushed through.
+
+    A filter on a plain column is pushed below it with the whole expression
+    copied in, also into the bodies of higher-order functions.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def set_aside(df: DataFrame, names) -> tuple[DataFrame, dict[str, str]]:
     """Rename input columns whose names an operator needs to ``in_<name>``.
 
