@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import decontaminate, language, licenses, lines, mixing, quality, sharding, simhash, substrings
+from folioflow.llm import decontaminate, language, licenses, lines, mixing, pages, quality, sharding, simhash, substrings
 from folioflow.llm.common import table
 
 QUERIES: dict = {}
@@ -44,6 +44,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+@query("op5_page_text")
+def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op6_line_dedup")
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup(table(spark, sf_dir, "documents"))
