@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 
-PAGES = 600
+PAGES = 900
 SEED = 7
 
 # Names that page authors commonly give to the parts of a page.
@@ -15,7 +15,7 @@ NAMES = {
     "footer": ["footer", "site-footer", "colophon", "copyright", "legal", "bottom", "page-footer", "footer-links", "imprint"],
     "side": ["sidebar", "aside", "widget", "rail", "secondary", "related", "related-posts", "recommended", "popular", "trending", "recent-posts", "tag-cloud", "archives", "side-column", "more-stories", "blogroll"],
     "notice": ["notice", "cookie-notice", "cookie-banner", "consent", "gdpr", "alert", "popup", "modal", "overlay", "paywall", "disclaimer", "announcement", "cookies", "warning", "message-bar"],
-    "ad": ["ad", "ads", "advert", "advertisement", "sponsored", "sponsor", "promo", "promotion", "banner", "ad-slot", "ad-unit", "adsense", "commercial", "partner-offer"],
+    "ad": ["ad", "ads", "advert", "advertisement", "sponsored", "sponsor", "promo", "promotion", "banner", "ad-slot", "ad-unit", "adsense", "commercial", "partner-offer", "adsbygoogle", "ad-container", "adbox", "dfp-ad"],
     "form": ["form", "search", "search-box", "login", "newsletter", "subscribe", "signup", "contact-form", "newsletter-signup", "subscription", "register"],
     "social": ["share", "social", "share-buttons", "follow-us", "social-links", "sharing"],
     "comments": ["comments", "comment-list", "comment", "replies", "respond", "discussion", "disqus", "responses", "reader-comments", "feedback", "reactions", "user-comments", "comments-area", "reply"],
@@ -144,6 +144,9 @@ class Page:
 
 def labelled_page(rng: random.Random) -> tuple[str, str]:
     p = Page(rng)
+    if rng.random() < 0.03:
+        text = p.words(1, 30)
+        return rng.choice(["{}", "<p>{}", "<html><body>{}</body></html>"]).format(text), text
     p.out.append("<!DOCTYPE html><html><head><title>" + p.words(2, 8, "") + "</title><style>p{margin:0}</style></head><body>")
     wraps = [p.open("wrap") for _ in range(rng.randint(0, 2))]
     for kind in ("notice", "header", "nav", "ad", "form"):
@@ -152,17 +155,18 @@ def labelled_page(rng: random.Random) -> tuple[str, str]:
     if rng.random() < 0.25:
         p.side("side")
     columns = p.open("wrap") if rng.random() < 0.3 else ""
-    ends = [p.open("main") for _ in range(rng.choice([1, 1, 1, 2]))]
+    ends = [p.open("main") for _ in range(rng.choice([0, 1, 1, 1, 1, 1, 2, 2]))]
     if rng.random() < 0.85:
         title = p.words(2, 12, rng.choice(["", "."]))
         inside = rng.random() < 0.2
         p.main(f"<header><h1>{title}</h1></header>" if inside else f"<h1>{title}</h1>", title)
     for _ in range(rng.randint(1, 14)):
         p.paragraph()
-        if rng.random() < 0.1:
-            p.side(rng.choice(["ad", "social", "side", "notice", "form", "nav"]))
-    if rng.random() < 0.25:
-        p.side(rng.choice(["comments", "social", "side", "footer"]))
+        if rng.random() < 0.12:
+            p.side(rng.choice(["ad", "ad", "social", "side", "notice", "form", "nav"]))
+    for kind in ("social", "comments", "side", "footer"):
+        if rng.random() < 0.2:
+            p.side(kind)
     p.out += reversed(ends)
     for kind in ("social", "comments", "side", "form", "ad"):
         if rng.random() < 0.35:
