@@ -17,7 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import SPACE, WORD, restored, set_aside, words
+from folioflow.llm.common import SPACE, WORD, restored, set_aside, settled, words
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letter_words", "n_capital_words")
 
@@ -110,7 +110,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     failed = bits[0]
     for bit in bits[1:]:
         failed = failed.bitwiseOR(bit)
-    return out.withColumn("failed", failed.cast("bigint"))
+    return settled(out, "failed", failed.cast("bigint"))
 
 
 def apply_policy(ledger_rows: DataFrame, policy: str, name: str = "kept") -> DataFrame:
