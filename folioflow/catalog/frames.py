@@ -168,14 +168,14 @@ def x7(spark, d):
 
 @query(
     "x8_align_width",
-    f"""WITH {MF}, a AS (SELECT source_id, frame_index, 8 - 2 * (frame_index % 3) AS w, px FROM mf WHERE source_id <> 3 OR frame_index % 3 > 0),
+    f"""WITH {MF}, a AS (SELECT source_id, frame_index, 8 - 2 * (frame_index % 3) AS w, px FROM mf),
 b AS (SELECT *, max(w) OVER (PARTITION BY source_id) AS t FROM a)
 SELECT source_id, frame_index, t AS width, array_to_string(flatten(list_transform(range(0, 8), lambda y: list_concat(list_concat(
   list_transform(range(0, CAST((t - w) // 2 AS BIGINT)), lambda z: 255), px[y * w + 1 : y * w + w]), list_transform(range(0, CAST(t - w - (t - w) // 2 AS BIGINT)), lambda z: 255)))), ',') AS px FROM b""",
 )
 def x8(spark, d):
     w = F.lit(8) - 2 * F.pmod("frame_index", F.lit(3))
-    rows = X.micro_frames(spark, d).filter((F.col("source_id") != 3) | (F.pmod("frame_index", F.lit(3)) > 0))
+    rows = X.micro_frames(spark, d)
     rows = rows.withColumn("width", w).withColumn("px", F.slice("px", F.lit(1), F.col("width") * 8))
     return FR.align_width(rows, KEY).select(*KEY, *ORDER, "width", joined("px").alias("px"))
 
@@ -227,8 +227,8 @@ _W, _H, _TOP, _BOT = "(x2 - x1) / 8.0::DOUBLE", "(y2 - y1) / 8.0::DOUBLE", "y1 /
 @query(
     "a3_roi_health",
     f"""WITH {MF}, {INK.format(t=95)}, {DENS},
-m AS (SELECT source_id, count(*) AS n, avg(density) AS dn, count(*) FILTER (top_density > 0.058) AS th, count(*) FILTER (bottom_density > 0.058) AS bh, count(*) FILTER (density < 0.018) AS lh FROM den WHERE source_id <> 8 GROUP BY source_id),
-r AS (SELECT s.source_id, s.source_id % 3 AS x1, s.source_id % 2 AS y1, CASE WHEN s.source_id % 5 = 4 THEN s.source_id % 3 + 2 ELSE 8 - s.source_id % 2 END AS x2, CASE WHEN s.source_id = 5 THEN 2 ELSE 8 - s.source_id // 4 END AS y2 FROM (SELECT DISTINCT source_id FROM mf) s),
+m AS (SELECT source_id, count(*) AS n, avg(density) AS dn, count(*) FILTER (top_density > 0.058) AS th, count(*) FILTER (bottom_density > 0.058) AS bh, count(*) FILTER (density < 0.018) AS lh FROM den GROUP BY source_id),
+r AS (SELECT s.source_id, s.source_id % 3 AS x1, s.source_id % 2 AS y1, CASE WHEN s.source_id % 5 = 4 THEN s.source_id % 3 + 2 ELSE 8 - s.source_id % 2 END AS x2, CASE WHEN s.source_id = 5 THEN 2 ELSE 8 - s.source_id // 4 END AS y2 FROM (SELECT DISTINCT source_id FROM mf UNION ALL SELECT 99) s),
 a AS (SELECT r.*, coalesce(n, 0) AS n, coalesce(dn, 0) AS dn, coalesce(th, 0) AS th, coalesce(bh, 0) AS bh, coalesce(lh, 0) AS lh FROM r LEFT JOIN m USING (source_id)),
 b AS (SELECT *, CASE WHEN n = 0 THEN []::VARCHAR[] ELSE list_filter([
   CASE WHEN {_W} < 0.34 THEN 'warning:roi_width_low' WHEN {_W} > 0.96 THEN 'warning:roi_width_high' END, CASE WHEN {_H} < 0.18 THEN 'warning:roi_height_low' WHEN {_H} > 0.88 THEN 'warning:roi_height_high' END,
@@ -244,7 +244,9 @@ def a3(spark, d):
     mf = X.micro_frames(spark, d)
     s = F.col("source_id")
     x1, y1 = F.pmod(s, F.lit(3)), F.pmod(s, F.lit(2))
-    rects = mf.select("source_id").distinct().select(
+    # Source 99 has a region but no frames.
+    sources = mf.select("source_id").distinct().unionByName(spark.range(99, 100).select(F.col("id").cast("int").alias("source_id")))
+    rects = sources.select(
         "source_id",
         F.lit(8).alias("width"),
         F.lit(8).alias("height"),
@@ -253,7 +255,7 @@ def a3(spark, d):
         F.when(F.pmod(s, F.lit(5)) == 4, x1 + 2).otherwise(8 - F.pmod(s, F.lit(2))).alias("x2"),
         F.when(s == 5, 2).otherwise(8 - F.floor(s / 4).cast("int")).alias("y2"),
     )
-    measures = FR.frame_density(FR.ink_profile(mf.filter(s != 8), threshold=95))
+    measures = FR.frame_density(FR.ink_profile(mf, threshold=95))
     out = A.roi_health(measures, rects, KEY)
     text = F.transform("diagnostics", lambda f: F.concat(f["level"], F.lit(":"), f["code"]))
     return out.select(

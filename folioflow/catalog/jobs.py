@@ -282,13 +282,17 @@ def a6(spark, d):
 
 @query(
     "a6_reclaim_plan_global",
-    f"""WITH {JP}, {JOBS}, {OWN} SELECT child, reclaimed_bytes, {HUMAN.format(b="reclaimed_bytes")} AS reclaimed_human FROM ow WHERE (SELECT count(*) FROM jobs WHERE status IN ('queued','running') AND job_id < 0) = 0""",
+    f"""WITH {JP}, {JOBS}, {OWN}, v AS (SELECT 'as they are' AS variant, count(*) FILTER (status IN ('queued','running')) AS active FROM jobs UNION ALL SELECT 'all ended', 0)
+SELECT variant, child, reclaimed_bytes, {HUMAN.format(b="reclaimed_bytes")} AS reclaimed_human FROM ow, v WHERE active = 0""",
 )
 def a6b(spark, d):
     files = X.table(spark, d, "lineitem").select(
         F.concat(F.lit("src"), (F.col("l_suppkey") % 200).cast("string")).alias("child"), F.col("l_partkey").alias("length")
     )
-    return A.reclaim_plan(files, _jobs(spark, d).filter("job_id < 0"))
+    jobs = _jobs(spark, d)
+    ended = jobs.withColumn("status", F.when(F.col("status").isin("queued", "running"), "done").otherwise(F.col("status")))
+    some = A.reclaim_plan(files, jobs).withColumn("variant", F.lit("as they are"))
+    return some.unionByName(A.reclaim_plan(files, ended).withColumn("variant", F.lit("all ended")))
 
 
 @query(
@@ -299,9 +303,10 @@ SELECT key, path, width, height, CASE WHEN path IS NULL THEN 'miss' WHEN height
 )
 def a7(spark, d):
     rn = X.renditions(spark, d)
-    files = rn.filter((F.col("key") < "Brand#3") & ((F.col("mtime") % 3 > 0) | (F.col("height") < 800)))
-    odd = F.when(F.col("key") == "Brand#2", F.lit("a.txt")).otherwise(F.col("path"))
-    return A.rendition_status(rn, files, ["key"], suffix=path_suffix(odd))
+    # Files of other kinds: all of some brands, and a third of the tall ones.
+    video = (F.col("key") < "Brand#3") & ((F.col("mtime") % 3 > 0) | (F.col("height") < 800)) & (F.col("key") != "Brand#2")
+    odd = F.when(video, F.col("path")).otherwise(F.lit("a.txt"))
+    return A.rendition_status(rn, rn, ["key"], suffix=path_suffix(odd))
 
 
 @query(
@@ -345,7 +350,7 @@ HOURS = "(sec - 1704067200.0::DOUBLE) / 3600.0::DOUBLE"
 
 @query(
     "j2_seek_first_available",
-    f"""WITH {X.SIGNAL_SQL}, f AS (SELECT source_id, event_id, {HOURS} AS ts, value FROM sg), r AS (SELECT source_id, event_id AS request, greatest(0.0::DOUBLE, ts - 2.0::DOUBLE) AS sec FROM f WHERE event_id % 3 = 0),
+    f"""WITH {X.SIGNAL_SQL}, f AS (SELECT source_id, event_id, {HOURS} AS ts, value FROM sg), r AS (SELECT source_id, event_id AS request, greatest(0.0::DOUBLE, ts - 2.0::DOUBLE) AS sec FROM f),
 c AS (SELECT *, list_distinct_keep AS cs FROM (SELECT *, CASE WHEN sec >= 1.5 THEN list_concat(fw, [round_even(greatest(0.0::DOUBLE, sec - 1.0::DOUBLE), 2), round_even(greatest(0.0::DOUBLE, sec - 3.0::DOUBLE), 2)]) ELSE fw END AS list_distinct_keep
   FROM (SELECT *, [round_even(sec + 0.0::DOUBLE, 2), round_even(sec + 0.8::DOUBLE, 2), round_even(sec + 1.8::DOUBLE, 2), round_even(sec + 3.5::DOUBLE, 2), round_even(sec + 6.0::DOUBLE, 2)] AS fw FROM r))),
 t AS (SELECT source_id, request, sec, unnest(range(0, len(cs))) AS rk, unnest(cs) AS cand FROM c),
@@ -360,7 +365,7 @@ SELECT source_id, request, CAST(rk AS INTEGER) AS seek_rank, cand AS seek_sec, c
 def j2(spark, d):
     hours = (F.col("sec") - 1704067200.0) / 3600.0
     frames = X.signal(spark, d).select("source_id", hours.alias("ts_sec"), F.col("event_id").alias("frame_id"), F.array("value").alias("vec"))
-    requests = frames.filter("frame_id % 3 = 0").select(
+    requests = frames.select(
         "source_id", F.col("frame_id").alias("request"), F.greatest(F.lit(0.0), F.col("ts_sec") - 2.0).alias("sec")
     )
     out = J.seek_first_available(requests, frames, ["source_id"], "request", tol=0.25, vector="vec")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioflow import constants as C
 
 _DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
-_HEX = r"^0[xX][0-9a-fA-F]{1,15}$"
+_HEX = r"^0[xX][0-9a-fA-F]+$"
 
 
 def col(value) -> Column:
@@ -37,10 +37,23 @@ def round_tenth(value: Column) -> Column:
     return F.floor(value * 10.0 + 0.5) / 10.0
 
 
+def _hex_double(digits: Column) -> Column:
+    """The double nearest to a hexadecimal number of any length.
+
+    The first 15 digits fill the mantissa and more; whether anything follows only
+    decides ties, so it is kept as one sticky bit.
+    """
+    digits = F.ltrim(digits, F.lit("0"))
+    rest = F.greatest(F.length(digits) - 15, F.lit(0))
+    sticky = F.when(F.substr(digits, F.lit(16)).rlike("[1-9a-fA-F]"), 1).otherwise(0).cast("bigint")
+    head = F.coalesce(F.conv(F.nullif(F.substring(digits, 1, 15), F.lit("")), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
+    return head.bitwiseOR(sticky).cast("double") * F.pow(F.lit(16.0), rest)
+
+
 def try_number(text: Column) -> Column:
     """Trimmed text as a finite double, else null. Type suffixes and named specials are not numbers."""
     text = F.trim(text)
-    value = F.when(text.rlike(_HEX), F.conv(F.substring(text, 3, 15), 16, 10).cast("double")).when(
+    value = F.when(text.rlike(_HEX), _hex_double(F.substr(text, F.lit(3)))).when(
         text.rlike(_DECIMAL), text.cast("double")
     )
     return F.when(F.abs(value) < F.lit(float("inf")), value)

@@ -159,6 +159,20 @@ def normalize_tone(frames: DataFrame, *, median: bool = True) -> DataFrame:
     return map_rows(frames, ["px", "width", "height"], tone, [("tone", kind)])
 
 
+def toned_profile(frames: DataFrame, *, median: bool = True) -> DataFrame:
+    """Add ``tone`` and ``row_density``, the share of adaptive ink per row of the toned image, in one pass."""
+    kind, pack = _like(frames)
+
+    def measure(px, width, height):
+        gray = K.image(px, width, height)
+        if gray is None:
+            return None, None
+        gray = K.normalize_tone(gray, median)
+        return pack(gray), K.ink_mask(gray).mean(axis=1)
+
+    return map_rows(frames, ["px", "width", "height"], measure, [("tone", kind), ("row_density", "array<double>")])
+
+
 def frame_hash(frames: DataFrame) -> DataFrame:
     """Add ``dhash BIGINT`` of the 9x8 shrunk frame; null below 9x8."""
 

@@ -52,8 +52,9 @@ def seek_first_available(
     """
     key = list(key)
     tries = requests.select(*key, request, sec, F.posexplode(seek_candidates(F.col(sec))).alias("seek_rank", "seek_sec"))
-    bucket = F.floor(F.col("seek_sec") / tol)
-    tries = tries.withColumn("_bucket", F.explode(F.array(bucket, bucket + 1)))
+    # Division keeps order, so every time in [t, t + tol] falls into one of these buckets.
+    first, last = F.floor(F.col("seek_sec") / tol), F.floor((F.col("seek_sec") + tol) / tol)
+    tries = tries.withColumn("_bucket", F.explode(F.sequence(first, last)))
     # Frames at one instant are interchangeable: keep the first of each.
     instants = frames.groupBy(*key, ts).agg(F.min(frame).alias(frame))
     instants = instants.withColumn("_bucket", F.floor(F.col(ts) / tol))
@@ -70,8 +71,8 @@ def seek_first_available(
     missing = found.filter(F.col(frame).isNull()).select(*key, request, sec)
     window = F.lit(C.SEEK_WINDOW)
     spans = missing.withColumn("_start", F.greatest(F.lit(0.0), F.col(sec)))
-    first = F.floor(F.col("_start") / window)
-    spans = spans.withColumn("_bucket", F.explode(F.array(first, first + 1)))
+    first, last = F.floor(F.col("_start") / window), F.floor((F.col("_start") + window) / window)
+    spans = spans.withColumn("_bucket", F.explode(F.sequence(first, last)))
     near = spans.join(
         frames.select(*key, ts, frame, vector).withColumn("_bucket", F.floor(F.col(ts) / window)), [*key, "_bucket"]
     ).filter((F.col(ts) >= F.col("_start")) & (F.col(ts) < F.col("_start") + window))

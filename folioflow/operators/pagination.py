@@ -522,6 +522,44 @@ def page_diagnostics(profile: DataFrame, pages: DataFrame, key: Sequence[str]) -
             F.avg(F.when(F.col("edge") == "bottom", F.col("density"))).alias("_bottom"),
         )
     )
+    return _verdict(means, key)
+
+
+def canvas_diagnostics(profile: DataFrame, framed: DataFrame, key: Sequence[str]) -> DataFrame:
+    """The diagnostics of pages as printed; page_index counts from 1.
+
+    ``framed`` has the place of each page on its canvas (``frame_pages``) and y_start.
+    Canvas rows beside the page are blank, and a density is a share of the canvas width.
+    """
+    key = list(key)
+    edge = F.least(F.lit(C.PAGE_EDGE_ROWS), F.col("canvas_h"))
+    end = F.least(F.col("y0") + F.col("draw_h"), F.col("canvas_h"))
+
+    def rows(first, last):
+        return F.when(first < last, F.sequence(first, last - 1)).otherwise(F.array().cast("array<int>"))
+
+    bands = F.array(
+        F.struct(F.lit("top").alias("edge"), rows(F.col("y0"), F.least(end, edge)).alias("ys")),
+        F.struct(F.lit("bottom").alias("edge"), rows(F.greatest(F.col("y0"), F.col("canvas_h") - edge), end).alias("ys")),
+    )
+    placed = framed.select(
+        *key, "page_index", "y_start", "height", "y0", "draw_h", edge.alias("_rows"),
+        (F.col("draw_w") / F.col("canvas_w")).alias("_share"), F.inline(bands),
+    ).withColumn("_line", F.explode("ys"))
+    source = F.floor((F.col("_line") - F.col("y0")) * F.col("height") / F.col("draw_h"))
+    placed = placed.withColumn("y", (F.col("y_start") + source).cast("int"))
+    met = placed.join(profile.select(*key, "y", "density"), [*key, "y"])
+    ink = F.col("density") * F.col("_share") / F.col("_rows")
+    sums = met.groupBy(*key, "page_index").agg(
+        F.sum(F.when(F.col("edge") == "top", ink)).alias("_top"), F.sum(F.when(F.col("edge") == "bottom", ink)).alias("_bottom")
+    )
+    means = framed.select(*key, "page_index").join(sums, [*key, "page_index"], "left")
+    zero = F.lit(0.0)
+    means = means.withColumns({"_top": F.coalesce("_top", zero), "_bottom": F.coalesce("_bottom", zero), "page_index": F.col("page_index") + 1})
+    return _verdict(means, key)
+
+
+def _verdict(means: DataFrame, key: Sequence[str]) -> DataFrame:
     top, bottom = F.col("_top") > C.PAGE_EDGE_CUT, F.col("_bottom") > C.PAGE_EDGE_CUT
     reasons = F.array_compact(F.array(F.when(top, F.lit("top_edge_busy")), F.when(bottom, F.lit("bottom_edge_busy"))))
     return means.select(

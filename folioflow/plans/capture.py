@@ -14,6 +14,7 @@ from folioflow.operators import frames as FR
 from folioflow.operators import joins as J
 from folioflow.operators import projections as P
 from folioflow.plans.export import Export, export
+from folioflow.runs import Ordered
 from folioflow.session import stage
 
 KEY, ORDER = ["source_id"], ["frame_index"]
@@ -34,12 +35,15 @@ class CaptureOptions:
     dedupe: dict = field(default_factory=dict)
 
 
+def sampled_frames(frames: DataFrame, options: CaptureOptions) -> DataFrame:
+    """(source_id, frame_index) of the frames in the time range that sampling takes; no pixels are read."""
+    rows = P.clip_time_range(frames.select(*KEY, *ORDER, "ts_sec"), "ts_sec", options.start_sec, options.end_sec)
+    return P.sample_frames(rows, KEY, "ts_sec", options.fps, tie=ORDER).select(*KEY, *ORDER)
+
+
 def sampled_sheets(frames: DataFrame, rois: DataFrame, options: CaptureOptions) -> DataFrame:
     """Clip, sample, attach regions and rectify: (source_id, frame_index, px, width, height)."""
-    rows = P.clip_time_range(frames, "ts_sec", options.start_sec, options.end_sec)
-    # Pixels stay out of the sampling shuffle: slots are chosen on the index only.
-    slim = P.sample_frames(rows.select(*KEY, *ORDER, "ts_sec"), KEY, "ts_sec", options.fps, tie=ORDER)
-    rows = rows.join(slim.select(*KEY, *ORDER), [*KEY, *ORDER], "left_semi")
+    rows = frames.join(sampled_frames(frames, options), [*KEY, *ORDER], "left_semi")
     sheets = FR.rectify_frames(J.attach_roi(rows, rois, KEY))
     return sheets.select(
         *KEY, *ORDER, F.col("sheet").alias("px"), F.col("sheet_width").alias("width"), F.col("sheet_height").alias("height")
@@ -69,7 +73,11 @@ def capture(frames: DataFrame, rois: DataFrame, options: CaptureOptions = Captur
     kept = stage(kept_frames(sampled_sheets(frames, rois, options), options))
     formats = F.array(*[F.lit(f) for f in options.formats])
     runs = kept.select(*KEY).distinct().withColumns({"formats": formats, "include_raw": F.lit(options.include_raw)})
-    raw = frames.select(*KEY, *ORDER) if options.include_raw else None
+    raw = None
+    if options.include_raw:
+        # Copies are numbered from 0 in the order of the sampled frames.
+        numbered = Ordered(sampled_frames(frames, options), KEY, ORDER).position("_copy").result()
+        raw = numbered.select(*KEY, F.col("_copy").alias("frame_index"))
     return export(kept, runs, KEY, ORDER, mode=options.page_fill_mode, raw=raw)
 
 

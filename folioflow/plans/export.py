@@ -28,18 +28,25 @@ class Export:
     manifest: DataFrame
 
 
-def sheet_profile(frames: DataFrame, plan: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+def toned_frames(frames: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Toned gray pixels and the row densities of their ink, from one pass over the pixels."""
+    toned = FR.toned_profile(frames).filter("tone is not null")
+    return toned.select(*key, *order, F.col("tone").alias("px"), "width", "height", "row_density")
+
+
+def sheet_profile(toned: DataFrame, plan: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
     """(key, y, density) of the merged sheets.
 
-    Ink is measured per frame, before anything is shuffled; each frame row is then
-    placed at its offset. Under an overlap the lower frame's rows count, gap rows are blank.
+    Each row of a toned frame is placed at its offset; its density is a share of the
+    widest frame of the sheet. Under an overlap the lower frame's rows count, gap rows are blank.
     """
     key = list(key)
-    inked = FR.adaptive_ink_profile(frames).select(*key, *order, "row_density")
-    rows = inked.join(plan, [*key, *order]).select(
-        *key, (F.col("y_offset")).alias("_at"), "overlap", F.posexplode("row_density").alias("_line", "density")
+    widest = toned.select(*key, "width").groupBy(*key).agg(F.max("width").alias("_widest"))
+    inked = toned.select(*key, *order, F.col("width").alias("_own"), "row_density").join(widest, key)
+    rows = inked.join(plan.select(*key, *order, "y_offset"), [*key, *order]).select(
+        *key, F.col("y_offset").alias("_at"), (F.col("_own") / F.col("_widest")).alias("_share"), F.posexplode("row_density").alias("_line", "density")
     )
-    rows = rows.select(*key, (F.col("_at") + F.col("_line")).cast("int").alias("y"), "_at", "density")
+    rows = rows.select(*key, (F.col("_at") + F.col("_line")).cast("int").alias("y"), "_at", (F.col("density") * F.col("_share")).alias("density"))
     # Two frames may cover a row: the later one starts lower.
     top = rows.groupBy(*key, "y").agg(F.max_by("density", "_at").alias("density"))
     height = rows.groupBy(*key).agg(F.max("y").alias("_last"))
@@ -56,12 +63,18 @@ def export(
     mode: str = "performance",
     ratio: float = C.PAGE_RATIO,
     raw: DataFrame | None = None,
+    review: bool = False,
 ) -> Export:
-    """Merge, paginate, diagnose and list the ``frames`` of every key; ``runs`` (key, formats, include_raw)."""
+    """Merge, paginate, diagnose and list the ``frames`` of every key; ``runs`` (key, formats, include_raw).
+
+    A ``review`` lists previews and no complete sheet.
+    """
     key = list(key)
-    frames = FR.align_width(frames, key) if dict(frames.dtypes)["px"].startswith("array") else frames
-    plan = stage(Q.merge_plan(frames, key, order))
-    profile = stage(sheet_profile(frames, plan, key, order))
+    toned = stage(toned_frames(frames, key, order))
+    grids = toned.drop("row_density")
+    grids = FR.align_width(grids, key) if dict(toned.dtypes)["px"].startswith("array") else grids
+    plan = stage(Q.merge_plan(grids, key, order, tone=False))
+    profile = stage(sheet_profile(toned, plan, key, order))
     sheets = (
         plan.groupBy(*key).agg(F.max("width").alias("width"), F.count(F.lit(1)).alias("used_frames"))
         .join(profile.groupBy(*key).agg((F.max("y") + 1).alias("height")), key)
@@ -69,11 +82,12 @@ def export(
     pages = stage(P.split_pages(profile, sheets, key, mode=mode, ratio=ratio))
     sized = pages.join(sheets.select(*key, "width"), key).withColumn("height", F.col("y_end") - F.col("y_start"))
     runs = runs.join(sheets.select(*key, "used_frames"), key)
+    canvas = P.frame_pages(sized, key, ratio=ratio)
     return Export(
         plan=plan,
         profile=profile,
         pages=pages,
-        diagnostics=P.page_diagnostics(profile, pages, key),
-        canvas=P.frame_pages(sized, key, ratio=ratio),
-        manifest=export_manifest(pages, runs, key, raw=raw),
+        diagnostics=P.canvas_diagnostics(profile, canvas, key),
+        canvas=canvas,
+        manifest=export_manifest(pages, runs, key, raw=raw, review=review),
     )

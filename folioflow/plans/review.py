@@ -28,4 +28,4 @@ def review(
     runs = jobs.join(accepted, "job_id", "left_semi").select(
         "job_id", normalize_formats(F.col("formats")).alias("formats"), F.lit(False).alias("include_raw")
     )
-    return verdicts, export(pixels, runs, ["job_id"], ["frame_index"], mode=mode)
+    return verdicts, export(pixels, runs, ["job_id"], ["frame_index"], mode=mode, review=True)

@@ -95,7 +95,7 @@ def list_assets(spark: SparkSession, path: str) -> DataFrame:
 def describe_assets(files: DataFrame, root: str, *, path: str = "path") -> DataFrame:
     """Add the top-level child below ``root`` and the lower-case extension."""
     plain = F.regexp_replace(F.col(path), r"^[a-z0-9]+:/+", "/")
-    inner = F.substring(plain, len("/" + root.strip("/")) + 2, 1 << 20)
+    inner = F.substr(plain, F.lit(len("/" + root.strip("/")) + 2))
     return files.withColumns(
         {"child": F.substring_index(inner, "/", 1), "extension": F.lower(F.regexp_extract(path, r"[^/.]\.([^./]+)$", 1))}
     )

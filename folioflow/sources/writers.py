@@ -11,12 +11,13 @@ from folioflow.functions.text import normalize_formats
 
 
 def export_manifest(
-    pages: DataFrame, runs: DataFrame, key: Sequence[str], *, raw: DataFrame | None = None
+    pages: DataFrame, runs: DataFrame, key: Sequence[str], *, raw: DataFrame | None = None, review: bool = False
 ) -> DataFrame:
     """(key, role, format, item_index, name) of everything an export writes.
 
     ``pages`` (key, page_index from 0); ``runs`` (key, formats, used_frames, include_raw) one row per
-    run; ``raw`` (key, frame_index) the source frames copied when asked for.
+    run; ``raw`` (key, frame_index) the source frames copied when asked for. A ``review`` writes no
+    complete sheet; its previews are the png pages, or files of their own when png is not wanted.
     """
     key = list(key)
     plan = runs.withColumn("formats", normalize_formats(F.col("formats")))
@@ -40,7 +41,21 @@ def export_manifest(
         .filter(F.array_contains("formats", "pdf"))
         .select(*key, F.lit("pdf").alias("role"), F.lit("pdf").alias("format"), F.lit(0).alias("item_index"), F.lit("sheet_export.pdf").alias("name"))
     )
-    out = images.unionByName(whole).unionByName(book)
+    out = images.unionByName(book)
+    if review:
+        own = ~F.array_contains("formats", "png")
+        shown = pages.join(plan.select(*key, own.alias("_own")), key)
+        out = out.unionByName(
+            shown.select(
+                *key,
+                F.lit("preview_images").alias("role"),
+                F.lit("png").alias("format"),
+                number.cast("int").alias("item_index"),
+                F.when(F.col("_own"), F.format_string("preview_%04d.png", number)).otherwise(F.format_string("page_%04d.png", number)).alias("name"),
+            )
+        )
+    else:
+        out = out.unionByName(whole)
     if raw is not None:
         copies = raw.join(plan.filter("include_raw").select(*key), key, "left_semi")
         out = out.unionByName(

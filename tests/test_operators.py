@@ -584,3 +584,81 @@ def test_stream_state_survives_batches(spark, tmp_path):
     got = sorted(r.frame_index for r in spark.read.parquet(out).collect())
     want = sorted(r.frame_index for r in Q.dedupe_frames(df, ["source_id"], ["frame_index"], layout="page_turn").collect())
     assert got == want == [0, 2, 5, 7]
+
+
+# --- export surface ------------------------------------------------------------------
+
+
+def test_faint_images_have_ink_in_the_export_profile(spark):
+    from folioflow.plans.export import export
+
+    img = np.full((300, 200), 250, np.uint8)
+    img[100:110, 20:180] = 244
+    frames = frames_df(spark, [img])
+    runs = spark.createDataFrame([("a", ["png"], False)], "source_id string, formats array<string>, include_raw boolean")
+    out = export(frames, runs, ["source_id"], ["frame_index"])
+    assert out.profile.agg(F.sum("density")).first()[0] > 1
+
+
+def test_narrow_frames_count_as_a_share_of_the_widest(spark):
+    from folioflow.plans.export import sheet_profile
+
+    rows = [("a", 0, 600, [0.5] * 4), ("a", 1, 300, [0.5] * 4)]
+    toned = spark.createDataFrame(rows, "source_id string, frame_index int, width int, row_density array<double>")
+    plan = spark.createDataFrame([("a", 0, 0), ("a", 1, 4)], "source_id string, frame_index int, y_offset int")
+    got = [r.density for r in sheet_profile(toned, plan, ["source_id"], ["frame_index"]).orderBy("y").collect()]
+    assert got == [0.5] * 4 + [0.25] * 4
+
+
+def test_diagnostics_see_the_printed_canvas(spark):
+    """The top band of 48 canvas rows holds the margin and 48 - margin page rows, as a share of the canvas width."""
+    from folioflow.operators import pagination as PG
+
+    pages = spark.createDataFrame([("a", 0, 0, 1000, 1000), ("a", 1, 1000, 1900, 900)], "source_id string, page_index int, y_start int, y_end int, height int")
+    framed = PG.frame_pages(pages.withColumn("width", F.lit(1000)), ["source_id"])
+    ys = spark.range(1900).select(F.lit("a").alias("source_id"), F.col("id").cast("int").alias("y"), F.when(F.col("id") < 1000, 0.3).otherwise(0.0).alias("density"))
+    got = {r.page_index: r for r in PG.canvas_diagnostics(ys, framed, ["source_id"]).collect()}
+    place = {r.page_index + 1: r for r in framed.collect()}
+    assert set(got) == {1, 2}
+    one = place[1]
+    top = sum(one.y0 <= y < one.y0 + one.draw_h for y in range(48)) * 0.3 * one.draw_w / one.canvas_w / 48
+    assert abs(got[1].top_edge_density - round(top, 5)) < 2e-5 and got[1].suspicious == (top > 0.02 or got[1].bottom_edge_density > 0.02)
+    assert got[2].top_edge_density == 0.0 and not got[2].suspicious
+
+
+def test_raw_copies_are_the_sampled_frames(spark):
+    from folioflow.plans.capture import CaptureOptions, capture
+
+    frames = frames_df(spark, [staff_page(300, 400, [20 + 30 * i]) for i in range(5)])
+    rois = spark.createDataFrame([], "source_id string, roi array<array<double>>")
+    out = capture(frames, rois, CaptureOptions(fps=0.5, include_raw=True, formats=("png",)))
+    names = sorted(r.name for r in out.manifest.filter("role = 'raw_frames'").collect())
+    assert names == ["raw_00000.png", "raw_00001.png", "raw_00002.png"]
+
+
+def test_review_lists_previews_and_no_complete_sheet(spark):
+    from folioflow.sources.writers import export_manifest
+
+    pages = spark.createDataFrame([(j, i, 0, 9) for j in ("a", "b") for i in range(2)], "job_id string, page_index int, y_start int, y_end int")
+    runs = spark.createDataFrame([("a", ["png", "pdf"], 3, False), ("b", ["pdf"], 3, False)], "job_id string, formats array<string>, used_frames int, include_raw boolean")
+    rows = {(r.job_id, r.role, r.name) for r in export_manifest(pages, runs, ["job_id"], review=True).collect()}
+    assert {(j, r) for j, r, _ in rows} == {("a", "images"), ("a", "pdf"), ("a", "preview_images"), ("b", "pdf"), ("b", "preview_images")}
+    assert {n for j, r, n in rows if r == "preview_images"} == {"page_0001.png", "page_0002.png", "preview_0001.png", "preview_0002.png"}
+
+
+def test_seek_finds_a_frame_at_the_far_edge(spark):
+    frames = spark.createDataFrame([("a", 7, 0.4)], "source_id string, frame_id int, ts_sec double")
+    asked = spark.createDataFrame([("a", 1, 0.3)], "source_id string, request int, sec double")
+    assert J.seek_first_available(asked, frames, ["source_id"], "request", tol=0.1).first().frame_id == 7
+
+
+def test_long_hex_numbers(spark):
+    values = ["0x1", "0xFFFFFFFFFFFFFFFFF", "0x10000000000000800", "0x10000000000000801", "0x" + "0" * 40 + "f", "0x" + "f" * 300, "0x0", "0xg"]
+    got = [r.v for r in spark.createDataFrame([(v,) for v in values], "t string").select(N.try_number(F.col("t")).alias("v")).collect()]
+    want = []
+    for v in values[:-1]:
+        try:
+            want.append(float(int(v, 16)))
+        except OverflowError:
+            want.append(None)
+    assert got == [*want, None]
