@@ -244,6 +244,23 @@ def u3(spark, d):
     return U.ordered_distinct(rows, ["source_id"], "event_type", ["ts", "event_id"])
 
 
+# Every capture of a job as a page; formats by the job's number of pages.
+@query(
+    "s4_review_manifest",
+    f"""WITH {CP}, n AS (SELECT job_id, count(*) % 3 AS k FROM cp GROUP BY job_id), p AS (SELECT job_id, idx, k FROM cp JOIN n USING (job_id)),
+f AS (SELECT job_id, 'images' AS role, 'png' AS format, CAST(idx + 1 AS INTEGER) AS item_index, format('page_{{:04d}}.png', idx + 1) AS name FROM p WHERE k <> 1
+ UNION ALL SELECT job_id, 'images', 'jpg', CAST(idx + 1 AS INTEGER), format('page_{{:04d}}.jpg', idx + 1) FROM p WHERE k = 2
+ UNION ALL SELECT job_id, 'preview_images', 'png', CAST(idx + 1 AS INTEGER), format(CASE WHEN k = 1 THEN 'preview' ELSE 'page' END || '_{{:04d}}.png', idx + 1) FROM p
+ UNION ALL SELECT job_id, 'pdf', 'pdf', 0, 'sheet_export.pdf' FROM n WHERE k <= 1) SELECT * FROM f""",
+)
+def s4_review(spark, d):
+    pages = X.captures(spark, d).select("job_id", F.col("idx").alias("page_index"))
+    kinds = F.when(F.col("k") == 0, F.array(F.lit("png"), F.lit("pdf"))).when(F.col("k") == 1, F.array(F.lit("pdf"))).otherwise(F.array(F.lit("png"), F.lit("jpg")))
+    runs = pages.groupBy("job_id").agg((F.count(F.lit(1)) % 3).alias("k"), F.count(F.lit(1)).alias("used_frames"))
+    runs = runs.select("job_id", kinds.alias("formats"), "used_frames", F.lit(False).alias("include_raw"))
+    return WR.export_manifest(pages, runs, ["job_id"], review=True)
+
+
 # --- caches, renditions, attempts -------------------------------------------------------------
 
 

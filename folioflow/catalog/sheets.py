@@ -245,6 +245,32 @@ def q11b(spark, d):
     )
 
 
+# The same pages as printed: widths of 300, 48 canvas rows at either end.
+@query(
+    "a4_canvas_diagnostics",
+    f"""WITH {SP}, h AS (SELECT sheet_id, max(y) + 1 AS h FROM sp GROUP BY sheet_id), pg AS (SELECT sheet_id, h, CAST(unnest(range(0, CAST(ceil(h / 350.0::DOUBLE) AS BIGINT))) AS INTEGER) AS page_index FROM h),
+pr AS (SELECT sheet_id, page_index, page_index * 350 AS s, least(h, page_index * 350 + 350) - page_index * 350 AS n FROM pg),
+l AS (SELECT sheet_id, max(n) AS h, 300 AS w FROM pr GROUP BY sheet_id),
+c AS (SELECT *, greatest(10, CAST(floor(w * 0.015::DOUBLE) AS INTEGER)) AS mx, greatest(14, CAST(floor(h * 0.026::DOUBLE) AS INTEGER)) AS mt, greatest(24, CAST(floor(h * 0.056::DOUBLE) AS INTEGER)) AS mb FROM l),
+e AS (SELECT *, w + 2 * mx AS cw, greatest(mt + mb + 1, CAST(round_even((w + 2 * mx) / (1.0::DOUBLE / 1.4142::DOUBLE), 0) AS INTEGER)) AS ch FROM c),
+sc AS (SELECT *, least(1.0::DOUBLE, (cw - 2 * mx) / CAST(w AS DOUBLE), greatest(1, ch - mt - mb) / CAST(h AS DOUBLE)) AS sc FROM e),
+d AS (SELECT pr.*, cw, ch, mt, mb, CASE WHEN sc < 0.999 THEN greatest(1, CAST(round_even(300 * sc, 0) AS INTEGER)) ELSE 300 END AS dw, CASE WHEN sc < 0.999 THEN greatest(1, CAST(round_even(n * sc, 0) AS INTEGER)) ELSE n END AS dh FROM pr JOIN sc USING (sheet_id)),
+f AS (SELECT *, CASE WHEN mt + dh > ch - mb THEN greatest(mt, ch - mb - dh) ELSE mt END AS y0 FROM d),
+r AS (SELECT *, unnest(range(y0, least(y0 + dh, ch))) AS line FROM f),
+g AS (SELECT r.*, density * 0.91731::DOUBLE * dw / cw / least(48, ch) AS ink FROM r JOIN sp ON sp.sheet_id = r.sheet_id AND sp.y = s + CAST(floor((line - y0) * n / CAST(dh AS DOUBLE)) AS INTEGER)),
+m AS (SELECT sheet_id, page_index, coalesce(sum(ink) FILTER (line < 48), 0) AS t, coalesce(sum(ink) FILTER (line >= ch - 48), 0) AS b FROM g GROUP BY ALL)
+SELECT sheet_id, page_index + 1 AS page_index, round_even(t, 5) AS top_edge_density, round_even(b, 5) AS bottom_edge_density, t > 0.02 OR b > 0.02 AS suspicious FROM m""",
+)
+def a4b(spark, d):
+    prof = X.sheet_profile(spark, d).withColumn("density", F.col("density") * 0.91731)
+    h = prof.groupBy("sheet_id").agg((F.max("y") + 1).alias("h"))
+    pages = h.select("sheet_id", "h", F.explode(F.sequence(F.lit(0), F.ceil(F.col("h") / 350).cast("int") - 1)).alias("page_index"))
+    start = F.col("page_index") * 350
+    pages = pages.select("sheet_id", "page_index", start.alias("y_start"), (F.least("h", start + 350) - start).alias("height"), F.lit(300).alias("width"))
+    out = P.canvas_diagnostics(prof, P.frame_pages(pages, KEY), KEY)
+    return out.select("sheet_id", "page_index", "top_edge_density", "bottom_edge_density", "suspicious")
+
+
 @query(
     "q12_frame_pages",
     """WITH p AS (SELECT p_brand, p_partkey, CAST(p_size * 40 + 600 AS INTEGER) AS width, CAST(900 + p_partkey % 1900 AS INTEGER) AS height FROM part),

@@ -10,7 +10,6 @@ Both ways give the same rows.
 
 from __future__ import annotations
 
-import math
 import pickle
 import zlib
 from collections.abc import Iterator, Sequence
@@ -29,9 +28,10 @@ RUN_ROWS_CONF = "spark.folioflow.runRows"
 # Rows of one key that one task may walk: plain rows, and rows that carry pixels or vectors.
 DEFAULT_RUN_ROWS = 1_000_000
 DEFAULT_RUN_FRAMES = 20_000
-# What the driver may hold for the borders of one fold: one state per run.
-BORDER_BYTES = 256 * 1024 * 1024
-MAX_ROUNDS = 8
+# Bytes of gray pixels of one key that one task may walk.
+RUN_BYTES = 1 << 30
+# Border states that are moved at once; more of them go in several waves.
+BORDER_BYTES = 64 * 1024 * 1024
 
 
 def run_rows(df: DataFrame) -> int:
@@ -50,14 +50,24 @@ def _unpack(data: bytes):
 
 
 def group_sizes(df: DataFrame, key: Sequence[str]) -> tuple[int, int]:
-    """(rows, rows of the largest key); counts are combined before the shuffle."""
-    row = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
-    return int(row[0] or 0), int(row[1] or 0)
+    """(runs that all rows need, runs that the largest key needs), by rows and by gray bytes where frames have sizes.
+
+    Counts are combined before the shuffle.
+    """
+    limit = run_rows(df)
+    sides = next((s for s in (("gw", "gh"), ("width", "height")) if set(s) <= set(df.columns)), None)
+    size = F.col(sides[0]).cast("bigint") * F.col(sides[1]) if sides else F.lit(0)
+    row = (
+        df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b"))
+        .agg(F.sum("n"), F.max("n"), F.sum("b"), F.max("b")).first()
+    )
+    rows, most, total, heavy = (int(v or 0) for v in row)
+    return max(-(-rows // limit), -(-total // RUN_BYTES)), max(-(-most // limit), -(-heavy // RUN_BYTES))
 
 
 def fits(df: DataFrame, key: Sequence[str]) -> bool:
     """Can one task walk the largest key? A yes also holds for rows derived by filtering or grouping."""
-    return group_sizes(df, key)[1] <= run_rows(df)
+    return group_sizes(df, key)[1] <= 1
 
 
 class Ordered:
@@ -71,10 +81,9 @@ class Ordered:
         self.key, self.order = list(key), list(order)
         self.split, self.df = False, df
         if not small:
-            limit = run_rows(df)
-            rows, largest = group_sizes(df, self.key)
-            if largest > limit:
-                self.split, self.df = True, split_runs(df, self.key, self.order, rows, limit)
+            runs, largest = group_sizes(df, self.key)
+            if largest > 1:
+                self.split, self.df = True, split_runs(df, self.key, self.order, runs)
 
     def _window(self):
         parts = [RUN] + self.key if self.split else self.key
@@ -132,11 +141,10 @@ class Ordered:
         return self.df.drop(RUN)
 
 
-def split_runs(df: DataFrame, key, order, rows: int, limit: int) -> DataFrame:
+def split_runs(df: DataFrame, key, order, runs: int) -> DataFrame:
     """Range-partition on (key, order) and stage, so the borders stay put in later passes."""
-    runs = max(2, math.ceil(rows / limit))
     return stage(
-        df.repartitionByRange(runs, *key, *order)
+        df.repartitionByRange(max(2, runs), *key, *order)
         .sortWithinPartitions(*key, *order)
         .withColumn(RUN, F.spark_partition_id())
     )
@@ -185,7 +193,6 @@ def ordered_fold(
     fold: Fold,
     *,
     small: bool | None = None,
-    max_rounds: int = MAX_ROUNDS,
 ) -> DataFrame:
     """Append the fold's outputs to every row.
 
@@ -194,17 +201,14 @@ def ordered_fold(
     every run whose true entry state (the exit of the run before) differs from
     the one it used is folded again, until nothing changes. Greedy
     last-kept rules fall back into step within a few rows, so two or three
-    rounds are usual; if the rounds run out, or the border states would not fit
-    the driver, the single ordered pass per key gives the same rows.
+    rounds are usual. Every round makes at least the first stale run final, so
+    it ends; only stale runs are read again.
     """
     key, order = list(key), list(order)
     if not small:
-        limit = run_rows(df)
-        rows, largest = group_sizes(df, key)
-        if largest > limit:
-            done = _fold_runs(split_runs(df, key, order, rows, limit), key, fold, max_rounds)
-            if done is not None:
-                return done.drop(RUN)
+        runs, largest = group_sizes(df, key)
+        if largest > 1:
+            return _fold_runs(split_runs(df, key, order, runs), key, fold).drop(RUN)
     outputs = list(fold.outputs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,23 +220,67 @@ def ordered_fold(
     return ready.mapInArrow(run, appended_schema(df, outputs))
 
 
-def _fold_runs(runs: DataFrame, key, fold: Fold, max_rounds: int) -> DataFrame | None:
-    entries: dict[int, bytes] = {}
-    borders: dict[int, tuple[bytes, bytes, bytes]] = {}
-    todo: set[int] | None = None
-    for _ in range(max_rounds):
-        summary = stage(runs.mapInArrow(_summarise(key, fold, entries, todo), "run int, first binary, last binary, state binary"))
-        if (summary.agg(F.sum(F.length("state"))).first()[0] or 0) > BORDER_BYTES:
-            return None
-        for row in summary.collect():  # one row per run, size checked above
-            borders[row.run] = (bytes(row.first), bytes(row.last), bytes(row.state))
-        order = sorted(borders)
-        found = {b: borders[a][2] for a, b in zip(order, order[1:]) if borders[a][1] == borders[b][0]}
-        todo = {r for r in found if found[r] != entries.get(r)}
-        entries = found
-        if not todo:
-            return runs.mapInArrow(_emit(key, fold, entries), appended_schema(runs, list(fold.outputs)))
-    return None
+class _Borders:
+    """What is known of the runs: first and last key, digest and size of the exit state, and where that state is staged."""
+
+    def __init__(self):
+        self.known: dict[int, tuple] = {}
+
+    def learn(self, summary: DataFrame) -> None:
+        rows = summary.select("run", "first", "last", F.sha2("state", 256).alias("digest"), F.length("state").alias("size")).collect()
+        for r in rows:  # one short row per run
+            self.known[r.run] = (bytes(r.first), bytes(r.last), r.digest, r.size, summary)
+
+    def before(self) -> dict[int, int]:
+        """{run: the run before it} where both hold the same key at their border."""
+        order = sorted(self.known)
+        return {b: a for a, b in zip(order, order[1:]) if self.known[a][1] == self.known[b][0]}
+
+    def waves(self, runs: Sequence[int], before: dict[int, int]) -> Iterator[list[int]]:
+        """Runs in order, as many at once as their entry states fit into BORDER_BYTES, at least one."""
+        wave, filled = [], 0
+        for run in runs:
+            size = self.known[before[run]][3] if run in before else 0
+            if wave and filled + size > BORDER_BYTES:
+                yield wave
+                wave, filled = [], 0
+            wave.append(run)
+            filled += size
+        yield wave
+
+    def entries(self, wave: Sequence[int], before: dict[int, int]) -> dict[int, bytes]:
+        """The entry states of a wave, read from the staged summaries."""
+        by_table: dict[int, tuple[DataFrame, list[int]]] = {}
+        for run in wave:
+            if run in before:
+                table = self.known[before[run]][4]
+                by_table.setdefault(id(table), (table, []))[1].append(before[run])
+        states = {}
+        for table, runs in by_table.values():
+            for r in table.filter(F.col("run").isin(runs)).select("run", "state").collect():
+                states[r.run] = bytes(r.state)
+        return {run: states[before[run]] for run in wave if run in before}
+
+
+def _fold_runs(runs: DataFrame, key, fold: Fold) -> DataFrame:
+    context, borders, used = runs.sparkSession.sparkContext, _Borders(), {}
+    schema = "run int, first binary, last binary, state binary"
+    todo, entries = None, {}
+    while True:
+        borders.learn(stage(runs.mapInArrow(_summarise(key, fold, context.broadcast(entries), todo), schema)))
+        before = borders.before()
+        stale = [run for run in sorted(before) if used.get(run) != borders.known[before[run]][2]]
+        if not stale:
+            break
+        todo = set(next(borders.waves(stale, before)))
+        entries = borders.entries(sorted(todo), before)
+        used.update({run: borders.known[before[run]][2] for run in todo})
+    out = None
+    for wave in borders.waves(sorted(borders.known), before):
+        shared = context.broadcast(borders.entries(wave, before))
+        part = runs.mapInArrow(_emit(key, fold, shared, set(wave)), appended_schema(runs, list(fold.outputs)))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _entry(batches, entries):
@@ -240,7 +288,7 @@ def _entry(batches, entries):
     for batch in batches:
         if batch.num_rows:
             number = batch.column(RUN)[0].as_py()
-            state = _unpack(entries[number]) if number in entries else None
+            state = _unpack(entries.value[number]) if number in entries.value else None
 
             def again(head=batch):
                 yield head
@@ -266,11 +314,13 @@ def _summarise(key, fold, entries, todo):
     return run
 
 
-def _emit(key, fold, entries):
+def _emit(key, fold, entries, wave):
     outputs = list(fold.outputs)
 
     def run(batches):
-        _, state, rest = _entry(batches, entries)
+        number, state, rest = _entry(batches, entries)
+        if number not in wave:
+            return
         for batch, out in _walk(rest, key, fold, state):
             if batch is not None:
                 yield append_columns(batch, outputs, list(zip(*out)) if out else [[] for _ in outputs])

@@ -123,9 +123,13 @@ class _Transitions(StatefulProcessor):
             for _ in rows:
                 pass
             return
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "seq"], kind="stable")
-        final = batch[batch["status"].isin(["done", "error"])].head(1)
-        if len(final):
+        # Only the earliest final patch so far is held, however many rows the batch has.
+        final = None
+        for chunk in rows:
+            ended = chunk[chunk["status"].isin(["done", "error"])]
+            held = ended if final is None else pd.concat([final, ended], ignore_index=True)
+            final = held.sort_values(["ts", "seq"], kind="stable").head(1)
+        if final is not None and len(final):
             self.done.update((final["status"].iloc[0],))
             yield final[self.key + ["seq", "status"]]
 

@@ -662,3 +662,39 @@ def test_long_hex_numbers(spark):
         except OverflowError:
             want.append(None)
     assert got == [*want, None]
+
+
+def test_state_crosses_more_than_eight_runs(spark):
+    """A state that only the first row sets travels through every run; no task ever takes the whole key."""
+
+    class First(Fold):
+        columns = ("v",)
+        outputs = (("first", "bigint"),)
+
+        def step(self, state, v):
+            state = v if state is None else state
+            return state, (state,)
+
+    spark.conf.set("spark.folioflow.runRows", "15")
+    try:
+        rows = spark.createDataFrame([("a", i, 1000 + i) for i in range(200)], "k string, i int, v long")
+        out = ordered_fold(rows, ["k"], ["i"], First())
+        sizes = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert {r.first for r in out.collect()} == {1000} and out.count() == 200
+        assert max(r["count"] for r in sizes) < 60
+    finally:
+        spark.conf.unset("spark.folioflow.runRows")
+
+
+def test_border_states_move_in_waves(spark, monkeypatch):
+    from folioflow import runs as RUNS
+
+    monkeypatch.setattr(RUNS, "BORDER_BYTES", 1)
+    spark.conf.set("spark.folioflow.runRows", "30")
+    try:
+        values = [int(v) for v in RNG.integers(0, 200, 150)]
+        rows = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "k string, i int, v long")
+        got = [r.keep for r in ordered_fold(rows, ["k"], ["i"], last_kept()).orderBy("i").collect()]
+        assert got == greedy(values)
+    finally:
+        spark.conf.unset("spark.folioflow.runRows")
