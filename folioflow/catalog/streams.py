@@ -8,19 +8,22 @@ from folioflow import fixtures as X
 from folioflow.catalog.base import ORACLES, query
 from folioflow.catalog.frames import KEY, ORDER
 from folioflow.operators import windows as W
-from folioflow.session import scratch_path
+from folioflow.session import scratch_path, stage
 from folioflow.streaming import streams as T
 
 SG = X.SIGNAL_SQL
 
 
-def _feed(spark, df, name, parts=4, order=None):
-    """Write a table as the files of a stream source, oldest rows first, and open the stream."""
+def _feed(spark, df, name, order, parts=4):
+    """Write a table as ``parts`` files, oldest rows first, and open a stream that takes one file per micro-batch.
+
+    The files are written one after the other, so the source finds them in the order of their rows.
+    """
     path = scratch_path(spark, name)
-    if order:
-        df = df.repartitionByRange(parts, *order)
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    dealt = stage(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    for part in range(parts):
+        dealt.filter(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", "1").parquet(path)
 
 
 def _finish(spark, stream, name, mode="append"):
@@ -33,7 +36,7 @@ def _finish(spark, stream, name, mode="append"):
 def t1(spark, d):
     T.use_rocksdb(spark)
     frames = X.micro_frames(spark, d).select(*KEY, *ORDER, "px", "width", "height")
-    stream = _feed(spark, frames, "frames", order=ORDER)
+    stream = _feed(spark, frames, "frames", ORDER)
     out = T.stream_dedupe(stream, KEY, ORDER, layout="full_scroll", static=0.20, structure=0.0, min_side=0, blur=False)
     return _finish(spark, out, "t1").select(*KEY, *ORDER)
 
@@ -47,7 +50,7 @@ SELECT source_id, slot AS slot_start, event_id, first_us FROM s, m WHERE slot +
 def t2(spark, d):
     T.use_rocksdb(spark)
     rows = X.signal(spark, d).select("source_id", "ts", "event_id")
-    out = T.stream_sample(_feed(spark, rows, "signal", 1), ["source_id"], slot="6 hours", delay="1 hour", tie=["event_id"])
+    out = T.stream_sample(_feed(spark, rows, "signal", ["ts", "event_id"]), ["source_id"], slot="6 hours", delay="1 hour", tie=["event_id"])
     back = _finish(spark, out, "t2")
     return back.select("source_id", F.unix_micros("slot_start").alias("slot_start"), "event_id", F.unix_micros("ts").alias("first_us"))
 
@@ -74,7 +77,7 @@ SELECT source_id, event_id, epoch_us(ts) AS last_us FROM b, m WHERE (nxt IS NULL
 def t3b(spark, d):
     T.use_rocksdb(spark)
     rows = X.signal(spark, d).select("source_id", "ts", "event_id")
-    out = T.stream_debounce(_feed(spark, rows, "requests", 1), ["source_id"], gap="6 hours", delay="1 hour", tie="event_id")
+    out = T.stream_debounce(_feed(spark, rows, "requests", ["ts", "event_id"]), ["source_id"], gap="6 hours", delay="1 hour", tie="event_id")
     return _finish(spark, out, "t3").select("source_id", "event_id", F.unix_micros("ts").alias("last_us"))
 
 
@@ -84,7 +87,7 @@ _FIELDS = ("progress", "current_step", "message", "error_code")
 @query("t4_stream_current_jobs", ORACLES["w7_current_jobs"])
 def t4(spark, d):
     T.use_rocksdb(spark)
-    stream = _feed(spark, X.job_patches(spark, d), "patches", order=["ts", "seq"])
+    stream = _feed(spark, X.job_patches(spark, d), "patches", ["ts", "seq"])
     back = _finish(spark, T.stream_current_jobs(stream, fields=_FIELDS), "t4", mode="update")
     out = T.latest_batch_rows(back, ["job_id"], ["status", "updated_at", *_FIELDS])
     return out.withColumn("updated_at", F.unix_micros("updated_at"))
@@ -96,7 +99,7 @@ def t4(spark, d):
 )
 def t4b(spark, d):
     T.use_rocksdb(spark)
-    stream = _feed(spark, X.job_patches(spark, d), "patches", order=["ts", "seq"])
+    stream = _feed(spark, X.job_patches(spark, d), "patches", ["ts", "seq"])
     return _finish(spark, T.stream_transitions(stream), "t4-final").select("job_id", "seq", "status")
 
 
@@ -108,6 +111,6 @@ WHERE (nxt IS NULL OR nxt >= ts + INTERVAL 24 HOUR) AND status IN ('queued','run
 )
 def t5b(spark, d):
     T.use_rocksdb(spark)
-    out = T.stream_recover(_feed(spark, X.job_patches(spark, d), "patches", 1), stale_after="24 hours", delay="1 hour")
+    out = T.stream_recover(_feed(spark, X.job_patches(spark, d), "patches", ["ts", "seq"]), stale_after="24 hours", delay="1 hour")
     back = _finish(spark, out, "t5")
     return back.select("job_id", F.unix_micros("updated_at").alias("updated_us"), "status", "error_code")
