@@ -332,6 +332,41 @@ def merge_plan(
     )
 
 
+def stitched_sheet_plan(
+    frames: DataFrame,
+    stitch: DataFrame,
+    key: Sequence[str],
+    order: Sequence[str],
+    *,
+    tone: bool = True,
+    gap: int = C.MERGE_GAP,
+) -> DataFrame:
+    """(key, order, width, height, overlap, y_offset, new_page): one sheet per key from stitched pages.
+
+    Inside a page frames lie as ``stitch`` (``stitch_plan``) says; a page follows the
+    one before by the overlap of their touching frames, or after a white gap.
+    """
+    key, order = list(key), list(order)
+    small = fits(frames, key)
+    gray = gray_frames(frames, key, order, tone=tone)
+    pairs = consecutive_pairs(gray, key, order, ["gray", "gw", "gh"], small=small)
+    pairs = pairs.join(stitch.select(*key, *order, "new_page", F.col("overlap").alias("_stitched")), [*key, *order])
+
+    def measure(gray, gw, gh, prev, pw, ph, new_page):
+        if prev is None or gray is None or not new_page:
+            return (None,)
+        return (K.merge_overlap(_img(prev, pw, ph), _img(gray, gw, gh)),)
+
+    columns = ["gray", "gw", "gh", "prev_gray", "prev_gw", "prev_gh", "new_page"]
+    found = map_rows(pairs, columns, measure, [("_merged", "int")])
+    overlap = F.when(F.col("prev_gh").isNull(), 0).when(F.col("new_page"), F.coalesce("_merged", F.lit(0))).otherwise(F.col("_stitched"))
+    found = found.drop("gray", "prev_gray").withColumn("overlap", overlap.cast("int"))
+    space = F.when(F.col("new_page") & (F.col("overlap") == 0), gap).otherwise(0)
+    found = found.withColumn("_gain", F.coalesce(F.col("prev_gh") - F.col("overlap") + space, F.lit(0)))
+    rows = Ordered(found, key, order, small=small).running("y_offset", F.col("_gain")).result()
+    return rows.select(*key, *order, F.col("gw").alias("width"), F.col("gh").alias("height"), "overlap", "y_offset", "new_page")
+
+
 def compose_rows(
     frames: DataFrame,
     plan: DataFrame,

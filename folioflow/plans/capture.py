@@ -59,13 +59,12 @@ def kept_frames(sheets: DataFrame, options: CaptureOptions) -> DataFrame:
     return kept.join(turns.select(*KEY, *ORDER), [*KEY, *ORDER], "left_semi")
 
 
-def stitched_rows(sheets: DataFrame, options: CaptureOptions) -> DataFrame:
-    """(source_id, page_no, y, row) of the stitched pages of scrolling sources."""
-    spark = sheets.sparkSession
-    one = spark.range(1).select(effective_overlap(F.lit(options.overlap_threshold), F.lit(options.layout)).alias("t"))
-    threshold = one.first()[0]
-    plan = Q.stitch_plan(sheets, KEY, ORDER, threshold=threshold, enable=options.stitch)
-    return Q.compose_rows(sheets, plan, KEY, ORDER)
+def stitched_pages(kept: DataFrame, options: CaptureOptions) -> DataFrame | None:
+    """The stitch plan of scrolling sources; none for page turns or when stitching is off."""
+    if not options.stitch or options.layout == "page_turn":
+        return None
+    one = kept.sparkSession.range(1).select(effective_overlap(F.lit(options.overlap_threshold), F.lit(options.layout)).alias("t"))
+    return stage(Q.stitch_plan(kept, KEY, ORDER, threshold=one.first()[0]))
 
 
 def capture(frames: DataFrame, rois: DataFrame, options: CaptureOptions = CaptureOptions()) -> Export:
@@ -78,7 +77,7 @@ def capture(frames: DataFrame, rois: DataFrame, options: CaptureOptions = Captur
         # Copies are numbered from 0 in the order of the sampled frames.
         numbered = Ordered(sampled_frames(frames, options), KEY, ORDER).position("_copy").result()
         raw = numbered.select(*KEY, F.col("_copy").alias("frame_index"))
-    return export(kept, runs, KEY, ORDER, mode=options.page_fill_mode, raw=raw)
+    return export(kept, runs, KEY, ORDER, mode=options.page_fill_mode, raw=raw, stitch=stitched_pages(kept, options))
 
 
 STAGES = (
@@ -92,4 +91,4 @@ STAGES = (
     ("done", 1.0),
 )
 
-__all__ = ["C", "CaptureOptions", "STAGES", "capture", "kept_frames", "sampled_sheets", "stitched_rows"]
+__all__ = ["C", "CaptureOptions", "STAGES", "capture", "kept_frames", "sampled_sheets", "stitched_pages"]

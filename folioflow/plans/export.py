@@ -64,19 +64,24 @@ def export(
     ratio: float = C.PAGE_RATIO,
     raw: DataFrame | None = None,
     review: bool = False,
+    stitch: DataFrame | None = None,
 ) -> Export:
     """Merge, paginate, diagnose and list the ``frames`` of every key; ``runs`` (key, formats, include_raw).
 
-    A ``review`` lists previews and no complete sheet.
+    A ``review`` lists previews and no complete sheet. ``stitch`` (a ``stitch_plan`` of the frames)
+    makes stitched pages the images that are merged.
     """
     key = list(key)
     toned = stage(toned_frames(frames, key, order))
     grids = toned.drop("row_density")
     grids = FR.align_width(grids, key) if dict(toned.dtypes)["px"].startswith("array") else grids
-    plan = stage(Q.merge_plan(grids, key, order, tone=False))
+    if stitch is None:
+        plan, used = stage(Q.merge_plan(grids, key, order, tone=False)), F.count(F.lit(1))
+    else:
+        plan, used = stage(Q.stitched_sheet_plan(grids, stitch, key, order, tone=False)), F.sum(F.col("new_page").cast("int"))
     profile = stage(sheet_profile(toned, plan, key, order))
     sheets = (
-        plan.groupBy(*key).agg(F.max("width").alias("width"), F.count(F.lit(1)).alias("used_frames"))
+        plan.groupBy(*key).agg(F.max("width").alias("width"), used.alias("used_frames"))
         .join(profile.groupBy(*key).agg((F.max("y") + 1).alias("height")), key)
     )
     pages = stage(P.split_pages(profile, sheets, key, mode=mode, ratio=ratio))

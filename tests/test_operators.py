@@ -698,3 +698,30 @@ def test_border_states_move_in_waves(spark, monkeypatch):
         assert got == greedy(values)
     finally:
         spark.conf.unset("spark.folioflow.runRows")
+
+
+def test_stitching_scrolled_frames_joins_them_by_their_overlap(spark):
+    from folioflow.plans.capture import CaptureOptions, capture
+
+    sheet = np.full((900, 400), 255, np.uint8)
+    for top in range(0, 900, 7):
+        at = int(RNG.integers(20, 300))
+        sheet[top : top + 3, at : at + 60] = 0
+    frames = frames_df(spark, [sheet[y : y + 300] for y in (0, 120, 240, 360)])
+    rois = spark.createDataFrame([], "source_id string, roi array<array<double>>")
+    options = {"layout": "full_scroll", "formats": ("png",), "fps": 10.0}
+    stitched = capture(frames, rois, CaptureOptions(stitch=True, **options))
+    plain = capture(frames, rois, CaptureOptions(stitch=False, **options))
+    got = stitched.plan.orderBy("frame_index").collect()
+    assert [r.y_offset for r in got] == [sum(300 - x.overlap + (0 if not x.new_page or x.overlap else 12) for x in got[1 : i + 1]) for i in range(len(got))]
+    assert sum(r.new_page for r in got) < len(got)
+    assert "new_page" not in plain.plan.columns and stitched.pages.count() >= 1
+
+
+def test_stitched_pages_follow_each_other_with_a_gap(spark):
+    stitch = spark.createDataFrame([("a", 0, True, 0), ("a", 1, False, 40), ("a", 2, True, 0)], "source_id string, frame_index int, new_page boolean, overlap int")
+    a, b = np.full((100, 60), 255, np.uint8), np.zeros((100, 60), np.uint8)
+    a[::2] = 10
+    b[::7] = 200
+    plan = Q.stitched_sheet_plan(frames_df(spark, [a, a, b]), stitch, ["source_id"], ["frame_index"], tone=False).orderBy("frame_index").collect()
+    assert [(r.y_offset, r.overlap) for r in plan] == [(0, 0), (60, 40), (172, 0)]
