@@ -290,11 +290,10 @@ OWN = """ow AS (SELECT 'src' || (l_suppkey % 200) AS child, CAST(sum(l_partkey)
     f"""WITH {JP}, {JOBS}, {OWN} SELECT child, reclaimed_bytes, {HUMAN.format(b="reclaimed_bytes")} AS reclaimed_human FROM ow WHERE child NOT IN (SELECT 'src' || job_id FROM jobs WHERE status IN ('queued','running'))""",
 )
 def a6(spark, d):
-    files = X.table(spark, d, "lineitem").select(
-        F.concat(F.lit("src"), (F.col("l_suppkey") % 200).cast("string")).alias("child"), F.col("l_partkey").alias("length")
-    )
-    jobs = _jobs(spark, d).withColumn("job_id", F.concat(F.lit("src"), F.col("job_id").cast("string")))
-    return A.reclaim_plan(files, jobs, mode="owner")
+    # Grouped by the number; the name is made of the few results.
+    files = X.table(spark, d, "lineitem").select((F.col("l_suppkey") % 200).alias("child"), F.col("l_partkey").alias("length"))
+    free = A.reclaim_plan(files, _jobs(spark, d), mode="owner")
+    return free.withColumn("child", F.concat(F.lit("src"), F.col("child").cast("string")))
 
 
 @query(

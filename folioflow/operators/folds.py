@@ -418,5 +418,7 @@ def compose_rows(
         "row",
         lambda a, b: F.greatest(F.lit(0.0), F.least(F.lit(255.0), a * F.col("_alpha") + b * (1.0 - F.col("_alpha")))).cast("int"),
     )
-    joined = own.join(above, [*group, *order, "line"], "left").withColumn("_alpha", alpha)
-    return joined.select(*group, "y", F.when(F.col("above").isNull(), F.col("row")).otherwise(blend).alias("row"))
+    # Only the few rows of a seam meet another frame; all others stay where they are.
+    plain = own.filter(F.col("line") >= F.col("_seam")).select(*group, "y", "row")
+    joined = own.filter(F.col("line") < F.col("_seam")).join(above, [*group, *order, "line"], "left").withColumn("_alpha", alpha)
+    return plain.unionByName(joined.select(*group, "y", F.when(F.col("above").isNull(), F.col("row")).otherwise(blend).alias("row")))
