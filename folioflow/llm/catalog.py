@@ -34,7 +34,34 @@ def op2_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
-@query("op3_decontaminate")
+_BENCH = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_HITS_SQL = f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, {_BENCH} AS ws FROM documents
+), b AS (
+  SELECT item_id, {_BENCH} AS ws FROM benchmark
+), bw AS (
+  SELECT item_id, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i FROM b WHERE len(ws) > 0
+), bk AS (
+  SELECT DISTINCT item_id, n, array_to_string(ws[i : i + n - 1], ' ') AS k FROM bw
+), dw AS (
+  SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bk) AS sizes WHERE len(ws) >= n
+), dk AS (
+  SELECT rid, n, i, array_to_string(ws[i : i + n - 1], ' ') AS k FROM dw
+), h AS (
+  SELECT rid, n, i, item_id FROM dk JOIN bk USING (n, k)
+), hit AS (
+  SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM h) GROUP BY rid
+), it AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY rid
+)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON hit.rid = d.rid LEFT JOIN it ON it.rid = d.rid
+"""
+
+
+@query("op3_decontaminate", _HITS_SQL)
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,9 +76,36 @@ def op5_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract(table(spark, sf_dir, "pages"))
 
 
-@query("op6_line_dedup")
+_LINES_SQL = """
+WITH l AS (
+  SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
+), e AS (
+  SELECT doc_id, unnest(range(0, len(ls))) AS no, unnest(ls) AS line FROM l
+), w AS (
+  SELECT doc_id, no, regexp_extract_all(lower(line), '[^\\x20\\x09-\\x0D]+') AS ws FROM e
+), s AS (
+  SELECT row_number() OVER (ORDER BY doc_id, no) AS lid, doc_id, no,
+         list_distinct(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i : i + 4], ' '))) AS grams
+  FROM w WHERE len(ws) > 0
+), g AS (
+  SELECT lid, len(grams) AS n, unnest(grams) AS k FROM s
+), o AS (
+  SELECT a.lid, a.n AS n, b.n AS m, count(*) AS common FROM g a JOIN g b ON a.k = b.k AND b.lid < a.lid GROUP BY a.lid, b.lid, a.n, b.n
+), r AS (
+  SELECT DISTINCT lid FROM o WHERE 5 * common >= 4 * (n + m - common)
+), x AS (
+  SELECT doc_id, list(no ORDER BY no) AS gone FROM s JOIN r USING (lid) GROUP BY doc_id
+)
+SELECT l.doc_id, coalesce(len(ls), 0)::INTEGER AS n_lines, coalesce(len(gone), 0)::INTEGER AS n_removed, coalesce(array_to_string(gone, ','), '') AS removed_lines,
+       CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_transform(list_filter(range(0, len(ls)), lambda i: NOT list_contains(gone, i)), lambda i: ls[i + 1]), chr(10)) END AS text
+FROM l LEFT JOIN x ON x.doc_id = l.doc_id
+"""
+
+
+@query("op6_line_dedup", _LINES_SQL)
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.dedup(table(spark, sf_dir, "documents"))
+    out = lines.dedup(table(spark, sf_dir, "documents"))
+    return out.withColumn("removed_lines", F.array_join(F.col("removed_lines").cast("array<string>"), ","))
 
 
 @query("op7_language")

@@ -146,7 +146,7 @@ def test_viterbi_is_the_best_path():
 def test_line_dedup(spark, sf_dir, docs):
     want = brute.repeated_lines([(d["doc_id"], d["text"]) for d in docs])
     got = rows(spark, sf_dir, "op6_line_dedup")
-    assert {r["doc_id"]: r["removed_lines"] for r in got if r["n_removed"]} == want and want
+    assert {r["doc_id"]: [int(n) for n in r["removed_lines"].split(",")] for r in got if r["n_removed"]} == want and want
 
 
 def test_language(spark, sf_dir, docs):
