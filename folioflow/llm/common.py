@@ -16,6 +16,11 @@ from folioflow.ship import ship
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+# Staged sides of up to so many narrow rows (or rows with a short array) are broadcast, some 100 MB at most;
+# beyond that the same joins shuffle.
+BROADCAST_ROWS = 4_000_000
+BROADCAST_DOCUMENTS = 500_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,10 +30,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write to the cluster's shared folder and read back: lineage ends, rows stay fixed, lost executors do no harm."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/folioflow-llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a staged side whose counted size is within the bound."""
+    return F.broadcast(small) if small.count() <= rows else small
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Narrow Arrow pass whose function may use this package on every executor."""
     ship(df.sparkSession)
@@ -37,8 +47,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
 def words(text: Column) -> Column:
     """White-space words of a text, in order; null and blank texts have none."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACE}|{SPACE}$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE))
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
 def n_words(text: Column) -> Column:

@@ -3,19 +3,19 @@
 A line's tokens are its 5-word shingles (a shorter line is one shingle), as for all
 near-duplicate stages. Tokens are ordered by rarity, a line of n tokens is
 represented by its n - ceil(t n) + 1 rarest ones (prefix filter), lines meet on a
-shared prefix token, and pairs pass the length and positional filters before
-their Jaccard similarity is computed from the lines. A line is removed if an earlier line (by
-document id and line number) has the same token set or a similarity of t or more.
-
-Rarity comes from a fixed-size count sketch over all lines: any one order gives the
-exact result, the sketch makes frequent tokens come last. Lines with equal token
-sets meet once. Groups of near copies are not expanded: a line is first compared with the
-earliest holder of each of its prefix tokens; only lines that find no match there
-are compared with the other earlier holders. Built-in functions only.
-
-Defined cases: null texts and blank lines are untouched; rows without an id rank last and
-stay as they are named; of rows with equal id the texts are told apart by their CRC;
-repeated rows count as one; an empty table gives no rows; only doc_id and text are read.
+shared prefix token, and pairs pass the length and positional filters and the bound of
+a bitmap of their tokens before their Jaccard similarity is computed. A line is removed if an earlier line (by
+document id and line number) is equal or has a similarity of t or more.
+
+Rarity comes from a fixed-size count sketch over all distinct lines: any one order gives the
+exact result, the sketch makes frequent tokens come last. Equal lines are grouped first and
+only the earliest of them is tokenised. Groups of near copies are not expanded: a line is
+first compared with the earliest holder of each of its prefix tokens; only lines
+that find no match there are compared with the other earlier holders. Built-in functions only.
+
+Defined cases: null texts and blank lines are untouched; rows without an id rank last;
+of rows with equal id the texts are told apart by their CRC; repeated rows count as
+one; an empty table gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -23,32 +23,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import WORD, settled, staged, words
+from folioflow.llm.common import BROADCAST_DOCUMENTS, settled, sized, staged, words
 
 SHINGLE = 5
 # Similarity of at least 4/5, in whole numbers.
 NUM, DEN = 4, 5
-SKETCH_BUCKETS = 1 << 16
-FREQUENT = 256
-# Keys and ids up to this many are broadcast (some 100 MB); beyond it the same joins shuffle.
-BROADCAST_ROWS = 4_000_000
+SKETCH_BUCKETS = 1 << 12
+# Longs of a line's bitmap.
+SIGNATURE = 4
 _LAST = (1 << 63) - 1
 _LINE = (1 << 31) - 1
 
 
-def line_tokens(line: Column) -> Column:
-    """The words of a line, lower-cased."""
-    return words(F.lower(line))
-
-
 def shingles(ws: Column) -> Column:
-    """Distinct 64-bit hashes of the 5-word shingles."""
-    return F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(F.size(ws) - SHINGLE, F.lit(0))),
-            lambda i: F.xxhash64(*[F.coalesce(F.get(ws, i + k), F.lit("")) for k in range(SHINGLE)]),
-        )
-    )
+    """Distinct 48-bit hashes of the 5-word shingles; of the whole line if it is shorter.
+
+    48 bits leave room for the rarity class in a key and collide for one token in some
+    hundred even among 10^12 others; a chance meeting costs one comparison.
+    """
+    starts = F.sequence(F.lit(1), F.greatest(F.size(ws) - SHINGLE + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(ws, i, F.lit(SHINGLE))), 16)))
 
 
 def with_lines(docs: DataFrame) -> DataFrame:
@@ -59,41 +53,36 @@ def with_lines(docs: DataFrame) -> DataFrame:
         "text",
     ).filter("text is not null")
     lines = rows.select("id", "stamp", F.posexplode(F.split("text", "\n")).alias("number", "line"))
-    return lines.filter(F.regexp_like("line", F.lit(WORD))).select("id", (F.col("stamp") + F.col("number")).alias("at"), "line")
+    return lines.filter(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != "").select("id", (F.col("stamp") + F.col("number")).alias("at"), "line")
 
 
 def with_tokens(lines: DataFrame) -> DataFrame:
-    return settled(settled(lines, "ws", line_tokens(F.col("line"))).drop("line"), "tokens", shingles(F.col("ws"))).drop("ws")
+    return settled(settled(lines, "ws", words(F.lower("line"))).select("id", "at", "ws"), "tokens", shingles(F.col("ws"))).drop("ws")
 
 
-def frequent_buckets(tokens: DataFrame) -> list[int]:
-    """The buckets of the count sketch that hold most tokens, rising; FREQUENT numbers at most."""
+def rarity_classes(tokens: DataFrame) -> list[int]:
+    """Per bucket of the count sketch: 0 up to twice the mean count, then one class more for every doubling."""
     counts = tokens.select(F.explode("tokens").alias("t")).groupBy(F.pmod("t", F.lit(SKETCH_BUCKETS)).alias("b")).count()
-    top = counts.orderBy(F.desc("count"), "b").limit(FREQUENT).collect()
-    return [r["b"] for r in reversed(top)]
+    rows = counts.collect()  # one per bucket
+    classes, mean = [0] * SKETCH_BUCKETS, sum(r["count"] for r in rows) / SKETCH_BUCKETS
+    for r in rows:
+        classes[r["b"]] = max(0, int(r["count"] / (2 * mean)).bit_length())
+    return classes
 
 
-def prefixes(tokens: DataFrame, frequent: list[int]) -> DataFrame:
-    """One row per prefix token: key, pos, and the line's id, at, set (hash of all tokens) and n.
+def prefixes(tokens: DataFrame, classes: list[int]) -> DataFrame:
+    """One row per prefix token: id, at, n (tokens of the line), pos, key.
 
-    A key is the rarity rank in the high bits and the token's hash below, so keys sort by rarity.
+    A key is the rarity class in the high bits and the token's hash below, so keys sort by rarity.
     """
-    ranks = F.array(*[F.lit(b).cast("bigint") for b in frequent])
-    keyed = F.transform(
-        "tokens",
-        lambda t: F.shiftleft(F.array_position(ranks, F.pmod(t, F.lit(SKETCH_BUCKETS))), 54).bitwiseOR(F.shiftrightunsigned(t, 10)),
+    table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")  # a constant
+    ordered = F.sort_array(
+        F.transform("tokens", lambda t: F.shiftleft(F.get(table, F.pmod(t, F.lit(SKETCH_BUCKETS))), 48).bitwiseOR(t))
     )
     n = F.size("tokens")
     length = n - F.floor((n * NUM + DEN - 1) / DEN).cast("int") + 1
-    rows = tokens.select(
-        "id", "at", F.xxhash64(F.sort_array("tokens")).alias("set"), n.alias("n"), F.slice(F.sort_array(keyed), F.lit(1), length).alias("keys")
-    )
-    return rows.select("id", "at", "set", "n", F.posexplode("keys").alias("pos", "key"))
-
-
-def _sized(small: DataFrame) -> DataFrame:
-    """Broadcast a staged side whose counted size is within the bound."""
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+    rows = tokens.select("id", "at", n.alias("n"), F.slice(ordered, F.lit(1), length).alias("keys"))
+    return rows.select("id", "at", "n", F.posexplode("keys").alias("pos", "key"))
 
 
 def _passes(n: str, pos: str, m: str, at: str) -> Column:
@@ -104,56 +93,79 @@ def _passes(n: str, pos: str, m: str, at: str) -> Column:
     return length & (bound * (NUM + DEN) >= (n + m) * NUM)
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Sets of ``pairs`` (set, id, at, other_id, other_at) whose two lines are similar enough."""
-    wanted = pairs.select("id", "at").union(pairs.select(F.col("other_id"), F.col("other_at"))).distinct()
-    wanted = staged(wanted.withColumnsRenamed({"id": "w_id", "at": "w_at"}), "lines-wanted")
-    some = docs.withColumn("w_id", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)))
-    some = some.join(_sized(staged(wanted.select("w_id").distinct(), "lines-ids")), "w_id", "left_semi")
-    lines = with_lines(some)
-    lines = lines.join(_sized(wanted), (F.col("id") == F.col("w_id")) & (F.col("at") == F.col("w_at")), "left_semi")
-    held = staged(with_tokens(lines).dropDuplicates(["id", "at"]), "lines-held")
-    other = held.select(F.col("id").alias("other_id"), F.col("at").alias("other_at"), F.col("tokens").alias("other"))
-    both = pairs.join(held, ["id", "at"]).join(other, ["other_id", "other_at"])
+def signatures(tokens: DataFrame) -> DataFrame:
+    """id, at and a bitmap of the tokens in SIGNATURE longs."""
+    none = F.lit(0).cast("bigint")
+
+    def long(k: int) -> Column:
+        def add(acc: Column, t: Column) -> Column:
+            bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))
+            return F.when(F.shiftrightunsigned(t, 6).bitwiseAND(F.lit(SIGNATURE - 1)) == k, acc.bitwiseOR(bit)).otherwise(acc)
+
+        return F.aggregate("tokens", none, add)
+
+    return tokens.select("id", "at", F.struct(*[long(k).alias(f"s{k}") for k in range(SIGNATURE)]).alias("sig"))
+
+
+def _may_overlap(n: str, sig: str, m: str, other: str) -> Column:
+    """Every bit that only one bitmap has is a token that only one line has: an upper bound of the overlap is enough."""
+
+    def alone(a, b):
+        return sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseAND(F.bitwise_not(F.col(f"{b}.s{k}")))) for k in range(SIGNATURE)), F.lit(0))
+
+    bound = F.least(F.col(n) - alone(sig, other), F.col(m) - alone(other, sig))
+    return bound * (NUM + DEN) >= (F.col(n) + F.col(m)) * NUM
+
+
+def _verified(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(id, at) of the staged ``pairs`` (id, at, o_id, o_at) whose two lines are similar enough."""
+    wanted = pairs.select("id", "at").union(pairs.select("o_id", "o_at")).distinct()
+    held = staged(tokens.join(sized(staged(wanted, "lines-wanted")), ["id", "at"], "left_semi"), "lines-held")
+    other = held.select(F.col("id").alias("o_id"), F.col("at").alias("o_at"), F.col("tokens").alias("other"))
+    both = pairs.join(held, ["id", "at"]).join(other, ["o_id", "o_at"])
     common = F.size(F.array_intersect("tokens", "other"))
     total = F.size("tokens") + F.size("other") - common
-    return both.filter(common * DEN >= total * NUM).select("set").distinct()
+    return staged(both.filter(common * DEN >= total * NUM).select("id", "at").distinct(), "lines-found")
+
+
+def _copies(lines: DataFrame) -> DataFrame:
+    """(id, at) of every line that equals an earlier one."""
+    digests = staged(lines.select("id", "at", F.xxhash64("line").alias("h"), F.crc32(F.col("line").cast("binary")).alias("c")), "lines-digests")
+    first = digests.groupBy("h", "c").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    again = digests.join(sized(staged(first.select("h", "c", "first"), "lines-firsts"), BROADCAST_DOCUMENTS), ["h", "c"]).filter(F.struct("id", "at") != F.col("first"))
+    return staged(again.select("id", "at").distinct(), "lines-copies")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """id and at of every line that has an equal or similar earlier line."""
-    docs = docs.select("doc_id", "text")
-    tokens = with_tokens(with_lines(docs))
-    held = staged(prefixes(tokens, frequent_buckets(tokens)), "lines-prefixes")
+    lines = with_lines(docs.select("doc_id", "text"))
+    copies = _copies(lines)
+    tokens = staged(with_tokens(lines.join(sized(copies), ["id", "at"], "left_anti")), "lines-tokens")
+    held = staged(prefixes(tokens, rarity_classes(tokens)), "lines-prefixes")
     shared = staged(held.groupBy("key").count().filter("count > 1").select("key"), "lines-keys")
-    # One row per key and token set, with the set's earliest line.
-    sets = held.join(_sized(shared), "key").groupBy("key", "set", "n", "pos").agg(F.min(F.struct("id", "at")).alias("me"))
-    sets = staged(sets, "lines-sets")
-    lead = sets.groupBy("key").agg(F.min(F.struct("me", "set", "n", "pos")).alias("lead"), F.count(F.lit(1)).alias("holders")).filter("holders > 1")
-    lead = staged(lead.select("key", *[F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("me", "set", "n", "pos")]), "lines-leaders")
-    met = sets.join(lead, "key").filter((F.col("set") != F.col("lead_set")) & _passes("n", "pos", "lead_n", "lead_pos"))
-    tried = met.groupBy("set", "lead_set").agg(F.min("me").alias("me"), F.min("lead_me").alias("other"))
-    pair = ["set", "me.id", "me.at", F.col("other.id").alias("other_id"), F.col("other.at").alias("other_at")]
-    tried = staged(tried, "lines-tried")
-    found = staged(_verified(docs, tried.select(*pair)), "lines-found")
-    # Lines without a match among the leaders meet all other earlier holders.
-    left = sets.join(lead.select("key"), "key", "left_semi").join(found, "set", "left_anti")
-    earlier = sets.select("key", *[F.col(c).alias(f"o_{c}") for c in ("me", "set", "n", "pos")])
-    more = left.join(earlier, "key").filter((F.col("o_me") < F.col("me")) & _passes("n", "pos", "o_n", "o_pos"))
-    more = more.groupBy("set", F.col("o_set").alias("lead_set")).agg(F.min("me").alias("me"), F.min("o_me").alias("other"))
-    more = staged(more.filter("set <> lead_set").join(tried.select("set", "lead_set"), ["set", "lead_set"], "left_anti"), "lines-more")
-    found = found.unionByName(_verified(docs, more.select(*pair)))
-    found = staged(found.select(F.col("set").alias("f_set"), F.lit(True).alias("similar")), "lines-similar")
-    lines = held.filter("pos = 0").select("id", "at", "set")
-    firsts = lines.groupBy("set").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("copies"))
-    firsts = firsts.join(found, F.col("set") == F.col("f_set"), "left").filter("copies > 1 or similar")
-    firsts = firsts.select(F.col("set").alias("g_set"), "first", "similar")
-    return (
-        lines.join(firsts, F.col("set") == F.col("g_set"))
-        .filter(F.col("similar").isNotNull() | (F.struct("id", "at") != F.col("first")))
-        .select("id", "at")
-        .distinct()
-    )
+    held = staged(held.join(sized(shared), "key"), "lines-shared")
+    drawn = signatures(tokens.join(sized(staged(held.select("id", "at").distinct(), "lines-some")), ["id", "at"], "left_semi"))
+    held = held.join(staged(drawn, "lines-signatures"), ["id", "at"])
+    held = staged(held.select("key", "n", "pos", "sig", F.struct("id", "at").alias("me")), "lines-held")
+    # Repeated rows of a document hold a key twice, at the same place.
+    lead = held.groupBy("key").agg(F.min(F.struct("me", "n", "pos", "sig")).alias("lead"), F.max("me").alias("last"))
+    lead = lead.filter(F.col("lead.me") != F.col("last"))
+    lead = staged(lead.select("key", *[F.col(f"lead.{c}").alias(f"o_{c}") for c in ("me", "n", "pos", "sig")]), "lines-leaders")
+    close = (F.col("o_me") < F.col("me")) & _passes("n", "pos", "o_n", "o_pos") & _may_overlap("n", "sig", "o_n", "o_sig")
+    pair = ["me.id", "me.at", F.col("o_me.id").alias("o_id"), F.col("o_me.at").alias("o_at")]
+    met = held.join(lead, "key").filter(close)
+    # Of a line's leaders the one that shares most of its prefix is tried first.
+    shares = met.groupBy("me", "o_me").agg(F.count(F.lit(1)).alias("common"))
+    tried = shares.groupBy("me").agg(F.max_by("o_me", F.struct("common", "o_me")).alias("o_me"))
+    tried = staged(tried.select(*pair), "lines-tried")
+    found = _verified(tokens, tried)
+    # Lines without a match there meet all other earlier holders of their prefix tokens.
+    done = sized(found.select(F.struct("id", "at").alias("me")))
+    left = held.join(lead.select("key"), "key", "left_semi").join(done, "me", "left_anti")
+    earlier = held.select("key", *[F.col(c).alias(f"o_{c}") for c in ("me", "n", "pos", "sig")])
+    more = left.join(earlier, "key").filter(close)
+    more = more.select(*pair).distinct().join(tried, ["id", "at", "o_id", "o_at"], "left_anti")
+    return copies.union(found).union(_verified(tokens, staged(more, "lines-more"))).distinct()
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -167,6 +179,7 @@ def dedup(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("id"),
         F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("stamp"),
     )
+    gone = sized(staged(gone, "lines-gone"), BROADCAST_DOCUMENTS)
     out = keyed.join(gone, (F.col("id") == F.col("g_id")) & (F.col("stamp") == F.col("g_stamp")), "left")
     out = settled(out, "lines", F.split("text", "\n"))
     kept = F.filter("lines", lambda x, i: ~F.array_contains("removed_lines", i))
