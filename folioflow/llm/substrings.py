@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,31 +36,55 @@ _WORD = re.compile(r"\S+")
 _LAST = (1 << 63) - 1
 
 
-def units(text: str) -> list[tuple[int, int, int, str]]:
-    """(start, end, words, normalised text) of every unit with a word, in order; offsets in characters."""
+_cuts: dict[str, bool] = {}
+
+
+def _cut(word: str) -> bool:
+    """Does a long sentence end a unit after this word? One word in eight, by its hash."""
+    known = _cuts.get(word)
+    if known is None:
+        if len(_cuts) > 500_000:
+            _cuts.clear()
+        known = _cuts[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) & 7 == 0
+    return known
+
+
+def _ends(parts: list[str]) -> list[int]:
+    """Where the units of a sentence end, in words."""
+    if len(parts) <= LONG:
+        return [len(parts)]
+    ends = [i for i, word in enumerate(parts, 1) if _cut(word)]
+    return ends if ends and ends[-1] == len(parts) else [*ends, len(parts)]
+
+
+def unit_texts(text: str) -> list[str]:
+    """The normalised units of a text, in order."""
+    out = []
+    for sentence in _SENTENCE.findall(text):
+        parts, first = sentence.lower().split(), 0
+        for end in _ends(parts) if parts else ():
+            out.append(" ".join(parts[first:end]))
+            first = end
+    return out
+
+
+def units(text: str) -> list[tuple[int, int, int]]:
+    """(start, end, words) of the same units; offsets in characters."""
     out = []
     for found in _SENTENCE.finditer(text):
-        start, end = found.span()
-        parts = text[start:end].lower().split()
+        begin, stop = found.span()
+        parts, first = text[begin:stop].lower().split(), 0
         if not parts:
             continue
-        if len(parts) <= LONG:
-            out.append((start, end, len(parts), " ".join(parts)))
-            continue
-        begin, first = start, 0
-        spans = [m.start() for m in _WORD.finditer(text, start, end)][1:] + [end]
-        for i, word in enumerate(parts):
-            if zlib.crc32(word.encode("utf-8", "surrogatepass")) & 7 == 0 or i + 1 == len(parts):
-                stop = spans[i]
-                out.append((begin, stop, i + 1 - first, " ".join(parts[first : i + 1])))
-                begin, first = stop, i + 1
+        ends = _ends(parts)
+        starts = [m.start() for m in _WORD.finditer(text, begin, stop)] if len(ends) > 1 else []
+        for end in ends:
+            after = starts[end] if end < len(parts) else stop
+            out.append((begin, after, end - first))
+            begin, first = after, end
     return out
 
 
-def _signed(value: int) -> int:
-    return value - (1 << 64) if value >> 63 else value
-
-
 def _stamp(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
@@ -71,20 +96,21 @@ def unit_digests(docs: DataFrame) -> DataFrame:
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             texts = batch.column(batch.schema.get_field_index("text"))
-            rows = ([], [], [], [])
+            digests, owners, sizes, stamps = [], [], [], []
             for doc, text in zip(ids, texts):
                 text = text.as_py()
-                if not text:
-                    continue
-                high = _stamp(text) << 31
-                doc = _LAST if doc is None else doc
-                for number, unit in enumerate(units(text)):
-                    digest = xxhash.xxh3_128_intdigest(unit[3].encode("utf-8", "surrogatepass"))
-                    rows[0].append(_signed(digest >> 64))
-                    rows[1].append(_signed(digest & (1 << 64) - 1))
-                    rows[2].append(doc)
-                    rows[3].append(high | number)
-            yield pa.RecordBatch.from_arrays([pa.array(r, pa.int64()) for r in rows], names=["h1", "h2", "doc_id", "at"])
+                if text:
+                    own = [xxhash.xxh3_128_digest(u.encode("utf-8", "surrogatepass")) for u in unit_texts(text)]
+                    digests += own
+                    owners.append(_LAST if doc is None else doc)
+                    sizes.append(len(own))
+                    stamps.append(_stamp(text))
+            halves = np.frombuffer(b"".join(digests), dtype=">i8").astype(np.int64).reshape(-1, 2)
+            sizes = np.array(sizes, dtype=np.int64)
+            number = np.arange(len(halves)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            at = np.repeat(np.array(stamps, dtype=np.int64) << 31, sizes) | number
+            columns = [halves[:, 0], halves[:, 1], np.repeat(np.array(owners, dtype=np.int64), sizes), at]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["h1", "h2", "doc_id", "at"])
 
     return map_arrow(docs.select("doc_id", "text"), run, "h1 long, h2 long, doc_id long, at long")
 
@@ -111,7 +137,7 @@ def removed_spans(text: str, numbers, min_words: int) -> list[tuple[int, int]]:
     """Character ranges of the runs of repeated units that hold enough words."""
     flagged, spans = set(numbers), []
     run_start, run_end, run_words = 0, 0, 0
-    for i, (start, end, words, _) in enumerate([*units(text), (0, 0, 0, "")]):
+    for i, (start, end, words) in enumerate([*units(text), (0, 0, 0)]):
         if i in flagged and words:
             if not run_words:
                 run_start = start
@@ -123,23 +149,35 @@ def removed_spans(text: str, numbers, min_words: int) -> list[tuple[int, int]]:
     return spans
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, _key, _crc and the compressed text: texts cross one shuffle to meet their positions."""
+
+    def run(batches):
+        for batch in batches:
+            ids = batch.column(0)
+            keys = pa.array([_LAST if i is None else i for i in ids.to_pylist()], pa.int64())
+            crcs, packed = [], []
+            for text in batch.column(1):
+                raw = None if text.as_py() is None else text.as_py().encode("utf-8", "surrogatepass")
+                crcs.append(zlib.crc32(raw or b""))
+                packed.append(None if raw is None else zlib.compress(raw, 1))
+            yield pa.RecordBatch.from_arrays([ids, keys, pa.array(crcs, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "_key", "_crc", "packed"])
+
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, _key long, _crc long, packed binary")
+
+
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per document: doc_id, n_chars, n_removed (characters), removed (array of start, end), text (what is left)."""
-    keyed = docs.select(
-        "doc_id",
-        "text",
-        F.coalesce("doc_id", F.lit(_LAST)).alias("_key"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("_crc"),
-    )
-    marked = keyed.join(repeats(docs), (F.col("_key") == F.col("_id")) & (F.col("_crc") == F.col("_stamp")), "left")
-    marked = marked.select("doc_id", "text", "_units")
+    marked = _packed(docs).join(repeats(docs), (F.col("_key") == F.col("_id")) & (F.col("_crc") == F.col("_stamp")), "left")
+    marked = marked.select("doc_id", "packed", "_units")
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for batch in batches:
             chars, gone, ranges, left = [], [], [], []
-            for text, numbers in zip(batch.column(1), batch.column(2)):
-                text, numbers = text.as_py(), numbers.as_py()
+            for packed, numbers in zip(batch.column(1), batch.column(2)):
+                packed, numbers = packed.as_py(), numbers.as_py()
+                text = None if packed is None else zlib.decompress(packed).decode("utf-8", "surrogatepass")
                 spans = removed_spans(text, numbers, min_words) if numbers else []
                 kept, at = [], 0
                 for start, end in spans:
