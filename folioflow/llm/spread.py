@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 1024
 
 
 def ranked(df: DataFrame, group: str, hashed: str, order: list[str], weight: str, rows: int) -> DataFrame:
@@ -45,7 +45,7 @@ def running_sorted(df: DataFrame, order: list[Column], weight: str, rows: int, s
     Rows are range-partitioned and staged, each range is summed, and the sums of
     the ranges ahead are added; ``stage`` fixes the ranges for both passes.
     """
-    parts = max(1, -(-rows // (8 * ROWS_PER_BUCKET)))
+    parts = max(1, -(-rows // (32 * ROWS_PER_BUCKET)))
     dealt = stage(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
     sums = dealt.groupBy("_range").agg(F.sum(weight).alias("_w"))
     ahead = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
