@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioflow import constants as C
 from folioflow import fixtures as X
-from folioflow.catalog.base import query, r6, r6s
+from folioflow.catalog.base import query
 from folioflow.functions.text import path_suffix
 from folioflow.operators import aggregates as A
 from folioflow.operators import joins as J
 from folioflow.operators import projections as P
 from folioflow.operators import sets as U
 from folioflow.operators import windows as W
-from folioflow.runs import Ordered
 from folioflow.session import scratch_path
 from folioflow.sources import readers as R
 from folioflow.sources import writers as WR
