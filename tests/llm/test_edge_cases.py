@@ -3,7 +3,7 @@
 from collections import Counter
 
 import pytest
-from conftest import ODD, SCHEMA  # noqa: F401
+from conftest import ODD
 from pyspark.sql import functions as F
 
 from folioflow.llm import decontaminate, language, licenses, lines, mixing, pages, quality, sharding, simhash, substrings
