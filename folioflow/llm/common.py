@@ -34,9 +34,9 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a staged side whose counted size is within the bound."""
-    return F.broadcast(small) if small.count() <= rows else small
+def sized(small: DataFrame, rows: int = BROADCAST_ROWS, count: int | None = None) -> DataFrame:
+    """Broadcast a side whose counted size, or a known upper limit of it, is within the bound."""
+    return F.broadcast(small) if (small.count() if count is None else count) <= rows else small
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

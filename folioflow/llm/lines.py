@@ -35,14 +35,15 @@ _LAST = (1 << 63) - 1
 _LINE = (1 << 31) - 1
 
 
-def shingles(ws: Column) -> Column:
-    """Distinct 48-bit hashes of the 5-word shingles; of the whole line if it is shorter.
+def shingles(hashes: Column) -> Column:
+    """Distinct 48-bit hashes of the 5-word shingles, from the words' hashes; of the whole line if it is shorter.
 
     48 bits leave room for the rarity class in a key and collide for one token in some
     hundred even among 10^12 others; a chance meeting costs one comparison.
     """
-    starts = F.sequence(F.lit(1), F.greatest(F.size(ws) - SHINGLE + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(ws, i, F.lit(SHINGLE))), 16)))
+    starts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - SHINGLE, F.lit(0)))
+    window = lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(SHINGLE)])
+    return F.array_distinct(F.transform(starts, lambda i: F.shiftrightunsigned(window(i), 16)))
 
 
 def with_lines(docs: DataFrame) -> DataFrame:
@@ -57,12 +58,14 @@ def with_lines(docs: DataFrame) -> DataFrame:
 
 
 def with_tokens(lines: DataFrame) -> DataFrame:
-    return settled(settled(lines, "ws", words(F.lower("line"))).select("id", "at", "ws"), "tokens", shingles(F.col("ws"))).drop("ws")
+    split = settled(lines, "words", words(F.lower("line"))).select("id", "at", "words")
+    hashed = settled(split, "hashes", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
+    return settled(hashed, "tokens", shingles(F.col("hashes"))).drop("hashes")
 
 
 def rarity_classes(tokens: DataFrame) -> list[int]:
     """Per bucket of the count sketch: 0 up to twice the mean count, then one class more for every doubling."""
-    counts = tokens.select(F.explode("tokens").alias("t")).groupBy(F.pmod("t", F.lit(SKETCH_BUCKETS)).alias("b")).count()
+    counts = tokens.select(F.explode("tokens").alias("t")).groupBy(F.col("t").bitwiseAND(F.lit(SKETCH_BUCKETS - 1)).alias("b")).count()
     rows = counts.collect()  # one per bucket
     classes, mean = [0] * SKETCH_BUCKETS, sum(r["count"] for r in rows) / SKETCH_BUCKETS
     for r in rows:
@@ -75,10 +78,12 @@ def prefixes(tokens: DataFrame, classes: list[int]) -> DataFrame:
 
     A key is the rarity class in the high bits and the token's hash below, so keys sort by rarity.
     """
-    table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")  # a constant
-    ordered = F.sort_array(
-        F.transform("tokens", lambda t: F.shiftleft(F.get(table, F.pmod(t, F.lit(SKETCH_BUCKETS))), 48).bitwiseOR(t))
-    )
+    keyed = F.col("tokens")
+    if any(classes):
+        table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")  # a constant
+        rarity = lambda t: F.get(table, t.bitwiseAND(F.lit(SKETCH_BUCKETS - 1)))
+        keyed = F.transform("tokens", lambda t: F.shiftleft(rarity(t), 48).bitwiseOR(t))
+    ordered = F.sort_array(keyed)
     n = F.size("tokens")
     length = n - F.floor((n * NUM + DEN - 1) / DEN).cast("int") + 1
     rows = tokens.select("id", "at", n.alias("n"), F.slice(ordered, F.lit(1), length).alias("keys"))
@@ -119,8 +124,8 @@ def _may_overlap(n: str, sig: str, m: str, other: str) -> Column:
 
 def _verified(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, at) of the staged ``pairs`` (id, at, o_id, o_at) whose two lines are similar enough."""
-    wanted = pairs.select("id", "at").union(pairs.select("o_id", "o_at")).distinct()
-    held = staged(tokens.join(sized(staged(wanted, "lines-wanted")), ["id", "at"], "left_semi"), "lines-held")
+    wanted = sized(pairs.select("id", "at").union(pairs.select("o_id", "o_at")), count=2 * pairs.count())
+    held = staged(tokens.join(wanted, ["id", "at"], "left_semi"), "lines-held")
     other = held.select(F.col("id").alias("o_id"), F.col("at").alias("o_at"), F.col("tokens").alias("other"))
     both = pairs.join(held, ["id", "at"]).join(other, ["o_id", "o_at"])
     common = F.size(F.array_intersect("tokens", "other"))
@@ -144,7 +149,8 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     held = staged(prefixes(tokens, rarity_classes(tokens)), "lines-prefixes")
     shared = staged(held.groupBy("key").count().filter("count > 1").select("key"), "lines-keys")
     held = staged(held.join(sized(shared), "key"), "lines-shared")
-    drawn = signatures(tokens.join(sized(staged(held.select("id", "at").distinct(), "lines-some")), ["id", "at"], "left_semi"))
+    some = sized(held.select("id", "at").distinct(), count=held.count())
+    drawn = signatures(tokens.join(some, ["id", "at"], "left_semi"))
     held = held.join(staged(drawn, "lines-signatures"), ["id", "at"])
     held = staged(held.select("key", "n", "pos", "sig", F.struct("id", "at").alias("me")), "lines-held")
     # Repeated rows of a document hold a key twice, at the same place.
