@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import map_arrow
+from folioflow.llm.common import map_arrow, staged
 
 MIN_WORDS = 8
 LONG = 8
@@ -124,6 +124,8 @@ def repeats(docs: DataFrame) -> DataFrame:
         .filter("n > 1")
         .select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), "first")
     )
+    # Staged, so that the join is on its own and Spark can split it at a digest with very many units.
+    first = staged(first, "units-first")
     later = found.join(first, (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2"))).filter(
         F.struct("doc_id", "at") != F.col("first")
     )
