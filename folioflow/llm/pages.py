@@ -42,11 +42,21 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _RIGHTS = re.compile(r"©|copyright|all rights reserved", re.I)
 # Elements whose content is never shown as text of the page.
-HIDDEN = frozenset(["script", "style", "head", "noscript", "template", "svg", "iframe", "object", "select", "textarea", "canvas", "math"])
+HIDDEN = frozenset(["script", "style", "head", "noscript", "template", "svg", "iframe", "object", "select", "textarea", "canvas"])
+# Their content is no markup: it ends at the literal end tag only. The titles of hidden elements and the templates of a head are passed over alike.
+RAW = frozenset(["script", "style", "noscript", "iframe", "textarea"])
+RAW_IN_HIDDEN = RAW | {"title", "template"}
+_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW_IN_HIDDEN}
+# Any other element, or text, ends a head whose end tag was left out.
+IN_HEAD = frozenset(["base", "basefont", "bgsound", "link", "meta", "title", "noscript", "noframes", "script", "style", "template", "head", "html"])
+# Other forms of a formula, which are not shown.
+NOTES = frozenset(["annotation", "annotation-xml"])
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
 INLINE = frozenset(
     ["a", "abbr", "b", "bdi", "bdo", "big", "br", "cite", "code", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q",
-     "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"]
+     "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+     "math", "semantics", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded", "mphantom",
+     "menclose", "mfenced", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mprescripts", "mtable", "mtr", "mtd"]
 )
 LANDMARKS = frozenset(["article", "aside", "body", "dialog", "fieldset", "footer", "form", "header", "main", "menu", "nav"])
 # A new one of these ends an open one of the same kind.
@@ -85,7 +95,9 @@ def leaf_blocks(page: str | None) -> list[Block]:
             parts.clear()
             link_parts = 0
 
-    for m in _TAG.finditer(page):
+    while m := _TAG.search(page, at):
+        if hidden == "head" and page[at : m.start()].strip("\ufeff \t\r\n\f"):
+            hidden = None
         if hidden is None and m.start() > at:
             piece = page[at : m.start()]
             parts.append(piece)
@@ -96,9 +108,21 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
+        if hidden == "head" and not end and name not in IN_HEAD:
+            hidden = None
         if hidden is not None:
             if end and name == hidden:
                 hidden = None
+            elif not end and name in RAW_IN_HIDDEN and name != hidden and not attributes.endswith("/"):
+                stop = _END[name].search(page, at)
+                if stop:
+                    at = stop.end()
+                elif name in RAW:
+                    at = len(page)
+            continue
+        if name in NOTES:
+            if not end and not attributes.endswith("/"):
+                hidden = name
             continue
         if name in INLINE:
             if name == "a":
@@ -116,7 +140,12 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 if name in SELF_ENDING and stack[i][0] in LANDMARKS:
                     break
         elif name in HIDDEN:
-            if not attributes.endswith("/"):
+            if attributes.endswith("/"):
+                continue
+            if name in RAW:
+                stop = _END[name].search(page, at)
+                at = stop.end() if stop else len(page)
+            else:
                 hidden = name
         elif name not in VOID:
             if name in SELF_ENDING or stack and stack[-1][0] == "p":
@@ -124,7 +153,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
                 if stack and stack[-1][0] in closes:
                     stack.pop()
             stack.append((name, _names(attributes) if attributes else ()))
-    if hidden is None and at < len(page):
+    if hidden in (None, "head") and at < len(page):
         parts.append(_CUT_TAG.sub("", page[at:]))
     flush()
     return blocks
