@@ -1,14 +1,14 @@
 """License scan: MinHash bands retrieve templates for text windows, exact shingle containment verifies them.
 
-A template of n words is looked for in windows of 2n words that start every n words, so
-every occurrence lies wholly inside some window. Such a window shares at least
-(n - 4) of its (2n - 4) shingles with the template; the number of one-row bands
-is chosen from this share so that an occurrence collides in at least one band
+A template of n words is looked for in windows of 3n words that start every n words, so
+every occurrence of up to 2n words, inserted ones included, lies wholly inside some window. The
+number of one-row bands is chosen from the similarity that a window of this length has
+at the threshold itself, so that any match collides in at least one band
 with probability TARGET or more. A collision is verified by the exact share of the template's
 5-word shingles that the window holds; CONTAINMENT or more is a match.
 
-Only built-in functions. A document without any template shingle cannot match and
-leaves before windows are made; the test is exact. Templates are a small fixed list.
+Only built-in functions. Windows are made for the templates of which a whole document holds
+CONTAINMENT or more, since no window can hold more than its document; the test is exact. Templates are a small fixed list.
 
 Defined cases: null and blank texts have no match; a template of fewer than five words is one
 shingle; matches are given once per document id and template, with the best containment
@@ -29,6 +29,7 @@ from folioflow.llm.common import settled
 SHINGLE = 5
 CONTAINMENT = 0.8
 TARGET = 0.999
+WIDTH = 3
 
 # Short notices and well-known opening paragraphs of public licenses.
 TEMPLATES: Mapping[str, str] = {
@@ -73,10 +74,11 @@ def shingles(words: Column) -> Column:
     return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(runs)
 
 
-def bands_for(n_words: int) -> int:
-    """Bands that find a whole occurrence in a window twice its length with probability TARGET."""
-    inside = max(1, n_words - SHINGLE + 1)
-    share = inside / max(inside, 2 * n_words - SHINGLE + 1)
+def bands_for(n_words: int, n_grams: int | None = None, containment: float = CONTAINMENT) -> int:
+    """Bands that find a containment in a window of WIDTH times n_words with probability TARGET; n_grams: distinct shingles."""
+    grams = n_grams or max(1, n_words - SHINGLE + 1)
+    held = max(1, math.ceil(containment * grams - 1e-9))
+    share = held / (max(grams, WIDTH * n_words - SHINGLE + 1) + grams - held)
     return 1 if share >= 1 else math.ceil(math.log(1 - TARGET) / math.log(1 - share))
 
 
@@ -96,16 +98,25 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, containment:
         return docs.select("doc_id").limit(0).selectExpr("doc_id", "'' license", "0D containment", "0L first_word", "0L n_windows")
     every = F.array(*[F.lit(g) for g in sorted({g for r in table for g in r["grams"]})])
     hashed = settled(docs.select("doc_id", "text"), "w", license_words(F.col("text"))).withColumn("g", shingles(F.col("w")))
-    held = hashed.filter(F.arrays_overlap("g", every)).select("doc_id", "g", F.size("w").alias("len"))
-    sizes = F.array(*[F.struct(F.lit(n).alias("n"), F.lit(bands_for(n)).alias("bands")) for n in sorted({r["n"] for r in table})])
-    sized = held.select("doc_id", "g", "len", F.explode(sizes).alias("s")).select("doc_id", "g", "len", "s.n", "s.bands")
+    hit = settled(hashed, "hit", F.array_intersect("g", every))
+    bands = {}
+    for r in table:
+        bands[r["n"]] = max(bands.get(r["n"], 1), bands_for(r["n"], len(r["grams"]), containment))
+
+    def worth(r):
+        grams = F.array(*[F.lit(g) for g in r["grams"]])
+        size = F.struct(F.lit(r["n"]).alias("n"), F.lit(bands[r["n"]]).alias("bands"))
+        return F.when(F.size(F.array_intersect("hit", grams)) / len(r["grams"]) >= containment, size)
+
+    sizes = F.array_distinct(F.array_compact(F.array(*[worth(r) for r in table])))
+    sized = hit.filter(F.size("hit") > 0).select("doc_id", "g", F.size("w").alias("len"), F.explode(sizes).alias("s"))
+    sized = sized.select("doc_id", "g", "len", "s.n", "s.bands")
     starts = F.sequence(F.lit(0), F.greatest(F.col("len") - F.col("n"), F.lit(0)), F.col("n"))
-    wide = F.greatest(2 * F.col("n") - SHINGLE + 1, F.lit(1))
+    wide = F.greatest(WIDTH * F.col("n") - SHINGLE + 1, F.lit(1))
     windows = sized.select("doc_id", "n", "bands", "g", wide.alias("wide"), F.explode(starts).alias("at"))
     windows = windows.select("doc_id", "n", "bands", "at", F.slice("g", F.col("at") + 1, F.col("wide")).alias("g"))
     met = windows.select("doc_id", "n", "at", "g", F.posexplode(signature(F.col("g"), F.col("bands"))).alias("band", "value"))
-    bands = {r["license"]: bands_for(r["n"]) for r in table}
-    keys = known.withColumn("bands", F.create_map(*[F.lit(x) for kv in bands.items() for x in kv])[F.col("license")])
+    keys = known.withColumn("bands", F.create_map(*[F.lit(x) for kv in bands.items() for x in kv])[F.col("n")])
     keys = keys.select("license", "n", "grams", F.posexplode(signature(F.col("grams"), F.col("bands"))).alias("band", "value"))
     share = F.size(F.array_intersect("grams", "g")) / F.size("grams")
     met = met.join(F.broadcast(keys), ["n", "band", "value"])  # a fixed, small list
