@@ -28,7 +28,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from folioflow.llm.common import map_arrow, restored, set_aside, staged
 
@@ -144,12 +143,17 @@ def components(pairs: DataFrame, name: str = "links") -> DataFrame:
     return stars.union(edges.select(F.col("b"), F.col("b")).distinct())
 
 
+def _rooted(prints: DataFrame, stars: DataFrame) -> DataFrame:
+    """Rows with ``fp``, plus the root of its component."""
+    return prints.join(stars, F.col("fp") == F.col("node"), "left").select(*prints.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, fp (long), component_id (smallest id reachable, itself included)."""
     rows = staged(with_fingerprints(docs.select("doc_id", "text"), "fp", shingle).select("doc_id", "fp"), "simhash-rows")
     prints = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
     stars = components(links(staged(prints, "simhash-prints"), bits))
-    rooted = prints.join(stars, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = _rooted(prints, stars)
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
     return rows.join(classes, "fp")
@@ -160,16 +164,21 @@ def report(docs: DataFrame, **options) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
+def keep_one(docs: DataFrame, bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """The document with the smallest id of each component, with its own columns.
 
-    Of rows that share this id, the one whose text hashes lowest is kept, once. A
-    row without an id has nothing to rank by and stays.
+    A document is an id and a text: of those that share the smallest id, the one with the
+    lowest fingerprint and then the lowest text hash is kept, once. Rows without an
+    id are ranked among themselves: a component keeps one of them beside the one with an id.
     """
-    docs, original = set_aside(docs, ["_keep", "_rank"])
-    found = near_duplicates(docs, **options)
-    ids = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    first = docs.filter("doc_id is not null").join(ids, F.col("doc_id") == F.col("_keep"), "left_semi")
-    twins = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.col("text").asc_nulls_first())
-    first = first.withColumn("_rank", F.row_number().over(twins)).filter("_rank = 1").drop("_rank")
-    return restored(first.unionByName(docs.filter("doc_id is null")), original)
+    docs, original = set_aside(docs, ["_keepdoc_id", "_keep_h1", "_keep_h2", "_h1", "_h2"])
+    hashes = [F.xxhash64("text").alias("_h1"), F.hash("text").alias("_h2")]
+    prints = with_fingerprints(docs.select("doc_id", "text"), "fp", shingle).select("doc_id", "fp", *hashes)
+    least = F.min(F.struct("doc_id", "fp", "_h1", "_h2")).alias("_keep")
+    prints = staged(prints.groupBy("fp", F.col("doc_id").isNull().alias("_none")).agg(least), "simhash-least")
+    stars = components(links(prints.select("fp").distinct(), bits))
+    kept = _rooted(prints, stars).groupBy("root", "_none").agg(F.min("_keep").alias("_keep"))
+    kept = kept.select(*[F.col(f"_keep.{c}").alias(f"_keep{c}") for c in ("doc_id", "_h1", "_h2")])
+    same = F.col("doc_id").eqNullSafe(F.col("_keepdoc_id")) & (F.col("_h1") == F.col("_keep_h1")) & (F.col("_h2") == F.col("_keep_h2"))
+    rows = docs.select("*", *hashes).join(kept, same, "left_semi").dropDuplicates(["doc_id", "_h1", "_h2"])
+    return restored(rows, original)
