@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import decontaminate, language, licenses, lines, mixing, pages, quality, sharding, simhash, substrings
+from folioflow.llm import (
+    alignment, conversations, decontaminate, language, licenses, lines, mixing, packing, pages, quality, sharding, simhash, substrings,
+)
 from folioflow.llm.common import table
 
 QUERIES: dict = {}
@@ -167,6 +169,84 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_table(table(spark, sf_dir, "documents"))
 
 
+@query("op11_pack")
+def op11_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.crc32("ids").alias("ids_crc32")
+    return packing.pack(table(spark, sf_dir, "documents"), columns=[digest])
+
+
+@query("op12_align")
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"))
+
+
+_REPAIR_SQL = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, i::UBIGINT AS c, 0 AS k FROM range(256) AS r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), tab AS (
+  SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8
+), raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), hashed AS (
+  SELECT raw.*, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(key) + 1), lambda p: ord(key[p])::UBIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT) % 20 AS h FROM raw, tab
+), harmed AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM hashed WHERE h <> 0
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM harmed
+), seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) NOT IN ('.', '!', '?') AS cut,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+  FROM numbered
+), turns AS (
+  SELECT *, NOT blank AND nth > 1 AS double, NOT blank AND nth = 1 AND cut AS truncated FROM seen
+), counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (double) AS duplicate,
+    count(*) FILTER (truncated) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM turns GROUP BY conv_id
+), path AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS q, {'cost': 0, 'audit': '', 'lines': []::VARCHAR[]} AS best FROM counts
+  UNION ALL
+  SELECT conv_id, i, q, min(best) FROM (
+    SELECT o.conv_id, o.i + 1 AS i, e.q AS q, {'cost': o.cost + e.cost, 'audit': o.audit || e.letter, 'lines': o.lines || e.lines} AS best
+    FROM (
+      SELECT conv_id, i, q, best.cost AS cost, best.audit AS audit, best.lines AS lines FROM path
+      UNION ALL
+      SELECT conv_id, i, CASE WHEN q = 2 THEN 3 ELSE 2 END, best.cost + 3, best.audit || 'I', best.lines || [CASE WHEN q = 2 THEN 'assistant:' ELSE 'user:' END] FROM path
+    ) AS o
+    JOIN turns t ON t.conv_id IS NOT DISTINCT FROM o.conv_id AND t.i = o.i + 1,
+    LATERAL (
+      SELECT 'D' AS letter, 4 AS cost, o.q AS q, []::VARCHAR[] AS lines
+      UNION ALL SELECT 'R', 3 + 3 * t.truncated::INTEGER, CASE WHEN o.q = 2 THEN 3 ELSE 2 END, [CASE WHEN o.q = 2 THEN 'assistant:' ELSE 'user:' END || t.text]
+        WHERE NOT t.blank AND NOT t.double
+      UNION ALL SELECT 'K', 3 * t.truncated::INTEGER, CASE left(t.role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, [t.role || ':' || t.text]
+        WHERE NOT t.blank AND NOT t.double AND (left(t.role, 1) = 's' AND o.q = 0 OR left(t.role, 1) = 'u' AND o.q <> 2 OR left(t.role, 1) = 'a' AND o.q = 2)
+    ) AS e
+  ) GROUP BY conv_id, i, q
+), ends AS (
+  SELECT path.conv_id, {
+    'cost': best.cost + CASE q WHEN 1 THEN 6 WHEN 2 THEN 3 ELSE 0 END, 'audit': best.audit || CASE q WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END,
+    'lines': best.lines || CASE q WHEN 1 THEN ['user:', 'assistant:'] WHEN 2 THEN ['assistant:'] ELSE []::VARCHAR[] END} AS best
+  FROM path JOIN counts ON counts.conv_id IS NOT DISTINCT FROM path.conv_id AND counts.n = path.i
+), chosen AS (
+  SELECT conv_id, min(best) AS best FROM ends GROUP BY conv_id
+)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(array_to_string(best.lines, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS a
+LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN chosen ON chosen.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+@query("op13_repair", _REPAIR_SQL)
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
