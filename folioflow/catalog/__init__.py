@@ -7,7 +7,7 @@ from folioflow.ship import ship
 
 
 def _load():
-    from folioflow.catalog import frames, jobs, scalars, sheets, streams  # noqa: F401
+    from folioflow.catalog import frames, jobs, plans, scalars, sheets, streams  # noqa: F401
 
 
 def _shipped(fn):

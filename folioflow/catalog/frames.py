@@ -134,7 +134,31 @@ def x5(spark, d):
     return FR.detect_playhead(_pairs(spark, d)).select(*KEY, *ORDER, "playhead")
 
 
-@query("x6_phase_shift")
+def _phase_sql() -> str:
+    """CTE bodies: normalised cross power of the centred 8x8 frames, its inverse transform shifted by four, and the peak's neighbourhood."""
+    sine = "[" + ", ".join(repr(math.sin(2 * math.pi * i / 8)) + "::DOUBLE" for i in range(8)) + "]"
+    cosine = "[" + ", ".join(repr(math.cos(2 * math.pi * i / 8)) + "::DOUBLE" for i in range(8)) + "]"
+    at = lambda k, i: f"((({k}) // 8) * (({i}) // 8) + (({k}) % 8) * (({i}) % 8)) % 8 + 1"
+    part = lambda name, table: f"list_transform(range(0, 64), lambda k: list_sum(list_transform(range(0, 64), lambda i: {name}[i + 1] * {table}[{at('k', 'i')}])))"
+    return f"""ce AS (SELECT source_id, frame_index, list_transform(prev, lambda v: v - list_avg(prev)) AS a, list_transform(px, lambda v: v - list_avg(px)) AS b,
+  list_stddev_pop(prev) AS sa, list_stddev_pop(px) AS sb FROM pr),
+tr AS (SELECT *, {part("a", cosine)} AS ac, {part("a", sine)} AS asn, {part("b", cosine)} AS bc, {part("b", sine)} AS bs FROM ce WHERE a IS NOT NULL),
+cr AS (SELECT *, list_transform(range(1, 65), lambda k: ac[k] * bc[k] + asn[k] * bs[k]) AS re, list_transform(range(1, 65), lambda k: asn[k] * bc[k] - ac[k] * bs[k]) AS im FROM tr),
+nm AS (SELECT source_id, frame_index, sa, sb, list_transform(range(1, 65), lambda k: CASE WHEN re[k] * re[k] + im[k] * im[k] > 1e-12 THEN re[k] / sqrt(re[k] * re[k] + im[k] * im[k]) ELSE 0.0::DOUBLE END) AS re,
+  list_transform(range(1, 65), lambda k: CASE WHEN re[k] * re[k] + im[k] * im[k] > 1e-12 THEN im[k] / sqrt(re[k] * re[k] + im[k] * im[k]) ELSE 0.0::DOUBLE END) AS im FROM cr),
+sf AS (SELECT source_id, frame_index, sa, sb, list_transform(range(0, 64), lambda i: list_sum(list_transform(range(0, 64), lambda k:
+  re[k + 1] * {cosine}[{at("k", "((i // 8 + 4) % 8) * 8 + (i % 8 + 4) % 8")}] - im[k + 1] * {sine}[{at("k", "((i // 8 + 4) % 8) * 8 + (i % 8 + 4) % 8")}])) / 64.0::DOUBLE) AS s FROM nm),
+pk AS (SELECT *, CAST(list_position(list_transform(s, lambda v: v >= list_max(s) - 1e-12), true) - 1 AS INTEGER) AS p FROM sf),
+nr AS (SELECT *, list_filter(range(0, 64), lambda i: abs(i // 8 - p // 8) <= 2 AND abs(i % 8 - p % 8) <= 2) AS n FROM pk),
+wt AS (SELECT *, list_sum(list_transform(n, lambda i: s[i + 1])) AS w, list_sum(list_transform(n, lambda i: s[i + 1] * (i // 8))) AS wy FROM nr),
+sh AS (SELECT source_id, frame_index, sa >= 1e-5 AND sb >= 1e-5 AND w <> 0 AS ok, greatest(-4.0::DOUBLE, least(4.0::DOUBLE, 4 - wy / w)) AS shift, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (w - 0.08::DOUBLE) / 0.76::DOUBLE)) AS conf FROM wt)"""
+
+
+@query(
+    "x6_phase_shift",
+    f"""WITH {MF}, {PAIRS}, {_phase_sql()} SELECT pr.source_id, pr.frame_index, {r6s("CASE WHEN ok THEN shift ELSE 0.0::DOUBLE END")} AS phase_shift, {r6s("CASE WHEN ok THEN conf ELSE 0.0::DOUBLE END")} AS phase_conf
+FROM pr JOIN sh USING (source_id, frame_index) UNION ALL SELECT source_id, frame_index, NULL, NULL FROM pr WHERE prev IS NULL""",
+)
 def x6(spark, d):
     out = FR.phase_shift(_pairs(spark, d), max_shift=4)
     return out.select(*KEY, *ORDER, r6(F.col("phase_shift")).alias("phase_shift"), r6(F.col("phase_conf")).alias("phase_conf"))
@@ -371,16 +395,59 @@ def q1(spark, d):
     return kept.select(*KEY, *ORDER)
 
 
-@query("q1_dedupe_frames_full")
+def _full_rule_sql(base: str = "mf", rule: str = "'bottom_bar' AS layout, 0.045 AS st, 0.085 AS sr, 0.22 AS pl, 8 AS hd") -> str:
+    """CTE bodies for 24x24 frames (each cell of the 8x8 frame three times): blurred gray, opened ink mask, gradient grid, and the walk.
+
+    ``base`` has frames numbered from 0; ``rule`` gives the layout and cuts of each.
+    """
+    block, half = 31, 15
+    sigma = 0.3 * ((block - 1) * 0.5 - 1) + 0.8
+    w = [math.exp(-((i - half) ** 2) / (2 * sigma * sigma)) for i in range(block)]
+    weights = "[" + ", ".join(f"{v / sum(w)!r}::DOUBLE" for v in w) + "]"
+    mirror = lambda v: f"(23 - abs(23 - abs({v})))"
+    clip = lambda v: f"least(23, greatest(0, {v}))"
+    y, x, cells = "(i // 24)", "(i % 24)", "range(0, 576)"
+    up, left = f"CASE WHEN {y} > 0 THEN i - 24 END", f"CASE WHEN {x} > 0 THEN i - 1 END"
+    four = f"list_filter([i, {up}, {left}, CASE WHEN {y} > 0 AND {x} > 0 THEN i - 25 END], lambda n: n IS NOT NULL)"
+    cell = "list_sum(list_transform(range(0, 8), lambda j: greatest(0, least(9 * j + 9, 8 * (c % 9) + 8) - greatest(9 * j, 8 * (c % 9))) * px[(c // 9) * 8 + j + 1]))"
+    columns = "list_transform(range(0, 24), lambda u: len(list_filter(ch, lambda p: p % 24 = u)))"
+    dense = "list_filter(range(0, 24), lambda u: cols[u + 1] / 24.0::DOUBLE > 0.45)"
+    bar = """len(ch) > 0 AND ((list_max(list_transform(ch, lambda p: p % 24)) - list_min(list_transform(ch, lambda p: p % 24)) + 1) / 24.0::DOUBLE <= 0.22
+      AND (list_max(ch) // 24 - list_min(ch) // 24 + 1) / 24.0::DOUBLE >= 0.42 AND len(ch) / 576.0::DOUBLE <= 0.25
+      OR len(dense) > 0 AND list_max(dense) - list_min(dense) + 1 <= 6 AND list_sum(list_transform(dense, lambda u: cols[u + 1])) / CAST(len(ch) AS DOUBLE) > 0.52)"""
+    return f"""bg AS (SELECT source_id, frame_index, px, list_transform({cells}, lambda i: px[(i // 72) * 8 + (i % 24) // 3 + 1]) AS p FROM {base}),
+b1 AS (SELECT *, list_transform({cells}, lambda i: p[{mirror(y + " - 1")} * 24 + {x} + 1] + 2 * p[i + 1] + p[{mirror(y + " + 1")} * 24 + {x} + 1]) AS r FROM bg),
+b2 AS (SELECT source_id, frame_index, px, list_transform({cells}, lambda i: (r[{y} * 24 + {mirror(x + " - 1")} + 1] + 2 * r[i + 1] + r[{y} * 24 + {mirror(x + " + 1")} + 1] + 8) // 16) AS g FROM b1),
+m1 AS (SELECT *, list_transform({cells}, lambda i: list_sum(list_transform(range(0, {block}), lambda j: {weights}[j + 1] * g[{clip(y + f" + j - {half}")} * 24 + {x} + 1]))) AS v FROM b2),
+m2 AS (SELECT *, list_transform({cells}, lambda i: g[i + 1] <= round_even(list_sum(list_transform(range(0, {block}), lambda j: {weights}[j + 1] * v[{y} * 24 + {clip(x + f" + j - {half}")} + 1])), 0) - 7) AS m FROM m1),
+m3 AS (SELECT source_id, frame_index, px, g, list_transform({cells}, lambda i: len(list_filter({four}, lambda n: NOT m[n + 1])) = 0) AS t FROM m2),
+m4 AS (SELECT source_id, frame_index, g, list_transform({cells}, lambda i: len(list_filter({four}, lambda n: t[n + 1])) > 0) AS k, list_transform(range(0, 72), lambda c: round_even({cell} / 8.0::DOUBLE, 0)) AS q FROM m3),
+rl AS (SELECT source_id, frame_index, {rule} FROM {base}),
+ft AS (SELECT source_id, frame_index, g, k, list_transform(range(0, 64), lambda b: q[(b // 8) * 9 + b % 8 + 2] > q[(b // 8) * 9 + b % 8 + 1]) AS mark FROM m4),
+walk AS (
+  SELECT source_id, frame_index, g, k, [mark] AS ring, CAST(NULL AS VARCHAR) AS drop_reason FROM ft WHERE frame_index = 0
+  UNION ALL
+  SELECT source_id, frame_index, CASE WHEN why IS NULL THEN ng ELSE g END, CASE WHEN why IS NULL THEN nk ELSE k END,
+    CASE WHEN why IS NULL THEN list_concat(CASE WHEN len(ring) = 8 THEN ring[2:8] ELSE ring END, [mark]) ELSE ring END, why
+  FROM (SELECT *, CASE WHEN len(ch) / 576.0::DOUBLE < st THEN 'static' WHEN len(list_filter(range(1, 577), lambda i: k[i] <> nk[i])) / 576.0::DOUBLE < sr THEN 'structure'
+      WHEN layout = 'bottom_bar' AND len(ch) / 576.0::DOUBLE < pl AND ({bar}) THEN 'playhead'
+      WHEN layout <> 'full_scroll' AND list_min(list_transform(ring, lambda o: len(list_filter(range(1, 65), lambda i: o[i] <> mark[i])))) <= hd THEN 'recent' END AS why
+    FROM (SELECT *, {dense} AS dense FROM (SELECT *, {columns} AS cols FROM (
+      SELECT n.source_id, n.frame_index, r.g, r.k, r.ring, n.g AS ng, n.k AS nk, n.mark, rl.layout, rl.st, rl.sr, rl.pl, rl.hd, list_filter({cells}, lambda i: abs(r.g[i + 1] - n.g[i + 1]) > 22) AS ch
+      FROM walk r JOIN ft n ON n.source_id = r.source_id AND n.frame_index = r.frame_index + 1 JOIN rl ON rl.source_id = n.source_id AND rl.frame_index = n.frame_index) AS a) AS b) AS c) AS d)"""
+
+
+def big_frames(spark, d):
+    """The 8x8 frames enlarged to 24x24."""
+    side = F.sequence(F.lit(0), F.lit(23))
+    big = F.flatten(F.transform(side, lambda y: F.transform(side, lambda x: F.get("px", F.floor(y / 3).cast("int") * 8 + F.floor(x / 3).cast("int")))))
+    return X.micro_frames(spark, d).withColumn("px", big).withColumns({"width": F.lit(24), "height": F.lit(24)})
+
+
+@query("q1_dedupe_frames_full", f"WITH RECURSIVE {MF}, {_full_rule_sql()} SELECT source_id, frame_index, drop_reason IS NULL AS keep, drop_reason FROM walk")
 def q1b(spark, d):
     """All rules of the strip layout, on frames enlarged to 24x24."""
-    big = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.lit(23)),
-            lambda y: F.transform(F.sequence(F.lit(0), F.lit(23)), lambda x: F.get("px", F.floor(y / 3).cast("int") * 8 + F.floor(x / 3).cast("int"))),
-        )
-    )
-    frames = X.micro_frames(spark, d).withColumn("px", big).withColumns({"width": F.lit(24), "height": F.lit(24)})
+    frames = big_frames(spark, d)
     out = Q.dedupe_frames(frames, KEY, ORDER, layout="bottom_bar", level="aggressive", flags=True)
     return out.select(*KEY, *ORDER, "keep", "drop_reason")
 
@@ -443,6 +510,31 @@ def q5(spark, d):
     return _stitch(spark, d).select(*KEY, *ORDER, "overlap", "new_page", "page_no", "y_offset")
 
 
+_SQUEEZED = """list_transform(range(0, 64), lambda i: CAST(round_even(
+  buf[CAST(floor(greatest(0.0::DOUBLE, least(h - 1.0::DOUBLE, (i // 8 + 0.5::DOUBLE) * h / 8.0::DOUBLE - 0.5::DOUBLE))) AS INTEGER) * 8 + i % 8 + 1] * (1.0::DOUBLE - (greatest(0.0::DOUBLE, least(h - 1.0::DOUBLE, (i // 8 + 0.5::DOUBLE) * h / 8.0::DOUBLE - 0.5::DOUBLE)) - floor(greatest(0.0::DOUBLE, least(h - 1.0::DOUBLE, (i // 8 + 0.5::DOUBLE) * h / 8.0::DOUBLE - 0.5::DOUBLE)))))
+  + buf[CAST(least(h - 1, floor(greatest(0.0::DOUBLE, least(h - 1.0::DOUBLE, (i // 8 + 0.5::DOUBLE) * h / 8.0::DOUBLE - 0.5::DOUBLE))) + 1) AS INTEGER) * 8 + i % 8 + 1] * (greatest(0.0::DOUBLE, least(h - 1.0::DOUBLE, (i // 8 + 0.5::DOUBLE) * h / 8.0::DOUBLE - 0.5::DOUBLE)) - floor(greatest(0.0::DOUBLE, least(h - 1.0::DOUBLE, (i // 8 + 0.5::DOUBLE) * h / 8.0::DOUBLE - 0.5::DOUBLE)))), 0) AS INTEGER))"""
+_FADED = """list_transform(range(0, 64), lambda i: CAST(floor(greatest(0.0::DOUBLE, least(255.0::DOUBLE,
+  buf[(h - 8) * 8 + i + 1] * (1.0::DOUBLE - (i // 8) / 7.0::DOUBLE) + px[i + 1] * (1.0::DOUBLE - (1.0::DOUBLE - (i // 8) / 7.0::DOUBLE))))) AS INTEGER))"""
+
+
+@query(
+    "q5_stitch_buffer",
+    f"""WITH RECURSIVE {MF}, walk AS (
+  SELECT source_id, frame_index, px AS buf, 8 AS h, 0 AS overlap, true AS new_page, CAST(0 AS BIGINT) AS y_offset FROM mf WHERE frame_index = 0
+  UNION ALL
+  SELECT source_id, frame_index, CASE WHEN same THEN list_concat(buf[1 : (h - o) * 8], {_FADED}) ELSE px END, CASE WHEN same THEN h - o + 8 ELSE 8 END,
+    CASE WHEN same THEN o ELSE 0 END, NOT same, CAST(CASE WHEN same THEN h - o ELSE 0 END AS BIGINT)
+  FROM (SELECT *, 1.0::DOUBLE - list_min(ds) / 255.0::DOUBLE >= 0.9 AS same, CAST(list_position(ds, list_min(ds)) AS INTEGER) AS o
+    FROM (SELECT *, {_overlaps(1, 6, a="sq")} AS ds
+      FROM (SELECT r.source_id, g.frame_index, r.buf, r.h, g.px, {_SQUEEZED} AS sq
+        FROM walk r JOIN mf g ON g.source_id = r.source_id AND g.frame_index = r.frame_index + 1) AS a) AS b) AS c)
+SELECT source_id, frame_index, overlap, new_page, CAST(sum(CASE WHEN new_page THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY frame_index) AS BIGINT) AS page_no, y_offset FROM walk""",
+)
+def q5_buffer(spark, d):
+    out = Q.stitch_plan(X.micro_frames(spark, d), KEY, ORDER, threshold=0.9, bounds=(1, 6, 1), whole_sheet=True)
+    return out.select(*KEY, *ORDER, "overlap", "new_page", "page_no", "y_offset")
+
+
 @query(
     "q6_merge_plan",
     f"""WITH RECURSIVE {MF}, {_greedy("cur", "px", TOTAL.format(a="r.cur", b="g.px") + " / 64.0::DOUBLE >= 12.5")},

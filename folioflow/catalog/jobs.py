@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioflow import fixtures as X
-from folioflow.catalog.base import query
+from folioflow.catalog.base import ORACLES, query
 from folioflow.functions.text import path_suffix
 from folioflow.operators import aggregates as A
 from folioflow.operators import joins as J
@@ -428,3 +428,26 @@ def s5(spark, d):
     WR.write_jobs(jobs, path)
     back = spark.read.parquet(path)
     return back.groupBy("job_id").agg(F.max("status").alias("status"), F.max("progress").alias("progress"), F.count(F.lit(1)).alias("copies"))
+
+
+@query("s5_upsert_jobs", ORACLES["w7_current_jobs"])
+def s5_upsert(spark, d):
+    """Patches stream into the job table by micro-batch; then an early batch is replayed and one job is written again."""
+    from folioflow.catalog.streams import _FIELDS, _feed
+    from folioflow.streaming import streams as ST
+
+    ST.use_rocksdb(spark)
+    path, patches = scratch_path(spark, "job-upserts"), X.job_patches(spark, d)
+    stream = ST.stream_current_jobs(_feed(spark, patches, "patches", ["ts", "seq"]), fields=_FIELDS)
+    first = scratch_path(spark, "first-batch")
+
+    def sink(batch, number):
+        if number == 0:
+            batch.write.mode("overwrite").parquet(first)
+        WR.upsert_batches(path, order=["last_seq"])(batch, number)
+
+    ST.run_sink(stream, sink, mode="update", checkpoint=scratch_path(spark, "job-upserts-checkpoint"))
+    WR.upsert_batches(path, order=["last_seq"])(spark.read.parquet(first), 0)
+    WR.write_jobs(spark.read.parquet(path).drop("bucket").orderBy("job_id").limit(1), path)
+    out = spark.read.parquet(path).drop("bucket", "batch_id", "last_seq")
+    return out.withColumn("updated_at", F.unix_micros("updated_at"))

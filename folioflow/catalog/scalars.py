@@ -294,6 +294,53 @@ def f11(spark, d):
 _TEMPLATE = "{{ kind }}: {{value}} of {{missing}}{{kind}} {{ open"
 
 
+_DETAIL_SQL = """CASE event_id % 13 WHEN 0 THEN '"file_path does not exist"' WHEN 1 THEN '["roi is too small for capture crop", {"msg": "bad value ' || k || '", "loc": ["body", "x"]}, 7]'
+    WHEN 2 THEN '[{"loc": ["body", "options", "detect", "roi"], "msg": "field required"}]' WHEN 3 THEN '{"detail": "preview source preparation failed: Timeout ' || k || '"}'
+    WHEN 4 THEN '{"message": "job is still running", "code": ' || k || '}' WHEN 5 THEN '{"detail": ["x"], "message": "no valid captures selected"}' WHEN 6 THEN '{"code": ' || k || '}'
+    WHEN 7 THEN 'capture file not found: /x/' || k WHEN 8 THEN 'null' WHEN 9 THEN '[]' WHEN 10 THEN '[null, "", 0, false, {"loc": ["a", 1], "type": "t"}, [1, [2, null], "z"], true, ' || k || ']'
+    WHEN 11 THEN CAST(k AS VARCHAR) ELSE '{"detail": ""}' END"""
+
+
+def _friendly_sql(text: str, lang: int) -> str:
+    """What the fixture's texts become; column 0 is English, 1 Korean."""
+    known = [
+        ("= ''", "An error occurred while handling the request.", "요청 처리 중 오류가 발생했습니다."),
+        ("= 'file_path does not exist'", "The selected file could not be found. Check the path.", "선택한 파일을 찾을 수 없습니다. 경로를 확인합니다."),
+        ("LIKE 'preview source preparation failed: Timeout%'", "Preparing the YouTube video timed out. Try again shortly or test another link.",
+         "유튜브 영상 준비 시간이 초과되었습니다. 잠시 후 다시 시도하거나 다른 링크로 확인합니다."),
+        ("= 'job is still running'", "Review export is not available while the job is still running.", "작업 실행 중에는 검토 반영을 사용할 수 없습니다. 완료 후 다시 시도합니다."),
+        ("= 'no valid captures selected'", "The selected captures could not be found. Select them again.", "선택한 캡처를 찾을 수 없습니다. 다시 선택합니다."),
+        ("LIKE 'capture file not found:%'", "The selected capture file could not be found. Regenerate the results and try again.", "선택한 캡처 파일을 찾을 수 없습니다. 결과를 다시 생성한 뒤 시도합니다."),
+    ]
+    cases = " ".join(f"WHEN {text} {test} THEN '{row[lang]}'" for test, *row in known)
+    return f"CASE {cases} ELSE {text} END"
+
+
+def _structured_sql(lang: int) -> str:
+    roi = ("ROI coordinates are required. Open a preview in step 3 and drag the score area.", "악보 영역 좌표가 필요합니다. 3단계에서 미리보기 화면을 불러온 뒤 드래그로 지정합니다.")[lang]
+    return f"CASE WHEN places LIKE '%options.detect.roi%' THEN '{roi}' ELSE {_friendly_sql('plain', lang)} END"
+
+
+@query(
+    "f11_structured_errors",
+    f"""WITH {X.SIGNAL_SQL}, a AS (SELECT event_id, {_DETAIL_SQL} AS detail FROM sg),
+b AS (SELECT event_id, detail, json_valid(detail) AS good, CASE WHEN json_valid(detail) THEN detail::JSON END AS j FROM a),
+c AS (SELECT event_id, detail, good, j, json_type(j) AS kind, CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') ELSE [] END AS items FROM b),
+t AS (SELECT *, array_to_string(list_transform(items, lambda i: CASE WHEN json_type(i, '$.loc') = 'ARRAY' THEN array_to_string(list_transform(json_extract(i, '$.loc[*]'), lambda e: e->>'$'), '.') ELSE '' END), ' ') AS places,
+  list_transform(items, lambda i: CASE json_type(i) WHEN 'NULL' THEN '' WHEN 'OBJECT' THEN CASE WHEN json_type(i, '$.msg') = 'VARCHAR' THEN i->>'$.msg' ELSE '[object Object]' END
+    WHEN 'ARRAY' THEN array_to_string(list_transform(json_extract(i, '$[*]'), lambda e: CASE json_type(e) WHEN 'NULL' THEN ''
+      WHEN 'ARRAY' THEN array_to_string(list_transform(json_extract(e, '$[*]'), lambda z: coalesce(z->>'$', '')), ',') ELSE e->>'$' END), ',')
+    WHEN 'BOOLEAN' THEN CASE WHEN i->>'$' = 'true' THEN 'true' ELSE '' END WHEN 'VARCHAR' THEN i->>'$' ELSE CASE WHEN i->>'$' = '0' THEN '' ELSE i->>'$' END END) AS said FROM c),
+p AS (SELECT event_id, places, CASE WHEN NOT good THEN detail WHEN kind = 'NULL' THEN '' WHEN kind = 'ARRAY' THEN array_to_string(list_filter(said, lambda x: x <> ''), ' / ')
+    WHEN kind = 'OBJECT' THEN CASE WHEN json_type(j, '$.detail') = 'VARCHAR' THEN j->>'$.detail' WHEN json_type(j, '$.message') = 'VARCHAR' THEN j->>'$.message' ELSE '' END
+    WHEN kind = 'VARCHAR' THEN j->>'$' ELSE CASE WHEN j->>'$' = '0' THEN '' ELSE j->>'$' END END AS plain FROM t)
+SELECT event_id, {_structured_sql(0)} AS friendly_en, {_structured_sql(1)} AS friendly_ko FROM p""",
+)
+def f11_structured(spark, d):
+    rows = X.signal(spark, d).select("event_id", F.expr(_DETAIL_SQL.replace("VARCHAR", "STRING")).alias("detail"))
+    return rows.select("event_id", T.structured_error(F.col("detail"), "en").alias("friendly_en"), T.structured_error(F.col("detail"), "ko").alias("friendly_ko"))
+
+
 @query(
     "f12_render_template",
     f"""WITH {SG} SELECT event_id, replace(replace(replace(

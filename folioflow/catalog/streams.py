@@ -9,21 +9,36 @@ from folioflow.catalog.base import ORACLES, query
 from folioflow.catalog.frames import KEY, ORDER
 from folioflow.operators import windows as W
 from folioflow.session import scratch_path, stage
+from folioflow.streaming import ordered as O
 from folioflow.streaming import streams as T
 
 SG = X.SIGNAL_SQL
 
 
-def _feed(spark, df, name, order, parts=4):
-    """Write a table as ``parts`` files, oldest rows first, and open a stream that takes one file per micro-batch.
+# Rows of one micro-batch, and the files it is written as.
+FEED_ROWS = 250_000
+FEED_FILES = 4
 
-    The files are written one after the other, so the source finds them in the order of their rows.
+
+def _feed(spark, df, name, order):
+    """Write a table as micro-batches, oldest rows first, and open a stream that takes one micro-batch at a time.
+
+    A micro-batch is a range of the order and a few files, each written by its own task; there are four at
+    least, more with the rows. They are written one after the other, so the source finds them in order.
     """
     path = scratch_path(spark, name)
+    parts = max(4, -(-df.count() // FEED_ROWS))
     dealt = stage(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     for part in range(parts):
-        dealt.filter(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", "1").parquet(path)
+        dealt.filter(F.col("_part") == part).drop("_part").repartition(FEED_FILES).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", str(FEED_FILES)).parquet(path)
+
+
+def _closed(df, key, ts="ts"):
+    """With one row of a key that does not occur, so late that the watermark passes all others."""
+    end = df.agg((F.max(ts) + F.expr("interval 400 days")).alias(ts)).withColumn(key, F.lit(-1))
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name not in (key, ts)]
+    return df.unionByName(end.select(F.col(key).cast(df.schema[key].dataType).alias(key), ts, *rest))
 
 
 def _finish(spark, stream, name, mode="append"):
@@ -41,6 +56,18 @@ def t1(spark, d):
     return _finish(spark, out, "t1").select(*KEY, *ORDER)
 
 
+@query("t1_stream_reordered", ORACLES["q1_dedupe_frames"])
+def t1b(spark, d):
+    """Frames that arrive up to six seconds late, over several micro-batches; the last one's watermark releases the rest."""
+    T.use_rocksdb(spark)
+    frames = X.micro_frames(spark, d).withColumn("ts", F.timestamp_seconds(F.lit(1_600_000_000) + F.col("frame_index"))).select(*KEY, "ts", *ORDER, "px", "width", "height")
+    late = F.pmod(F.xxhash64(*KEY, *ORDER), F.lit(7))
+    dealt = _closed(frames, "source_id").withColumn("frame_index", F.coalesce("frame_index", F.lit(0)))
+    stream = _feed(spark, dealt, "late-frames", [F.unix_seconds("ts") + late, *KEY])
+    out = O.stream_dedupe_ordered(stream, KEY, ORDER, delay="10 seconds", layout="full_scroll", static=0.20, structure=0.0, min_side=0, blur=False)
+    return _finish(spark, out, "t1-late").filter("source_id >= 0").select(*KEY, *ORDER)
+
+
 @query(
     "t2_stream_sample",
     f"""WITH {SG}, a AS (SELECT source_id, epoch_us(ts) AS us, event_id FROM sg), m AS (SELECT max(us) // 1000 * 1000 - 3600000000 AS wm FROM a),
@@ -81,6 +108,39 @@ def t3b(spark, d):
     return _finish(spark, out, "t3").select("source_id", "event_id", F.unix_micros("ts").alias("last_us"))
 
 
+_ANSWERS_SQL = f"""WITH {SG}, r AS (SELECT source_id, event_id, ts AS asked_at, ts + to_hours(CAST(3 * (event_id % 9) AS BIGINT)) AS ts, lead(ts) OVER (PARTITION BY source_id ORDER BY ts, event_id) AS nxt FROM sg)
+SELECT source_id, event_id, epoch_us(asked_at) AS asked_us, epoch_us(ts) AS answered_us FROM r WHERE nxt IS NULL OR nxt > ts"""
+
+
+def _answers(spark, d):
+    """(requests, answers): each request is answered after up to 24 hours, so answers overtake each other and newer requests."""
+    requests = X.signal(spark, d).select("source_id", "ts", "event_id")
+    took = F.make_dt_interval(hours=(3 * F.pmod("event_id", F.lit(9))).cast("int"))
+    return requests, requests.select("source_id", "event_id", F.col("ts").alias("asked_at"), (F.col("ts") + took).alias("ts"))
+
+
+def _micros(rows):
+    return rows.select("source_id", "event_id", F.unix_micros("asked_at").alias("asked_us"), F.unix_micros("ts").alias("answered_us"))
+
+
+@query("t3_current_answers", _ANSWERS_SQL)
+def t3c(spark, d):
+    requests, answers = _answers(spark, d)
+    return _micros(W.current_answers(requests, answers, ["source_id"], tie="event_id"))
+
+
+@query("t3_stream_answers", _ANSWERS_SQL)
+def t3d(spark, d):
+    """Both streams over several micro-batches, their rows up to 50 minutes late."""
+    T.use_rocksdb(spark)
+    requests, answers = _answers(spark, d)
+    late = F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(3000))
+    asked = _feed(spark, _closed(requests, "source_id"), "asked", [late, "source_id"])
+    given = _feed(spark, _closed(answers, "source_id").withColumn("asked_at", F.coalesce("asked_at", "ts")), "answered", [late, "source_id"])
+    out = O.stream_answers(asked, given, ["source_id"], tie="event_id", delay="1 hour", patience="30 hours")
+    return _micros(_finish(spark, out, "t3-answers").filter("source_id >= 0"))
+
+
 _FIELDS = ("progress", "current_step", "message", "error_code")
 
 
@@ -114,3 +174,37 @@ def t5b(spark, d):
     out = T.stream_recover(_feed(spark, X.job_patches(spark, d), "patches", ["ts", "seq"]), stale_after="24 hours", delay="1 hour")
     back = _finish(spark, out, "t5")
     return back.select("job_id", F.unix_micros("updated_at").alias("updated_us"), "status", "error_code")
+
+
+@query(
+    "t4_transitions_expiring",
+    f"""WITH {X.JOB_PATCHES_SQL}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY job_id ORDER BY ts, seq) < INTERVAL 48 HOUR THEN 0 ELSE 1 END AS fresh FROM jp),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY job_id ORDER BY ts, seq) AS run FROM g),
+f AS (SELECT job_id, seq, status, row_number() OVER (PARTITION BY job_id, run ORDER BY ts, seq) AS n FROM r WHERE status IN ('done', 'error'))
+SELECT job_id, seq, status FROM f WHERE n = 1""",
+)
+def t4c(spark, d):
+    """A job that had no patch for two days has left the state and starts anew."""
+    T.use_rocksdb(spark)
+    late = F.unix_seconds("ts") + F.pmod(F.xxhash64("seq"), F.lit(3000))
+    patches = X.job_patches(spark, d).select("job_id", "ts", "seq", "status")
+    stream = _feed(spark, _closed(patches, "job_id").withColumn("seq", F.coalesce("seq", F.lit(0).cast("bigint"))), "late-patches", [late, "job_id"])
+    out = O.stream_transitions_expiring(stream, forget_ms=48 * 3_600_000, delay="1 hour")
+    return _finish(spark, out, "t4-expiring").filter("job_id >= 0").select("job_id", "seq", "status")
+
+
+@query(
+    "t5_timer_recover",
+    f"""WITH {X.JOB_PATCHES_SQL}, b AS (SELECT *, lead(ts) OVER (PARTITION BY job_id ORDER BY ts, seq) AS nxt FROM jp)
+SELECT job_id, epoch_us(ts) AS updated_us, 'error' AS status, 'RECOVERED_AFTER_RESTART' AS error_code FROM b
+WHERE (nxt IS NULL OR nxt >= ts + INTERVAL 24 HOUR) AND status IN ('queued','running')""",
+)
+def t5c(spark, d):
+    """Patches up to 50 minutes late; every quiet job is recovered by its timer."""
+    T.use_rocksdb(spark)
+    late = F.unix_seconds("ts") + F.pmod(F.xxhash64("seq"), F.lit(3000))
+    patches = X.job_patches(spark, d).select("job_id", "ts", "seq", "status")
+    stream = _feed(spark, _closed(patches, "job_id").withColumn("seq", F.coalesce("seq", F.lit(0).cast("bigint"))), "late-patches", [late, "job_id"])
+    out = O.stream_recover_by_timer(stream, stale_ms=24 * 3_600_000, delay="1 hour")
+    back = _finish(spark, out, "t5-timer").filter("job_id >= 0")
+    return back.select("job_id", F.unix_micros("updated_at").alias("updated_us"), "status", "error_code")

@@ -25,6 +25,7 @@ RING = 8
 CHANGE_CUT = 22
 NEAR_SAME_CUT = 5.8
 COMPARE_HEIGHT, COMPARE_WIDTH = 900, 1600
+SHIFT_HEIGHT, SHIFT_WIDTH = 1200, 1400
 MIN_COMPARE_SIDE = 16
 MIN_NEAR_SAME_SIDE = 24
 SCROLL_CONFIDENCE = 0.34
@@ -47,6 +48,8 @@ SHIFT_MIN_SEGMENT = 24
 MERGE_ACCEPT = 19.5
 MERGE_GAP = 12
 STITCH_SEAM_MIN, STITCH_SEAM_MAX = 10, 42
+# Rows of a stitched sheet that a fold holds as they are (a limit of this library).
+SHEET_ROWS = 16_384
 
 # --- Fixed values: ink and page checks ----------------------------------------
 INK_BLOCK, INK_OFFSET = 31, 7

@@ -20,10 +20,6 @@ def clamp(value: Column, low, high) -> Column:
     return F.greatest(col(low), F.least(col(high), value))
 
 
-def half_even(value: Column, digits: int = 0) -> Column:
-    return F.bround(value, digits)
-
-
 def half_up(value: Column) -> Column:
     """Round half towards plus infinity to a whole number."""
     return F.floor(value + F.lit(0.5))

@@ -117,6 +117,78 @@ def classify_error(detail: Column, locale: str = "en") -> Column:
     return out.otherwise(F.coalesce(_lookup(M.EXACT_ERRORS[locale], detail), detail))
 
 
+# Arrays inside arrays that an error's text may hold; deeper ones are shown as JSON.
+ERROR_DEPTH = 3
+
+
+def _kind(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+
+
+def _part(value: Column, path: str, kind: str) -> Column:
+    return F.try_variant_get(value, path, kind)
+
+
+def _shown(value: Column, depth: int = ERROR_DEPTH) -> Column:
+    """A JSON value as text: null is empty, arrays are joined by commas, objects have no text of their own."""
+    kind = _kind(value)
+    if depth:
+        inner = F.array_join(F.transform(_part(value, "$", "array<variant>"), lambda e: _shown(e, depth - 1)), ",")
+    else:
+        inner = F.to_json(value)
+    return (
+        F.when(kind == "VOID", F.lit(""))
+        .when(F.startswith(kind, F.lit("ARRAY")), inner)
+        .when(F.startswith(kind, F.lit("OBJECT")), F.lit("[object Object]"))
+        .otherwise(F.coalesce(_part(value, "$", "string"), F.lit("")))
+    )
+
+
+def _empty(value: Column) -> Column:
+    """Values that count as nothing: null, false, zero and the empty text."""
+    kind = _kind(value)
+    zero = ~kind.isin("STRING", "BOOLEAN") & (_part(value, "$", "double") == 0)
+    return (kind == "VOID") | ((kind == "BOOLEAN") & (_part(value, "$", "boolean") == F.lit(False))) | F.coalesce(zero, F.lit(False)) | (
+        (kind == "STRING") & (_part(value, "$", "string") == "")
+    )
+
+
+def _text_at(value: Column, path: str) -> Column:
+    """The text at a path, null when something else or nothing is there."""
+    there = _part(value, path, "variant")
+    return F.when(_kind(there) == "STRING", _part(there, "$", "string"))
+
+
+def structured_error(detail: Column, locale: str = "en") -> Column:
+    """Friendly text of an error whose detail is JSON of any shape, or plain text.
+
+    A list is joined from its texts and ``msg`` fields, unless one of its places names the
+    region field; an object gives its ``detail`` or ``message`` when that is a text; a text goes through
+    ``classify_error``. Text that is not JSON is taken as it is; nothing at all is the general error.
+    """
+    value = F.try_parse_json(detail)
+    kind = _kind(value)
+    items = _part(value, "$", "array<variant>")
+
+    def place(item):
+        loc = _part(item, "$.loc", "variant")
+        tokens = F.array_join(F.transform(_part(loc, "$", "array<variant>"), lambda t: _shown(t)), ".")
+        return F.when(F.startswith(_kind(item), F.lit("OBJECT")) & F.startswith(_kind(loc), F.lit("ARRAY")), tokens).otherwise(F.lit(""))
+
+    def said(item):
+        message = F.when(F.startswith(_kind(item), F.lit("OBJECT")), _text_at(item, "$.msg"))
+        return F.coalesce(message, F.when(_empty(item), F.lit("")).otherwise(_shown(item)))
+
+    general = F.lit(M.EMPTY_ERROR[locale])
+    places = F.array_join(F.transform(items, place), " ")
+    joined = F.array_join(F.filter(F.transform(items, said), lambda t: t != ""), " / ")
+    listed = F.when(F.contains(places, F.lit(M.ROI_FIELD)), F.lit(M.ROI_REQUIRED[locale])).otherwise(F.coalesce(F.nullif(joined, F.lit("")), general))
+    inner = F.coalesce(_text_at(value, "$.detail"), _text_at(value, "$.message"), F.lit(""))
+    is_list, is_object = F.startswith(kind, F.lit("ARRAY")), F.startswith(kind, F.lit("OBJECT"))
+    text = F.when(value.isNull(), detail).when(is_object, inner).when(_empty(value), F.lit("")).otherwise(_part(value, "$", "string"))
+    return F.when(value.isNotNull() & is_list, listed).otherwise(classify_error(text, locale))
+
+
 def recovery_hint(message: Column) -> Column:
     """detect, ffmpeg or youtube: which advice follows a failed job; null for none."""
     low = F.lower(F.coalesce(message, F.lit("")))
@@ -150,7 +222,3 @@ def normalize_locale(stored: Column, system: Column) -> Column:
     """'ko' for anything starting with ko, else 'en'; a stored value beats the system's."""
     value = F.lower(F.trim(F.coalesce(F.nullif(stored, F.lit("")), F.nullif(system, F.lit("")), F.lit("en"))))
     return F.when(F.startswith(value, F.lit("ko")), F.lit("ko")).otherwise(F.lit("en"))
-
-
-def is_video(path: Column) -> Column:
-    return path_suffix(path).isin(*C.VIDEO_SUFFIXES)

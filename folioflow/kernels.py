@@ -64,6 +64,16 @@ def ink_mask(gray: np.ndarray, block: int = C.INK_BLOCK, c: int = C.INK_OFFSET,
     return open2(mask) if opened else mask
 
 
+def packed(mask: np.ndarray) -> bytes:
+    """A mask as bits."""
+    return np.packbits(mask).tobytes()
+
+
+def differing_bits(a: bytes, b: bytes) -> int:
+    """Set bits of the difference of two packed masks."""
+    return int(np.bitwise_count(np.frombuffer(a, np.uint8) ^ np.frombuffer(b, np.uint8)).sum(dtype=np.int64))
+
+
 def open2(mask: np.ndarray) -> np.ndarray:
     """2x2 opening: erosion then dilation over (y-1..y, x-1..x)."""
     up = np.pad(mask, ((1, 0), (1, 0)), constant_values=True)
@@ -87,22 +97,94 @@ def shrink(gray: np.ndarray, width: int, height: int) -> np.ndarray:
     return np.rint(np.round(small, 9))
 
 
-def resize(gray: np.ndarray, width: int, height: int) -> np.ndarray:
+def resize(gray: np.ndarray | Sheet, width: int, height: int) -> np.ndarray:
     """Bilinear, pixel centres at half positions."""
     h, w = gray.shape
     if (h, w) == (height, width):
-        return gray
+        return gray if isinstance(gray, np.ndarray) else gray.rows(np.arange(h))
     y = np.clip((np.arange(height) + 0.5) * h / height - 0.5, 0, h - 1)
     x = np.clip((np.arange(width) + 0.5) * w / width - 0.5, 0, w - 1)
     y0, x0 = y.astype(int), x.astype(int)
     y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
     fy, fx = (y - y0)[:, None], (x - x0)[None, :]
-    g = gray.astype(np.float64)
-    top = g[y0][:, x0] * (1 - fx) + g[y0][:, x1] * fx
-    low = g[y1][:, x0] * (1 - fx) + g[y1][:, x1] * fx
+    pick = gray.__getitem__ if isinstance(gray, np.ndarray) else gray.rows
+    up, down = pick(y0).astype(np.float64), pick(y1).astype(np.float64)
+    top = up[:, x0] * (1 - fx) + up[:, x1] * fx
+    low = down[:, x0] * (1 - fx) + down[:, x1] * fx
     return np.rint(top * (1 - fy) + low * fy).astype(np.uint8)
 
 
+class Sheet:
+    """A growing stitched sheet of which a bounded number of rows is held.
+
+    Up to ``limit`` rows are held as they are. Beyond that the upper rows are held thinned out: one
+    mean row stands for ``step`` rows, and ``step`` doubles whenever the limit is reached again. The
+    lower rows, which the next seam changes, stay whole; a squeezed view reads
+    two held rows per row it shows, so its cost does not grow with the sheet. The limit holds up to
+    some (limit / 4) squared rows of sheet.
+    """
+
+    def __init__(self, image: np.ndarray, limit: int):
+        self.head, self.tail, self.step, self.limit = image[:0], image, 1, limit
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.head) * self.step + len(self.tail), self.tail.shape[1]
+
+    def rows(self, numbers: np.ndarray) -> np.ndarray:
+        whole = len(self.head) * self.step
+        out = np.empty((len(numbers), self.tail.shape[1]), dtype=np.uint8)
+        above = numbers < whole
+        out[above] = self.head[numbers[above] // self.step]
+        out[~above] = self.tail[numbers[~above] - whole]
+        return out
+
+    def widened(self, width: int) -> Sheet:
+        out = Sheet(pad_white(self.tail, width), self.limit)
+        out.head, out.step = pad_white(self.head, width), self.step
+        return out
+
+    def stitched(self, frame: np.ndarray, overlap: int) -> Sheet:
+        """The sheet with a frame laid over its last ``overlap`` rows."""
+        out = self.widened(frame.shape[1])
+        frame = pad_white(frame, out.shape[1])
+        out.tail = stitch_pair(out.tail, frame, overlap)
+        # Whole rows stay for two frames like this one, so the next overlap ends inside them.
+        keep = 2 * len(frame)
+        limit = max(out.limit, 2 * keep)
+        out._lift(keep)
+        while len(out.head) + len(out.tail) > limit and 4 * out.step <= limit - keep:
+            even = len(out.head) // 2 * 2
+            out.tail = np.concatenate([np.repeat(out.head[even:], out.step, axis=0), out.tail])
+            out.head, out.step = _means(out.head[:even], 2), 2 * out.step
+            out._lift(keep)
+        return out
+
+    def _lift(self, keep: int) -> None:
+        """Move whole rows above the last ``keep`` ones into the thinned part, as many as make full steps."""
+        if len(self.head) + len(self.tail) > self.limit or self.step > 1:
+            moved = max(0, len(self.tail) - keep) // self.step * self.step
+            self.head = np.concatenate([self.head, _means(self.tail[:moved], self.step)])
+            self.tail = self.tail[moved:].copy()
+
+
+def _means(rows: np.ndarray, step: int) -> np.ndarray:
+    grouped = rows.reshape(len(rows) // step, step, rows.shape[1]).astype(np.float64).mean(axis=1)
+    return np.rint(grouped).astype(np.uint8)
+
+
+def stitch_pair(top: np.ndarray, bottom: np.ndarray, overlap: int) -> np.ndarray:
+    """Two images of equal width on top of each other; the seam fades from the upper into the lower one."""
+    short = min(len(top), len(bottom))
+    overlap = max(0, min(overlap, short - 1))
+    if not overlap:
+        return np.concatenate([top, bottom])
+    seam = min(max(C.STITCH_SEAM_MIN, min(overlap, C.STITCH_SEAM_MAX)), short)
+    alpha = (1.0 - np.arange(seam) / (seam - 1) if seam > 1 else np.ones(1))[:, None]
+    faded = np.floor(np.clip(top[-seam:] * alpha + bottom[:seam] * (1.0 - alpha), 0, 255)).astype(np.uint8)
+    return np.concatenate([top[:-overlap], faded, bottom[seam:]])
+
+
 def common(a: np.ndarray, b: np.ndarray, max_h: int | None = None, max_w: int | None = None):
     """Both images at their smaller common size, capped."""
     h = min(a.shape[0], b.shape[0], max_h or a.shape[0])
@@ -209,11 +291,18 @@ def phase_shift(a: np.ndarray, b: np.ndarray, max_shift: int) -> tuple[float, fl
 
 def vertical_shift(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
     """(shift, confidence): row correlation and phase correlation, the more certain one wins."""
-    h, w = min(a.shape[0], b.shape[0], 1200), min(a.shape[1], b.shape[1], 1400)
+    h, w = min(a.shape[0], b.shape[0], C.SHIFT_HEIGHT), min(a.shape[1], b.shape[1], C.SHIFT_WIDTH)
+    if h < 40 or w < 40:
+        return 0.0, 0.0
+    a, b = common(a, b, C.SHIFT_HEIGHT, C.SHIFT_WIDTH)
+    return blurred_shift(blur3(a), blur3(b))
+
+
+def blurred_shift(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
+    """``vertical_shift`` of two blurred images of one size."""
+    h, w = a.shape
     if h < 40 or w < 40:
         return 0.0, 0.0
-    a, b = common(a, b, 1200, 1400)
-    a, b = blur3(a), blur3(b)
     pad = max(4, int(w * 0.08))
     rows_a, rows_b = row_means(a), row_means(b)
     if rows_a is None or np.std(rows_a) < 1e-5 or np.std(rows_b) < 1e-5:
@@ -283,10 +372,12 @@ def merge_overlap(top: np.ndarray, bottom: np.ndarray) -> int:
     return overlap if diff <= C.MERGE_ACCEPT else 0
 
 
-def pad_white(gray: np.ndarray, width: int) -> np.ndarray:
+def pad_white(gray: np.ndarray | Sheet, width: int) -> np.ndarray | Sheet:
     extra = width - gray.shape[1]
     if extra <= 0:
         return gray
+    if isinstance(gray, Sheet):
+        return gray.widened(width)
     return np.pad(gray, ((0, 0), (extra // 2, extra - extra // 2)), constant_values=255)
 
 

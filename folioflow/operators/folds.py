@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow import constants as C
@@ -16,8 +16,10 @@ from folioflow.runs import Fold, Ordered, fits, ordered_fold
 from folioflow.session import stage
 
 
-def gray_frames(frames: DataFrame, key: Sequence[str], order: Sequence[str], *, tone: bool = False) -> DataFrame:
-    """(key, order, gray BINARY, gw, gh): one byte per pixel, the only pixels a fold shuffles."""
+def gray_frames(
+    frames: DataFrame, key: Sequence[str], order: Sequence[str], *, tone: bool = False, keep: Sequence[str] = ()
+) -> DataFrame:
+    """(key, order, gray BINARY, gw, gh): one byte per pixel, the only pixels a fold shuffles; ``keep`` of width and height stays."""
 
     def measure(px, width, height):
         img = K.image(px, width, height)
@@ -29,7 +31,7 @@ def gray_frames(frames: DataFrame, key: Sequence[str], order: Sequence[str], *,
 
     slim = frames.select(*key, *order, "px", "width", "height")
     return map_rows(slim, ["px", "width", "height"], measure, [("gray", "binary"), ("gw", "int"), ("gh", "int")]).drop(
-        "px", "width", "height"
+        "px", *{"width", "height"}.difference(keep)
     )
 
 
@@ -37,10 +39,46 @@ def _img(gray: bytes, width: int, height: int) -> np.ndarray:
     return np.frombuffer(gray, dtype=np.uint8).reshape(height, width)
 
 
+FEATURES = (("gray", "binary"), ("gw", "int"), ("gh", "int"), ("soft", "binary"), ("ink", "binary"), ("mark", "bigint"))
+
+
+def distinct_features(frames: DataFrame, key: Sequence[str], order: Sequence[str], rule: "KeepDistinctFrames", *, keep_gray: bool) -> DataFrame:
+    """(key, order, gray, gw, gh, soft, ink, mark): what the duplicate rules compare, made per frame in a narrow pass.
+
+    ``soft`` is the gray frame at comparison size, blurred; ``ink`` its opened ink mask, one bit per pixel; ``mark``
+    the gradient hash. ``gray`` is carried only where frames of unlike sizes, or shifts at a size of their own, need it.
+    """
+
+    def measure(px, width, height):
+        img = K.image(px, width, height)
+        if img is None:
+            return (None,) * len(FEATURES)
+        soft = rule.softened(K.resize(img, min(img.shape[1], C.COMPARE_WIDTH), min(img.shape[0], C.COMPARE_HEIGHT)))
+        ink = K.packed(K.ink_mask(soft, opened=True)) if rule.structure > 0 and min(soft.shape) > rule.min_side else None
+        return img.tobytes() if keep_gray else None, img.shape[1], img.shape[0], soft.tobytes(), ink, K.dhash(img)
+
+    slim = frames.select(*key, *order, "px", "width", "height")
+    return map_rows(slim, ["px", "width", "height"], measure, FEATURES).drop("px", "width", "height")
+
+
+def needs_gray(frames: DataFrame, key: Sequence[str], rule: "KeepDistinctFrames") -> bool:
+    """Must the fold see whole gray frames? Sizes tell, without a look at the pixels."""
+    if dict(frames.dtypes)["px"] != "binary":
+        return True
+    sides = frames.groupBy(*key).agg(*[f(c).alias(f"{n}_{c}") for c in ("width", "height") for n, f in (("lo", F.min), ("hi", F.max))])
+    unlike = (F.col("lo_width") != F.col("hi_width")) | (F.col("lo_height") != F.col("hi_height"))
+    row = sides.agg(F.max(unlike), F.max("hi_width"), F.max("hi_height")).first()
+    own_size = row[1] is not None and (row[1] > min(C.COMPARE_WIDTH, C.SHIFT_WIDTH) or row[2] > min(C.COMPARE_HEIGHT, C.SHIFT_HEIGHT))
+    return bool(row[0]) or (rule.layout == "full_scroll" and (bool(own_size) or not rule.blur))
+
+
 class KeepDistinctFrames(Fold):
-    """Keep a frame unless it repeats the last kept one, a recent kept hash, or barely scrolled."""
+    """Keep a frame unless it repeats the last kept one, a recent kept hash, or barely scrolled.
 
-    columns = ("gray", "gw", "gh")
+    Frames come with their features; frames of one size are compared by differences, bits and one lag search.
+    """
+
+    columns = tuple(n for n, _ in FEATURES)
     outputs = (("keep", "boolean"), ("drop_reason", "string"))
 
     def __init__(self, layout="full_scroll", level="normal", **over):
@@ -53,54 +91,80 @@ class KeepDistinctFrames(Fold):
         self.scroll = over.get("scroll", C.by_level(C.SCROLL_MIN, level))
         self.min_side = over.get("min_side", C.MIN_COMPARE_SIDE)
         self.blur = over.get("blur", True)
-        self._ready: tuple = (None, None)
 
-    def _duplicate(self, kept: np.ndarray, now: np.ndarray) -> str | None:
-        h = min(kept.shape[0], now.shape[0], C.COMPARE_HEIGHT)
-        w = min(kept.shape[1], now.shape[1], C.COMPARE_WIDTH)
-        if h <= self.min_side or w <= self.min_side:
+    def softened(self, image: np.ndarray) -> np.ndarray:
+        return K.blur3(image) if self.blur else image
+
+    def _compared(self, kept, now):
+        """Both frames at one size, softened, and the share of their ink that differs (a function, since it costs more)."""
+        (gray_a, wa, ha, soft_a, ink_a, _), (gray_b, wb, hb, soft_b, ink_b, _) = kept, now
+        if (wa, ha) == (wb, hb):
+            shape = (min(ha, C.COMPARE_HEIGHT), min(wa, C.COMPARE_WIDTH))
+            a, b = (np.frombuffer(s, dtype=np.uint8).reshape(shape) for s in (soft_a, soft_b))
+            return a, b, lambda: K.differing_bits(ink_a, ink_b) / a.size
+        a, b = map(self.softened, K.common(_img(gray_a, wa, ha), _img(gray_b, wb, hb), C.COMPARE_HEIGHT, C.COMPARE_WIDTH))
+        return a, b, lambda: float((K.ink_mask(a, opened=True) ^ K.ink_mask(b, opened=True)).mean())
+
+    def _duplicate(self, kept, now) -> str | None:
+        if min(kept[2], now[2], C.COMPARE_HEIGHT) <= self.min_side or min(kept[1], now[1], C.COMPARE_WIDTH) <= self.min_side:
             return None
-        a, b = K.common(kept, now, C.COMPARE_HEIGHT, C.COMPARE_WIDTH)
-        if self.blur:
-            a, b = K.blur3(a), K.blur3(b)
-        changed = np.abs(a.astype(np.int32) - b.astype(np.int32)) > C.CHANGE_CUT
+        a, b, ink_diff = self._compared(kept, now)
+        changed = np.where(a > b, a - b, b - a) > C.CHANGE_CUT
         ratio = float(changed.mean())
         if ratio < self.static:
             return "static"
-        # The costlier tests run only when the cheap one has not decided.
-        if self.structure > 0 and float((K.ink_mask(a, opened=True) ^ K.ink_mask(b, opened=True)).mean()) < self.structure:
+        if self.structure > 0 and ink_diff() < self.structure:
             return "structure"
         if self.layout == "bottom_bar" and ratio < self.playhead and K.moving_bar(changed):
             return "playhead"
         return None
 
-    def step(self, state, gray, gw, gh):
+    def _shift(self, kept, now) -> tuple[float, float]:
+        if kept[0] is None or now[0] is None:
+            return K.blurred_shift(*(np.frombuffer(f[3], dtype=np.uint8).reshape(f[2], f[1]) for f in (kept, now)))
+        return K.vertical_shift(_img(*kept[:3]), _img(*now[:3]))
+
+    def step(self, state, *now):
+        unreadable, mark = now[1] is None, now[5]
         if state == "off":
             return state, (True, None)
         if state is None:
-            if gray is None:
+            if unreadable:
                 return "off", (True, None)
-            mark = K.dhash(_img(gray, gw, gh))
-            return (gray, gw, gh, () if mark is None else (mark,), 0), (True, None)
-        if gray is None:
+            return (now, () if mark is None else (mark,), 0), (True, None)
+        if unreadable:
             return state, (False, "unreadable")
-        kept_gray, kw, kh, ring, direction = state
-        kept, now = _img(kept_gray, kw, kh), _img(gray, gw, gh)
+        kept, ring, direction = state
         reason = self._duplicate(kept, now)
         if reason:
             return state, (False, reason)
-        mark = K.dhash(now)
         if self.layout in ("bottom_bar", "page_turn") and mark is not None and ring:
             if min(K.hamming(mark, old) for old in ring) <= self.distance:
                 return state, (False, "recent")
         if self.layout == "full_scroll":
-            shift, sure = K.vertical_shift(kept, now)
-            keep, direction = scroll_step(direction, shift, sure, self.scroll)
+            keep, direction = scroll_step(direction, *self._shift(kept, now), self.scroll)
             if not keep:
                 return state, (False, "scroll")
         if mark is not None:
             ring = (ring + (mark,))[-C.RING :]
-        return (gray, gw, gh, ring, direction), (True, None)
+        return (now, ring, direction), (True, None)
+
+
+class KeepDistinctByOptions(Fold):
+    """``KeepDistinctFrames`` with the layout and level that each row carries (the same for all rows of a key)."""
+
+    columns = (*KeepDistinctFrames.columns, "layout", "level")
+    outputs = KeepDistinctFrames.outputs
+
+    def __init__(self):
+        self.rules: dict[tuple, KeepDistinctFrames] = {}
+
+    def step(self, state, *row):
+        *now, layout, level = row
+        rule = self.rules.get((layout, level))
+        if rule is None:
+            rule = self.rules[layout, level] = KeepDistinctFrames(layout, level)
+        return rule.step(state, *now)
 
 
 def scroll_step(direction: int, shift: float, sure: float, minimum: float) -> tuple[bool, int]:
@@ -125,14 +189,27 @@ def dedupe_frames(
     flags: bool = False,
     **overrides,
 ) -> DataFrame:
-    """Rows of the kept frames. The fold sees gray pixels only; the rows come back by a semi join."""
-    gray = gray_frames(frames, key, order)
-    out = ordered_fold(gray, key, order, KeepDistinctFrames(layout, level, **overrides)).drop("gray", "gw", "gh")
+    """Rows of the kept frames. The fold sees features only; the rows come back by a semi join."""
+    rule = KeepDistinctFrames(layout, level, **overrides)
+    features = distinct_features(frames, key, order, rule, keep_gray=needs_gray(frames, key, rule))
+    out = ordered_fold(features, key, order, rule, small=fits(frames, key)).drop(*rule.columns)
     if flags:
         return out
     return frames.join(out.filter("keep").select(*key, *order), [*key, *order], "left_semi")
 
 
+def dedupe_by_options(frames: DataFrame, key: Sequence[str], order: Sequence[str], options: DataFrame) -> DataFrame:
+    """(key, order, keep, drop_reason) by the layout and level of each key; ``options`` (key, layout, level).
+
+    One pass for all layouts. Options join the features by key; the features' sizes are those of ``dedupe_frames``.
+    """
+    rule = KeepDistinctFrames("full_scroll")
+    features = distinct_features(frames, key, order, rule, keep_gray=needs_gray(frames, key, rule))
+    rows = features.join(options.select(*key, "layout", "level"), list(key))
+    fold = KeepDistinctByOptions()
+    return ordered_fold(rows, key, order, fold, small=fits(frames, key)).drop(*fold.columns)
+
+
 class RecentHash(Fold):
     columns = ("_hash",)
     outputs = (("keep", "boolean"),)
@@ -202,13 +279,32 @@ class PageTurns(Fold):
         return (gray, gw, gh), (True, alike)
 
 
+class PageTurnsByCut(PageTurns):
+    """``PageTurns`` with the cut that each row carries."""
+
+    columns = ("gray", "gw", "gh", "cut")
+
+    def __init__(self):
+        super().__init__(0.0)
+
+    def step(self, state, gray, gw, gh, cut):
+        self.cut = cut
+        return super().step(state, gray, gw, gh)
+
+
 def collapse_page_turns(
-    frames: DataFrame, key: Sequence[str], order: Sequence[str], *, overlap: float = 0.2
+    frames: DataFrame, key: Sequence[str], order: Sequence[str], *, overlap: float | None = 0.2, cuts: DataFrame | None = None
 ) -> DataFrame:
-    """(key, order, new_page, similarity, page_no): a page starts where a frame differs from the page's first."""
-    cut = max(0.88, min(0.98, 1.0 - overlap * 0.25))
+    """(key, order, new_page, similarity, page_no): a page starts where a frame differs from the page's first.
+
+    ``cuts`` (key, cut) gives each key its own least similarity in place of the one that ``overlap`` sets.
+    """
     small = fits(frames, key)
-    turns = ordered_fold(gray_frames(frames, key, order), key, order, PageTurns(cut), small=small)
+    gray = gray_frames(frames, key, order)
+    if cuts is None:
+        turns = ordered_fold(gray, key, order, PageTurns(max(0.88, min(0.98, 1.0 - overlap * 0.25))), small=small)
+    else:
+        turns = ordered_fold(gray.join(cuts.select(*key, "cut"), list(key)), key, order, PageTurnsByCut(), small=small).drop("cut")
     turns = turns.drop("gray", "gw", "gh").filter("new_page is not null")
     return Ordered(turns, key, order, small=small).running("page_no", F.col("new_page").cast("int")).result()
 
@@ -228,50 +324,101 @@ def _offsets(rows: DataFrame, key, order, new_page, gain, small) -> DataFrame:
     return Ordered(rows, [*key, "page_no"], order, small=small).running("y_offset", gain).result()
 
 
+class OntoSheet(Fold):
+    """Lay each frame onto the page stitched so far, or start a page with it."""
+
+    columns = ("gray", "gw", "gh", "threshold")
+    outputs = (("overlap", "int"), ("score", "double"), ("new_page", "boolean"), ("y_offset", "bigint"))
+
+    def __init__(self, bounds: tuple[int, int, int] | None, sheet_rows: int):
+        self.bounds, self.sheet_rows = bounds, sheet_rows
+
+    def _compare(self, sheet: K.Sheet, frame: np.ndarray) -> tuple[float, int]:
+        if self.bounds is None:
+            score, rows, _ = K.stitch_overlap(sheet, frame)
+            return score, rows
+        rows, diff = K.best_overlap(*K.common(sheet, frame), *self.bounds)
+        return min(1.0, max(0.0, 1.0 - diff / 255.0)), rows
+
+    def step(self, sheet, gray, gw, gh, threshold):
+        if gray is None:
+            return sheet, (None, None, None, None)
+        frame = _img(gray, gw, gh)
+        score, rows = (None, 0) if sheet is None else self._compare(sheet, frame)
+        if score is None or score < threshold:
+            return K.Sheet(frame, self.sheet_rows), (0, score, True, 0)
+        height = sheet.shape[0]
+        rows = max(0, min(rows, height - 1, gh - 1))
+        return sheet.stitched(frame, rows), (rows, score, False, height - rows)
+
+
+def _limits(frames: DataFrame, key: Sequence[str], threshold: float | Column) -> DataFrame | None:
+    """(key, threshold) where each key has its own."""
+    if not isinstance(threshold, Column):
+        return None
+    return frames.groupBy(*key).agg(F.first(threshold).alias("threshold"))
+
+
 def stitch_plan(
     frames: DataFrame,
     key: Sequence[str],
     order: Sequence[str],
     *,
-    threshold: float,
+    threshold: float | Column,
     enable: bool = True,
     bounds: tuple[int, int, int] | None = None,
+    whole_sheet: bool = False,
+    sheet_rows: int = C.SHEET_ROWS,
 ) -> DataFrame:
     """(key, order, width, height, overlap, score, new_page, page_no, y_offset) of every frame.
 
-    Frames are compared with the frame before them, all pairs in parallel. The
-    sequential form, which compares the whole sheet stitched so far, squeezed to
-    one frame's height, is not offered: its state grows with the sheet.
+    Frames are compared with the frame before them, all pairs in parallel. With ``whole_sheet``
+    they are compared with the whole page stitched so far, squeezed to the frame's height: a
+    fold per key whose state is a ``Sheet`` of at most ``sheet_rows`` rows (exact up to that
+    height, thinned out above it); frames that cannot be read are left out. ``threshold`` may be a
+    column of ``frames``, the same for all rows of a key.
     """
     size = [*key, *order, "width", "height"]
     small = fits(frames, key)
+    if enable and whole_sheet:
+        limits = _limits(frames, key, threshold)
+        gray = gray_frames(frames, key, order)
+        gray = gray.withColumn("threshold", F.lit(threshold)) if limits is None else gray.join(limits, list(key))
+        laid = ordered_fold(gray, key, order, OntoSheet(bounds, sheet_rows), small=small)
+        laid = laid.filter("new_page is not null")
+        paged = Ordered(laid.drop("gray", "threshold"), key, order, small=small).running("page_no", F.col("new_page").cast("int")).result()
+        named = {"gw": "width", "gh": "height"}
+        return paged.withColumnsRenamed(named).select(*size, "overlap", "score", "new_page", "page_no", "y_offset")
     if not enable:
         alone = frames.select(*size).withColumns(
             {"overlap": F.lit(0), "score": F.lit(0.0), "new_page": F.lit(True), "y_offset": F.lit(0).cast("bigint")}
         )
         return Ordered(alone, key, order, small=small).position("page_no", 1).result()
-    pairs = consecutive_pairs(frames.select(*size, "px"), key, order, ["px", "width", "height"], small=small)
+    gray = gray_frames(frames, key, order, keep=("width", "height"))
+    pairs = consecutive_pairs(gray, key, order, ["gray", "width", "height"], small=small)
 
-    def measure(px, prev, width, height, prev_width, prev_height):
-        b, a = K.image(px, width, height), K.image(prev, prev_width, prev_height)
-        if a is None or b is None:
+    def measure(gray, prev, width, height, prev_width, prev_height):
+        if gray is None or prev is None:
             return None, None
+        b, a = _img(gray, width, -1), _img(prev, prev_width, -1)
         if bounds is None:
             score, rows, _ = K.stitch_overlap(a, b)
             return rows, score
         rows, diff = K.best_overlap(a, b, *bounds)
         return rows, min(1.0, max(0.0, 1.0 - diff / 255.0))
 
-    columns = ["px", "prev_px", "width", "height", "prev_width", "prev_height"]
+    columns = ["gray", "prev_gray", "width", "height", "prev_width", "prev_height"]
     scored = map_rows(pairs, columns, measure, [("overlap", "int"), ("score", "double")])
     scored = scored.select(*size, "prev_height", "overlap", "score")
-    new_page = F.col("score").isNull() | (F.col("score") < threshold)
+    limits = _limits(frames, key, threshold)
+    scored = scored.withColumn("threshold", F.lit(threshold)) if limits is None else scored.join(limits, list(key))
+    new_page = F.col("score").isNull() | (F.col("score") < F.col("threshold"))
     scored = scored.withColumn("new_page", new_page)
     # The overlap never swallows a whole frame.
     used = F.greatest(F.lit(0), F.least(F.col("overlap"), F.least("prev_height", "height") - 1))
     scored = scored.withColumn("overlap", F.when(F.col("new_page"), F.lit(0)).otherwise(used))
     gain = F.col("prev_height") - F.col("overlap")
-    return _offsets(scored, key, order, F.col("new_page"), gain, small).drop("prev_height")
+    return _offsets(scored, key, order, F.col("new_page"), gain, small).drop("prev_height", "threshold")
 
 
 class NearSame(Fold):

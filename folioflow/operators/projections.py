@@ -51,16 +51,18 @@ def clip_time_range(df: DataFrame, ts: str, start=None, end=None) -> DataFrame:
 
 
 def sample_frames(
-    df: DataFrame, key: Sequence[str], ts: str, fps: float, *, tie: Sequence[str] = (), fill: bool = False
+    df: DataFrame, key: Sequence[str], ts: str, fps: float | Column, *, tie: Sequence[str] = (), fill: bool = False
 ) -> DataFrame:
     """First row of every slot of 1/fps seconds since the key's first row, with its ``slot``.
 
-    ``ts`` is in seconds. ``fill`` repeats the last row for empty slots.
+    ``ts`` is in seconds; ``fps`` may be a column that is the same for all rows of a key. ``fill`` repeats
+    the last row for empty slots.
     """
     key = list(key)
+    rate = fps if isinstance(fps, Column) else F.lit(float(fps))
     payload = F.struct(*[c for c in df.columns if c not in key])
     first = df.groupBy(*key).agg(F.min(ts).alias("_t0"))
-    slots = df.join(first, key).withColumn("slot", F.floor((F.col(ts) - F.col("_t0")) * F.lit(float(fps))))
+    slots = df.join(first, key).withColumn("slot", F.floor((F.col(ts) - F.col("_t0")) * rate))
     picked = slots.groupBy(*key, "slot").agg(F.min_by(payload, F.struct(ts, *tie)).alias("_row"))
     if fill:
         # Each picked row covers the slots up to the next picked one.

@@ -82,3 +82,17 @@ def debounce_latest(df: DataFrame, key: Sequence[str], *, ts: str = "ts", tie: s
     last = F.col("_next").isNull() | (F.col("_next") >= F.col(ts) + gap)
     kept = rows.result().filter(last).drop("_next")
     return Ordered(kept, key, [ts, tie], small=small).position("burst").result()
+
+
+def current_answers(
+    requests: DataFrame, answers: DataFrame, key: Sequence[str], *, ts: str = "ts", tie: str, patience: Column | None = None
+) -> DataFrame:
+    """Answers (key, tie, asked_at, ts, ...) for which no newer request of the key existed when they came.
+
+    ``requests`` (key, tie, ts). With ``patience`` answers that took longer are left out.
+    """
+    key = list(key)
+    asked = requests.select(*key, tie, ts)
+    following = Ordered(asked, key, [ts, tie]).neighbour("_next", F.col(ts), 1).result().drop(ts)
+    out = answers.join(following, [*key, tie]).filter(F.col("_next").isNull() | (F.col("_next") > F.col(ts))).drop("_next")
+    return out if patience is None else out.filter(F.col("asked_at") >= F.col(ts) - patience)

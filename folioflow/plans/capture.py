@@ -28,6 +28,7 @@ class CaptureOptions:
     layout: str = "full_scroll"
     level: str = "normal"
     stitch: bool = False
+    whole_sheet: bool = False
     overlap_threshold: float = 0.2
     page_fill_mode: str = "performance"
     formats: tuple[str, ...] = ("png", "pdf")
@@ -64,7 +65,7 @@ def stitched_pages(kept: DataFrame, options: CaptureOptions) -> DataFrame | None
     if not options.stitch or options.layout == "page_turn":
         return None
     one = kept.sparkSession.range(1).select(effective_overlap(F.lit(options.overlap_threshold), F.lit(options.layout)).alias("t"))
-    return stage(Q.stitch_plan(kept, KEY, ORDER, threshold=one.first()[0]))
+    return stage(Q.stitch_plan(kept, KEY, ORDER, threshold=one.first()[0], whole_sheet=options.whole_sheet))
 
 
 def capture(frames: DataFrame, rois: DataFrame, options: CaptureOptions = CaptureOptions()) -> Export:
@@ -80,15 +81,4 @@ def capture(frames: DataFrame, rois: DataFrame, options: CaptureOptions = Captur
     return export(kept, runs, KEY, ORDER, mode=options.page_fill_mode, raw=raw, stitch=stitched_pages(kept, options))
 
 
-STAGES = (
-    # step, progress
-    ("initializing", 0.01),
-    ("detecting", 0.2),
-    ("rectifying", 0.45),
-    ("stitching", 0.68),
-    ("upscaling", 0.82),
-    ("exporting", 0.92),
-    ("done", 1.0),
-)
-
-__all__ = ["C", "CaptureOptions", "STAGES", "capture", "kept_frames", "sampled_sheets", "stitched_pages"]
+__all__ = ["C", "CaptureOptions", "capture", "kept_frames", "sampled_sheets", "stitched_pages"]

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import normalize_formats
+from folioflow.session import stage
 
 
 def export_manifest(
@@ -82,19 +84,53 @@ def write_pages(manifest: DataFrame, path: str) -> None:
     manifest.write.mode("overwrite").partitionBy("format").parquet(path)
 
 
-def write_jobs(jobs: DataFrame, path: str, *, key: str = "job_id", buckets: int = 16) -> None:
-    """Write the job table by bucket of the key; only buckets present in ``jobs`` are replaced.
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at a path, None before its first write."""
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException:
+        return None
+    return found if found.columns else None
 
-    Rows appear with the commit of the write, so a reader never sees half a record.
+
+def write_jobs(
+    jobs: DataFrame, path: str, *, key: str = "job_id", buckets: int = 16, files: int = 1, batch_id: int | None = None, order: Sequence[str] = ()
+) -> None:
+    """Put jobs into the job table: their own rows are replaced, all others of the table stay.
+
+    The table is kept by bucket of the key. The buckets that ``jobs`` touch are read (others are pruned), merged and
+    written again, each as ``files`` files; rows appear with the commit of the write, so a reader never sees half a
+    record. Of several rows of a key the one with the greatest ``order`` counts. With ``batch_id`` rows
+    carry the batch they came with, and a job that a later batch has written already stays as it
+    is: a batch that is replayed, now or later, changes nothing. One writer at a time.
     """
-    bucketed = jobs.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    (
-        bucketed.repartition("bucket")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
+    spark = jobs.sparkSession
+    newest = F.max_by(F.struct(*jobs.columns), F.struct(*order) if order else F.struct(key)).alias("_row")
+    fresh = jobs.groupBy(F.col(key).alias("_key")).agg(newest).select("_row.*")
+    if batch_id is not None:
+        fresh = fresh.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    fresh = stage(fresh.withColumn("bucket", bucket_of(F.col(key), buckets)))
+    held = _table(spark, path)
+    merged = fresh
+    if held is not None:
+        touched = [r[0] for r in fresh.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
+        held = held.filter(F.col("bucket").isin(touched))
+        stamp = F.coalesce(F.col("batch_id"), F.lit(-1)) if "batch_id" in held.columns else F.lit(-1)
+        kept = held.filter(stamp > F.lit(batch_id)) if batch_id is not None else held.limit(0)
+        fresh = fresh.join(kept.select(key), key, "left_anti")
+        # Staged before the write: the files that are read are the ones that are replaced.
+        merged = stage(held.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True))
+    dealt = merged.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(buckets * files)))
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def upsert_batches(path: str, *, key: str = "job_id", buckets: int = 16, files: int = 1, order: Sequence[str] = ()):
+    """A foreachBatch sink that puts every micro-batch into the job table; replayed batches change nothing."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        write_jobs(batch, path, key=key, buckets=buckets, files=files, batch_id=number, order=order)
+
+    return write
 
 
 def bucket_of(key: Column, buckets: int = 16) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from folioflow.arrow import _TYPES
-from folioflow.operators.folds import KeepDistinctFrames, gray_frames
+from folioflow.operators.folds import KeepDistinctFrames, distinct_features
 from folioflow.operators.windows import latest_fields
 from folioflow.runs import Fold
 from folioflow.ship import by_value
@@ -74,8 +74,9 @@ def stream_dedupe(
     stream: DataFrame, key: Sequence[str], order: Sequence[str], *, layout: str = "full_scroll", level: str = "normal", **overrides
 ) -> DataFrame:
     """Kept frames of an unbounded frame stream (key, order, drop_reason null)."""
-    gray = gray_frames(stream, key, order)
-    return stream_fold(gray, key, order, KeepDistinctFrames(layout, level, **overrides)).filter("keep").drop("keep")
+    rule = KeepDistinctFrames(layout, level, **overrides)
+    features = distinct_features(stream, key, order, rule, keep_gray=True)
+    return stream_fold(features, key, order, rule).filter("keep").drop("keep")
 
 
 def stream_sample(
@@ -171,16 +172,15 @@ def append_batches(path: str):
     return write
 
 
+def run_sink(stream: DataFrame, sink, *, mode: str, checkpoint: str) -> None:
+    """Process everything there is through a foreachBatch sink, then stop."""
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+    writer.foreachBatch(sink).trigger(availableNow=True).start().awaitTermination()
+
+
 def run_available(stream: DataFrame, path: str, *, mode: str, checkpoint: str) -> None:
-    """Process everything there is, then stop."""
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(append_batches(path))
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    """Process everything there is into one folder per micro-batch, then stop."""
+    run_sink(stream, append_batches(path), mode=mode, checkpoint=checkpoint)
 
 
 def latest_batch_rows(rows: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -725,3 +725,65 @@ def test_stitched_pages_follow_each_other_with_a_gap(spark):
     b[::7] = 200
     plan = Q.stitched_sheet_plan(frames_df(spark, [a, a, b]), stitch, ["source_id"], ["frame_index"], tone=False).orderBy("frame_index").collect()
     assert [(r.y_offset, r.overlap) for r in plan] == [(0, 0), (60, 40), (172, 0)]
+
+
+def plain_whole_sheet(images, threshold):
+    """Every frame against the page stitched so far, held whole."""
+    from folioflow import kernels as K
+
+    sheet, out = None, []
+    for image in images:
+        score, rows = (None, 0) if sheet is None else K.stitch_overlap(sheet, image)[:2]
+        if score is None or score < threshold:
+            out.append((True, 0, 0))
+            sheet = image
+            continue
+        rows = max(0, min(rows, len(sheet) - 1, len(image) - 1))
+        out.append((False, rows, len(sheet) - rows))
+        sheet = K.stitch_pair(*(K.pad_white(a, max(sheet.shape[1], image.shape[1])) for a in (sheet, image)), rows)
+    return out
+
+
+def scrolled_frames(count, height=48, width=64, seed=3):
+    rng = np.random.default_rng(seed)
+    tall = np.repeat(np.repeat(rng.integers(0, 256, (count * 3, width // 8)), 8, axis=0), 8, axis=1).astype(np.uint8)
+    return [tall[y : y + height, : width - 8 * (i % 3 == 2)] for i, y in enumerate(np.cumsum(rng.integers(0, 20, count)).tolist())]
+
+
+def test_whole_sheet_stitch_equals_the_plain_form(spark):
+    images = [*scrolled_frames(200), *scrolled_frames(300, seed=8)]
+    frames = frames_df(spark, images)
+    got = Q.stitch_plan(frames, ["source_id"], ["frame_index"], threshold=0.8, whole_sheet=True).orderBy("frame_index").collect()
+    want = plain_whole_sheet(images, 0.8)
+    assert [(r.new_page, r.overlap, r.y_offset) for r in got] == want
+    pages = [w[0] for w in want]
+    assert 1 < sum(pages) < len(pages) / 2  # pages of several frames, and more than one of them
+
+
+def test_whole_sheet_stitch_over_several_runs(spark, small_runs):
+    images = [*scrolled_frames(25), *scrolled_frames(25, seed=8)]
+    got = Q.stitch_plan(frames_df(spark, images), ["source_id"], ["frame_index"], threshold=0.8, whole_sheet=True).orderBy("frame_index").collect()
+    assert [(r.new_page, r.overlap, r.y_offset) for r in got] == plain_whole_sheet(images, 0.8)
+
+
+def test_held_rows_of_a_sheet_are_bounded():
+    from folioflow import kernels as K
+
+    images = [i[:, :56] for i in scrolled_frames(300)]
+    sheet, whole = K.Sheet(images[0], 400), images[0]
+    for image in images[1:]:
+        sheet, whole = sheet.stitched(image, 20), K.stitch_pair(whole, image, 20)
+        assert sheet.shape == whole.shape and len(sheet.head) + len(sheet.tail) <= 400
+    assert np.array_equal(sheet.tail, whole[-len(sheet.tail) :])
+    mean = np.abs(K.resize(sheet, 56, 48).astype(int) - K.resize(whole, 56, 48).astype(int)).mean()
+    assert mean < 40 and sheet.step > 1
+    exact = K.Sheet(images[0], 100_000)
+    for image in images[1:]:
+        exact = exact.stitched(image, 20)
+    assert np.array_equal(K.resize(exact, 56, 48), K.resize(whole, 56, 48))
+
+
+def test_whole_sheet_skips_unreadable_frames(spark):
+    images = scrolled_frames(6)
+    got = Q.stitch_plan(frames_df(spark, [images[0], None, *images[1:]]), ["source_id"], ["frame_index"], threshold=0.8, whole_sheet=True)
+    assert sorted(r.frame_index for r in got.collect()) == [0, 2, 3, 4, 5, 6]
