@@ -19,6 +19,7 @@ from folioflow.operators import joins as J
 from folioflow.operators import sets as U
 from folioflow.runs import Ordered
 from folioflow.session import scratch_path
+from folioflow.sources import images as I
 from folioflow.sources import readers as R
 from folioflow.sources import writers as WR
 
@@ -566,36 +567,6 @@ def q13(spark, d):
 # --- S, U: images in, manifests out -------------------------------------------------------------------
 
 
-def _png(width: int, height: int, gray: bytes) -> bytes:
-    """An 8-bit gray PNG file."""
-
-    def chunk(tag, data):
-        return struct.pack(">I", len(data)) + tag + data + struct.pack(">I", zlib.crc32(tag + data))
-
-    raw = b"".join(b"\0" + gray[y * width : (y + 1) * width] for y in range(height))
-    head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
-
-
-def write_png_frames(frames, path: str) -> None:
-    """One PNG per frame below ``path``/<source>/; every executor writes its own rows."""
-    root = path.removeprefix("file:")
-
-    def write(batches):
-        import os
-
-        for pdf in batches:
-            for source, index, px in zip(pdf["source_id"], pdf["frame_index"], pdf["px"]):
-                folder = f"{root}/{source}"
-                os.makedirs(folder, exist_ok=True)
-                data = _png(8, 8, bytes(int(v) for v in px)) if index >= 0 else b"not an image"
-                with open(f"{folder}/frame_{abs(int(index)):06d}.png", "wb") as out:
-                    out.write(data)
-            yield pdf[["frame_index"]]
-
-    frames.select("source_id", "frame_index", "px").mapInPandas(write, "frame_index int").agg(F.count("*")).collect()
-
-
 @query(
     "s1_read_frames",
     f"""WITH {MF} SELECT CAST(source_id AS VARCHAR) AS source_id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY frame_index) - 1 AS INTEGER) AS frame_index, frame_index AS name_index,
@@ -604,9 +575,10 @@ def write_png_frames(frames, path: str) -> None:
 def s1(spark, d):
     """Frames of the whole table as PNG files, every tenth unreadable, read back as images."""
     path = scratch_path(spark, "frames")
-    mf = X.micro_frames(spark, d)
-    spoiled = F.when(F.pmod("frame_index", F.lit(10)) == 7, -F.col("frame_index")).otherwise(F.col("frame_index"))
-    write_png_frames(mf.withColumn("frame_index", spoiled), path)
+    files = I.png_frames(X.micro_frames(spark, d))
+    spoiled = F.pmod("frame_index", F.lit(10)) == 7
+    name = F.format_string("%d/frame_%06d.png", "source_id", "frame_index")
+    I.write_files(files.select(name.alias("path"), F.when(spoiled, F.encode(F.lit("not an image"), "utf-8")).otherwise(F.col("content")).alias("content")), path)
     rows = R.read_frames(spark, path)
     rows = rows.withColumn("_hex", F.hex("px"))
     step = F.length("_hex") / F.lit(64)

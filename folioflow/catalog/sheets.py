@@ -222,7 +222,96 @@ def _split(spark, d, mode):
     return P.split_pages(prof, sheets, KEY, mode=mode)
 
 
-@query("q11_split_pages")
+def _scale_sql(h: str, w: str) -> str:
+    """Scale at which a page fits its own print canvas."""
+    mx = f"greatest(10, CAST(floor({w} * 0.015::DOUBLE) AS INTEGER))"
+    ends = f"(greatest(14, CAST(floor({h} * 0.026::DOUBLE) AS INTEGER)) + greatest(24, CAST(floor({h} * 0.056::DOUBLE) AS INTEGER)))"
+    ch = f"greatest({ends} + 1, CAST(round_even(({w} + 2 * {mx}) / (1.0::DOUBLE / 1.4142::DOUBLE), 0) AS INTEGER))"
+    return f"least(1.0::DOUBLE, greatest(1, {ch} - {ends}) / CAST({h} AS DOUBLE))"
+
+
+def _split_sql(mode: str) -> str:
+    """The whole page decision: bands packed and parted, checked, and sliced at whitespace where that fails."""
+    p = C.PAGINATION[mode]
+    part = lambda share, of="t": f"CAST(floor({of} * {share!r}::DOUBLE) AS INTEGER)"
+    lit = lambda v: f"{v!r}::DOUBLE"
+    pad = f"greatest(6, {part(0.012)})" if mode == "performance" else f"greatest(8, {part(0.012, 'h')})"
+    early = "list_position(bk, list_min(bk)) - 1"
+    near = "nr"
+    if mode == "performance":
+        early = f"coalesce(list_max(list_filter(range(0, len(bk)), lambda i: bk[i + 1] <= b * 0.96::DOUBLE)), {early})"
+        near = "CASE WHEN len(list_filter(nr, lambda y: y >= greatest(f.s + min_h, hd - n_close))) > 0 THEN list_filter(nr, lambda y: y >= greatest(f.s + min_h, hd - n_close)) ELSE nr END"
+    one = lit(p["single"])
+    return f"""WITH RECURSIVE {SP},
+sh AS (SELECT *, greatest(900, least(2600, CAST(round_even(w / (1.0::DOUBLE / 1.4142::DOUBLE), 0) AS INTEGER))) AS t FROM (
+  SELECT sheet_id, CAST(max(y) + 1 AS INTEGER) AS h, CASE WHEN sheet_id = 3 THEN 1900 ELSE 450 + sheet_id * 20 END AS w FROM sp GROUP BY sheet_id) AS a),
+ta AS (SELECT * FROM sh WHERE {_scale_sql("h", "w")} < {one}),
+qu AS (SELECT sheet_id, quantile_cont(density::DOUBLE, 0.72) AS p72 FROM sp GROUP BY sheet_id),
+act AS (SELECT sp.sheet_id, sp.y, y - row_number() OVER (PARTITION BY sp.sheet_id ORDER BY y) AS isl, h FROM sp JOIN ta USING (sheet_id) JOIN qu USING (sheet_id) WHERE density > greatest(0.004::DOUBLE, least(0.03::DOUBLE, p72 * 0.34::DOUBLE))),
+bands AS (SELECT sheet_id, CAST(min(y) AS INTEGER) AS band_start, CAST(max(y) + 1 AS INTEGER) AS band_end FROM act GROUP BY sheet_id, isl, h HAVING count(*) >= greatest(6, {part(0.004, 'h')})),
+bn AS (SELECT sheet_id, row_number() OVER (PARTITION BY sheet_id ORDER BY band_start) AS n, greatest(0, band_start - {pad}) AS s, least(h, band_end + {pad}) AS e, {part(p["soft"])} AS soft, {part(p["hard"])} AS hard, {part(p["underfill"])} AS under FROM bands JOIN ta USING (sheet_id)),
+pk AS (SELECT sheet_id, n, s AS cs, e AS ce, true AS np FROM bn WHERE n = 1
+  UNION ALL
+  SELECT b.sheet_id, b.n, CASE WHEN x.ext THEN r.cs ELSE b.s END, b.e, NOT x.ext FROM pk r JOIN bn b ON b.sheet_id = r.sheet_id AND b.n = r.n + 1,
+  LATERAL (SELECT b.e - r.cs <= b.soft OR (b.under > 0 AND r.ce - r.cs < b.under AND b.e - r.cs <= b.hard) AS ext) x),
+pn AS (SELECT *, sum(CASE WHEN np THEN 1 ELSE 0 END) OVER (PARTITION BY sheet_id ORDER BY n) - 1 AS pg FROM pk),
+rg AS (SELECT sheet_id, CAST(pg AS INTEGER) AS range_no, CAST(min(cs) AS INTEGER) AS s, CAST(max(ce) AS INTEGER) AS e FROM pn GROUP BY sheet_id, pg),
+pv AS (SELECT *, lag(e) OVER (PARTITION BY sheet_id ORDER BY range_no) AS pe FROM rg),
+ca AS (SELECT pv.sheet_id, range_no, arg_min(y, ROW(density, y)) AS c FROM pv JOIN sp ON sp.sheet_id = pv.sheet_id AND y >= s AND y < pe GROUP BY ALL),
+al AS (SELECT pv.*, c FROM pv LEFT JOIN ca USING (sheet_id, range_no)),
+sg AS (SELECT sheet_id, range_no, s AS ns, e, NULL::INTEGER AS cut FROM al WHERE range_no = 0
+  UNION ALL
+  SELECT a.sheet_id, a.range_no, CASE WHEN x.ok THEN CAST(x.b AS INTEGER) ELSE a.s END, a.e, CASE WHEN x.ok THEN CAST(x.b AS INTEGER) END FROM sg r JOIN al a ON a.sheet_id = r.sheet_id AND a.range_no = r.range_no + 1,
+  LATERAL (SELECT coalesce(a.s < a.pe AND greatest(r.ns + 1, a.s) <= least(a.pe - 1, a.e - 1), false) AS ok, least(greatest(a.c, greatest(r.ns + 1, a.s)), least(a.pe - 1, a.e - 1)) AS b) x),
+rr AS (SELECT sheet_id, range_no, ns AS ys, CAST(coalesce(lead(cut) OVER (PARTITION BY sheet_id ORDER BY range_no), e) AS INTEGER) AS ye FROM sg),
+gp AS (SELECT rr.*, h, w, t, lead(ys) OVER (PARTITION BY sheet_id ORDER BY ys, ye) - ye AS gap, ye - ys > {part(C.OVERSIZE)} AS big FROM rr JOIN ta USING (sheet_id)),
+vd AS (SELECT sheet_id, bool_or(coalesce(gap > greatest(6, {part(0.004)}), false)) OR (count(*) = 1 AND NOT bool_or(big) AND max({_scale_sql("(ye - ys)", "w")}) < {one}) AS whole FROM gp GROUP BY sheet_id),
+pa AS (SELECT sheet_id, h, w, t, 0 AS lo_y, h AS hi_y FROM ta LEFT JOIN vd USING (sheet_id) WHERE coalesce(whole, true)
+  UNION ALL SELECT sheet_id, h, w, t, ys, ye FROM gp JOIN vd USING (sheet_id) WHERE NOT whole AND big),
+pc AS (SELECT pa.sheet_id, lo_y, w, t, y - lo_y AS y, density FROM pa JOIN sp ON sp.sheet_id = pa.sheet_id AND y >= lo_y AND y < hi_y),
+sd AS (SELECT *, avg(density) OVER (PARTITION BY sheet_id, lo_y ORDER BY y ROWS BETWEEN 12 PRECEDING AND 11 FOLLOWING) AS sm FROM pc),
+l0 AS (SELECT sheet_id, lo_y, w, t, CAST(count(*) AS INTEGER) AS h, list(density ORDER BY y) AS dn, list(sm ORDER BY y) AS sm, greatest(0.0025::DOUBLE, least(0.018::DOUBLE, quantile_cont(density::DOUBLE, 0.28) * 1.35::DOUBLE)) AS b FROM sd GROUP BY sheet_id, lo_y, w, t),
+l1 AS (SELECT *, greatest(180, {part(p["min_page"])}) AS min_h, {part(p["back"])} AS n_back, {part(p["forward"])} AS n_ahead, {part(0.09)} AS n_close, greatest(84, {part(p["tail"])}) AS n_tail, {part(p["tail_hard"])} AS n_hard, {part(p["tail_soft"])} AS n_soft FROM l0),
+ls AS (SELECT *, greatest(96, {part(0.42, 'min_h')}) AS n_least FROM l1),
+wk AS (SELECT sheet_id, lo_y, 0 AS s, 0 AS e FROM ls
+  UNION ALL
+  SELECT w0.sheet_id, w0.lo_y, w0.e AS s, CASE WHEN f.hd >= h THEN h ELSE CAST(z.cut AS INTEGER) END AS e FROM (SELECT * FROM wk) w0 JOIN ls USING (sheet_id, lo_y),
+  LATERAL (SELECT w0.e AS s, least(h, w0.e + t) AS hd) f,
+  LATERAL (SELECT greatest(f.s + min_h, hd - n_back) AS lo, least(h - 1, hd + n_ahead) AS hi) g,
+  LATERAL (SELECT dn[lo + 1 : hd] AS bk, dn[hd + 1 : hi + 1] AS fw) i,
+  LATERAL (SELECT lo + {early} AS early) j,
+  LATERAL (SELECT CASE WHEN hd > lo AND (dn[early + 1] <= b * {lit(p["back_blank"])} OR dn[early + 1] < dn[hd] * {lit(p["back_ratio"])}) THEN early ELSE hd END AS c1) k,
+  LATERAL (SELECT hd + list_position(fw, list_min(fw)) - 1 AS late) l,
+  LATERAL (SELECT CASE WHEN (c1 - f.s < min_h OR dn[c1] > b * 1.25::DOUBLE) AND hi > hd AND dn[late + 1] <= dn[c1] * 0.94::DOUBLE THEN late ELSE c1 END AS c2) m,
+  LATERAL (SELECT least(greatest(c2, f.s + min_h), h) AS c3) n,
+  LATERAL (SELECT list_filter(range(lo, hi + 1), lambda y: dn[y + 1] <= b) AS nr) o,
+  LATERAL (SELECT {near} AS nq) q,
+  LATERAL (SELECT list_transform(nq, lambda y: abs(y - hd)) AS far) r,
+  LATERAL (SELECT nq[list_position(far, list_min(far))] AS pick) x,
+  LATERAL (SELECT CASE WHEN dn[c3] > b * 1.12::DOUBLE AND len(nr) > 0 AND pick - f.s >= n_least THEN pick ELSE c3 END AS c4) u,
+  LATERAL (SELECT list_transform(range(greatest(f.s + min_h, lo), hi + 1), lambda y: sm[y + 1] + abs(y - hd) * 0.00018::DOUBLE) AS sc) v,
+  LATERAL (SELECT CASE WHEN c4 - f.s < min_h OR sm[c4 + 1] <= 0.0105 OR hi <= greatest(f.s + min_h, lo) THEN c4
+     WHEN list_min(sc) < sm[c4 + 1] + abs(c4 - hd) * 0.00018::DOUBLE AND list_min(sc) < sm[c4 + 1] * 0.92::DOUBLE THEN greatest(f.s + min_h, lo) + list_position(sc, list_min(sc)) - 1 ELSE c4 END AS cut) z
+  WHERE w0.e < h),
+pgs AS (SELECT sheet_id, lo_y, h, w, n_tail, n_hard, n_soft, CAST(row_number() OVER (PARTITION BY sheet_id, lo_y ORDER BY e) - 1 AS INTEGER) AS page_index, s AS y_start, e AS y_end FROM wk JOIN ls USING (sheet_id, lo_y) WHERE e > 0),
+ln AS (SELECT sheet_id, lo_y, max(page_index) AS last FROM pgs GROUP BY sheet_id, lo_y),
+up AS (SELECT p.sheet_id, p.lo_y, p.page_index, p.y_start AS ts, true AS go FROM pgs p JOIN ln USING (sheet_id, lo_y) WHERE page_index = last
+  UNION ALL
+  SELECT p.sheet_id, p.lo_y, p.page_index, CASE WHEN x.ok THEN p.y_start ELSE u.ts END, x.ok FROM up u JOIN pgs p ON p.sheet_id = u.sheet_id AND p.lo_y = u.lo_y AND p.page_index = u.page_index - 1,
+  LATERAL (SELECT u.go AND p.h - u.ts < n_tail AND (p.h - p.y_start <= n_hard OR (p.h - u.ts <= {part(0.62, 'n_tail')} AND p.h - p.y_start <= n_soft)) AND {_scale_sql("(p.h - p.y_start)", "p.w")} >= {one} AS ok) x),
+tl AS (SELECT sheet_id, lo_y, min(ts) AS ts FROM up GROUP BY sheet_id, lo_y),
+fin AS (SELECT sheet_id, y_start + lo_y AS y_start, CASE WHEN y_start = ts THEN h ELSE y_end END + lo_y AS y_end FROM pgs JOIN tl USING (sheet_id, lo_y) WHERE y_start <= ts
+  UNION ALL SELECT sheet_id, 0, h FROM sh WHERE {_scale_sql("h", "w")} >= {one}
+  UNION ALL SELECT sheet_id, ys, ye FROM gp JOIN vd USING (sheet_id) WHERE NOT whole AND NOT big)
+SELECT sheet_id, CAST(row_number() OVER (PARTITION BY sheet_id ORDER BY y_start) - 1 AS INTEGER) AS page_index, CAST(y_start AS INTEGER) AS y_start, CAST(y_end AS INTEGER) AS y_end FROM fin"""
+
+
+@query("q11_split_balanced", _split_sql("balanced"))
+def q11c(spark, d):
+    return _split(spark, d, "balanced")
+
+
+@query("q11_split_pages", _split_sql("performance"))
 def q11(spark, d):
     return _split(spark, d, "performance")
 

@@ -237,8 +237,11 @@ def recent_hash_filter(
 
 
 class Scroll(Fold):
+    """``scroll_step`` over whole arrays: only rows that move far enough, or the first that move at all, set the direction."""
+
     columns = ("_shift", "_conf")
     outputs = (("keep", "boolean"), ("direction", "int"))
+    arrays = True
 
     def __init__(self, minimum: float):
         self.minimum = minimum
@@ -246,11 +249,18 @@ class Scroll(Fold):
     def start(self):
         return 0
 
-    def step(self, direction, shift, sure):
-        if shift is None:
-            return direction, (True, direction)
-        keep, direction = scroll_step(direction, shift, sure, self.minimum)
-        return direction, (keep, direction)
+    def walk(self, direction, columns):
+        shift, sure = (np.asarray(c, dtype=np.float64) for c in columns)
+        far, way = np.abs(shift), np.where(shift > 0, 1, -1)
+        still = (sure >= C.SCROLL_CONFIDENCE) & (far < self.minimum)
+        moves = ~still & (sure >= C.DIRECTION_CONFIDENCE) & (far >= 1.0)
+        sets = moves & (far >= self.minimum * C.JITTER_FACTOR)
+        if not direction and moves.any():
+            sets[moves.argmax()] = True
+        latest = np.maximum.accumulate(np.where(sets, np.arange(len(sets)), -1))
+        directions = np.where(latest >= 0, way[latest], direction)
+        keep = ~still & ~(moves & (way != directions))
+        return int(directions[-1]) if len(directions) else direction, [keep.tolist(), directions.tolist()]
 
 
 def filter_scroll(

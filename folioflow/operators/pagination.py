@@ -240,8 +240,10 @@ class Slice(Fold):
         _, self.p = _mode(mode)
         self.tight = mode == "performance"
 
+    arrays = True
+
     def start(self):
-        return [0, [], None]
+        return [0, np.zeros(0), None]
 
     def _bounds(self, start, h, target):
         p = self.p
@@ -251,30 +253,41 @@ class Slice(Fold):
         hi = min(h - 1, hard + int(target * p["forward"]))
         return min_h, hard, lo, hi
 
-    def step(self, state, y, density, h, target, blank):
+    def _due(self, start, h, target):
+        """The row at which the page from ``start`` can be cut: all rows that its cut looks at are known."""
+        min_h, _, _, hi = self._bounds(start, h, target)
+        return min(h - 1, max(hi, start + min_h) + C.SEAM_RADIUS)
+
+    def walk(self, state, columns):
+        """From cut to cut: rows are only gathered until the next cut is due."""
+        ys, density, hs, targets, blanks = columns
         start, seen, due = state
-        seen.append(density)
+        h, target, blank = int(hs[0]), int(targets[0]), float(blanks[0])
+        cuts, taken = [None] * len(ys), 0
         if due is None:
-            start = y  # 0, or the first row of a run whose true start is not known yet
-            min_h, _, _, hi = self._bounds(start, h, target)
-            due = min(h - 1, max(hi, start + min_h) + C.SEAM_RADIUS)
-        cuts = None
-        while y >= due:
-            cuts = cuts or []
-            if min(h, start + target) >= h:
-                cuts.append(h)
-                due = h
-                break
-            cut = self._cut(np.array(seen), start, h, target, blank)
-            cuts.append(cut)
-            seen = seen[cut - start :]
-            start = cut
-            if start >= h:
-                due = h
+            start = int(ys[0])  # 0, or the first row of a run whose true start is not known yet
+            due = self._due(start, h, target)
+        while taken < len(ys):
+            at = int(np.searchsorted(ys, due))
+            if at >= len(ys):
                 break
-            min_h, _, _, hi = self._bounds(start, h, target)
-            due = min(h - 1, max(hi, start + min_h) + C.SEAM_RADIUS)
-        return [start, seen, due], (cuts,)
+            at = max(at, taken)
+            seen, taken = np.concatenate([seen, density[taken : at + 1]]), at + 1
+            here = []
+            while ys[at] >= due:
+                if min(h, start + target) >= h:
+                    here.append(h)
+                    due = h
+                    break
+                cut = self._cut(seen, start, h, target, blank)
+                here.append(cut)
+                seen, start = seen[cut - start :], cut
+                if start >= h:
+                    due = h
+                    break
+                due = self._due(start, h, target)
+            cuts[at] = here
+        return [start, np.concatenate([seen, density[taken:]]), due], [cuts]
 
     def _cut(self, rows, start, h, target, blank):
         """The cut below ``start``; ``rows[i]`` is the density of row ``start + i``."""

@@ -14,6 +14,7 @@ import pickle
 import zlib
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -160,28 +161,55 @@ class Fold:
 
     columns: Sequence[str] = ()
     outputs: Sequence[tuple[str, str]] = ()
+    # With ``arrays`` columns come as numpy arrays, nulls as NaN, and ``walk`` is the fold's own.
+    arrays = False
 
     def start(self):
         return None
 
     def step(self, state, *row):
-        raise NotImplementedError
+        if not self.arrays:
+            raise NotImplementedError
+        state, values = self.walk(state, [np.array([np.nan if v is None else v]) for v in row])
+        return state, tuple(v[0] for v in values)
+
+    def walk(self, state, columns: Sequence) -> tuple[object, list[Sequence]]:
+        """(next state, one sequence per output) for consecutive rows of a key; a fold may go from decision to decision."""
+        out = []
+        for row in zip(*columns):
+            state, values = self.step(state, *row)
+            out.append(values)
+        return state, list(zip(*out))
+
+
+def _key_starts(batch: pa.RecordBatch, key) -> list[int]:
+    """Rows of a batch at which another key begins; the first row always."""
+    fresh = np.zeros(batch.num_rows, dtype=bool)
+    fresh[:1] = True
+    for k in key:
+        codes = batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        fresh[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(fresh).tolist()
 
 
 def _walk(batches, key, fold: Fold, entry):
-    """Yield (batch, outputs) and finally (None, summary of the partition)."""
+    """Yield (batch, one list per output) and finally (None, summary of the partition)."""
     first = last = state = None
     for batch in batches:
-        keys = list(zip(*[batch.column(k).to_pylist() for k in key]))
-        columns = [column_values(batch.column(c)) for c in fold.columns]
-        out = []
-        for at, row in zip(keys, zip(*columns)):
+        if fold.arrays:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in fold.columns]
+        else:
+            columns = [column_values(batch.column(c)) for c in fold.columns]
+        starts, out = _key_starts(batch, key), [[] for _ in fold.outputs]
+        for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+            at = tuple(batch.column(k)[a].as_py() for k in key)
             if at != last:
                 state = entry if first is None and entry is not None else fold.start()
                 first = at if first is None else first
                 last = at
-            state, values = fold.step(state, *row)
-            out.append(values)
+            state, values = fold.walk(state, [c[a:b] for c in columns])
+            for held, new in zip(out, values):
+                held.extend(new)
         yield batch, out
     yield None, (first, last, state)
 
@@ -214,7 +242,7 @@ def ordered_fold(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, out in _walk(batches, key, fold, None):
             if batch is not None:
-                yield append_columns(batch, outputs, list(zip(*out)) if out else [[] for _ in outputs])
+                yield append_columns(batch, outputs, out)
 
     ready = df.repartition(*key).sortWithinPartitions(*key, *order)
     return ready.mapInArrow(run, appended_schema(df, outputs))
@@ -323,6 +351,6 @@ def _emit(key, fold, entries, wave):
             return
         for batch, out in _walk(rest, key, fold, state):
             if batch is not None:
-                yield append_columns(batch, outputs, list(zip(*out)) if out else [[] for _ in outputs])
+                yield append_columns(batch, outputs, out)
 
     return run
