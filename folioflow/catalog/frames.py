@@ -354,6 +354,29 @@ def j3(spark, d):
     return out.select(*KEY, *ORDER, "shift", r6(F.col("shift_score")).alias("shift_score"), r6(F.col("shift_conf")).alias("shift_conf"))
 
 
+@query(
+    "x6_choose_shift",
+    f"""WITH {MF}, {PAIRS}, {_phase_sql()}, p AS (SELECT source_id, frame_index, list_transform(range(0, 8), lambda y: list_sum(px[y * 8 + 1 : y * 8 + 8]) / 8.0::DOUBLE) AS rm FROM mf),
+z AS (SELECT source_id, frame_index, list_transform(rm, lambda v: v - list_avg(rm)) AS z FROM p),
+q AS (SELECT source_id, frame_index, lag(z) OVER (PARTITION BY source_id ORDER BY frame_index) AS a, z AS b FROM z),
+l AS (SELECT *, unnest(range(-3, 4)) AS lag FROM q WHERE a IS NOT NULL),
+s AS (SELECT *, round(list_sum(list_transform(range(1, 9 - abs(lag)), lambda i: a[i + greatest(lag, 0)] * b[i + greatest(-lag, 0)])) / (8 - abs(lag)), 9) AS score FROM l),
+t AS (SELECT source_id, frame_index, any_value(a) AS a, any_value(b) AS b, max(score) AS score, arg_min(lag, ROW(-score, lag)) AS lag FROM s GROUP BY ALL),
+u AS (SELECT source_id, frame_index, lag, least(1.0::DOUBLE, greatest(0.0::DOUBLE, (score / greatest(1e-6::DOUBLE, sqrt(list_sum(list_transform(a, lambda v: v * v)) / 8) * sqrt(list_sum(list_transform(b, lambda v: v * v)) / 8)) - 0.16::DOUBLE) / 0.72::DOUBLE)) AS sure FROM t),
+v AS (SELECT source_id, frame_index, lag, sure, CASE WHEN ok THEN shift ELSE 0.0::DOUBLE END AS ph, CASE WHEN ok THEN conf ELSE 0.0::DOUBLE END AS phs FROM u JOIN sh USING (source_id, frame_index)),
+w AS (SELECT *, phs >= greatest(0.38::DOUBLE, sure + 0.12::DOUBLE) OR (sure < 0.24 AND phs >= 0.3) AS phase FROM v)
+SELECT source_id, frame_index, phase AS by_phase, {r6s("CASE WHEN phase THEN ph ELSE CAST(lag AS DOUBLE) END")} AS shift, {r6s("CASE WHEN phase THEN phs ELSE sure END")} AS conf FROM w""",
+)
+def x6_choice(spark, d):
+    """Row correlation and phase correlation of neighbouring frames, and the one that counts."""
+    rows = FR.row_mean_profile(X.micro_frames(spark, d))
+    pairs = FR.consecutive_pairs(rows, KEY, ORDER, ["row_mean", "px"]).filter("prev_px is not null")
+    both = FR.phase_shift(FR.estimate_shift(pairs, "prev_row_mean", "row_mean", max_lag=3, min_seg=4), max_shift=4)
+    chosen = FR.choose_shift(F.col("shift"), F.col("shift_conf"), F.col("phase_shift"), F.col("phase_conf"))
+    out = both.withColumn("_chosen", chosen).withColumn("by_phase", F.col("_chosen.conf") != F.col("shift_conf"))
+    return out.select(*KEY, *ORDER, "by_phase", r6(F.col("_chosen.shift")).alias("shift"), r6(F.col("_chosen.conf")).alias("conf"))
+
+
 def _overlaps(lo, hi, step=1, a="prev", b="px"):
     """Mean abs difference of the last n rows of a and the first n rows of b, for each n."""
     return (

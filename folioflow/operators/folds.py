@@ -534,12 +534,13 @@ def compose_rows(
 ) -> DataFrame:
     """(key, page_no, y, row) of the composed sheets; rows blend over the seam of two frames.
 
-    Every output row takes one frame row, or two at a seam: the last rows of a frame
-    are sent to the first rows of the next one by an equi join on (frame, line), so
+    Every output row takes one frame row, or two at a seam. Frames are shuffled once, on (key, order), and meet the
+    plan and the last rows of the frame above there; rows are taken apart once, after that, so
     sheets of any height are spread over all tasks.
     """
     paged = "page_no" in plan.columns
     group = [*key, "page_no"] if paged else list(key)
+    at = [*key, *order]
     plan = plan.select(*group, *order, "height", "overlap", "y_offset")
     nxt = Ordered(plan, group, order, small=fits(frames, key)).neighbour("next_overlap", F.col("overlap"), 1)
     # Staged: the plan has no pixels and is joined to the frames twice.
@@ -551,31 +552,28 @@ def compose_rows(
         return F.when(o > 0, F.least(size, F.col("height"))).otherwise(F.lit(0))
 
     steps = steps.withColumns({"_seam": rows_of("overlap"), "_next_seam": F.coalesce(rows_of("next_overlap"), F.lit(0))})
-    grids = unpack(frames.select(*key, *order, "px", "width", *(["height"] if dict(frames.dtypes)["px"] == "binary" else [])))
-    placed = steps.join(grids.select(*key, *order, "px", "width"), [*key, *order])
-    lines = F.transform(
-        F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.slice("px", y * F.col("width") + 1, F.col("width"))
-    )
-    placed = placed.select(
-        *group, *order, "height", "y_offset", "next_overlap", "_next", "_seam", "_next_seam",
-        F.posexplode(lines).alias("line", "row"),
-    )
-    own = placed.filter(F.col("line") < F.col("height") - F.coalesce("next_overlap", F.lit(0))).select(
-        *group, *order, (F.col("y_offset") + F.col("line")).alias("y"), "line", "_seam", "row"
-    )
-    above = placed.filter(F.col("line") >= F.col("height") - F.col("_next_seam")).select(
-        *group,
-        *[F.col("_next")[o].alias(o) for o in order],
-        (F.col("line") - (F.col("height") - F.col("_next_seam"))).alias("line"),
-        F.col("row").alias("above"),
-    )
-    alpha = F.when(F.col("_seam") > 1, 1.0 - F.col("line") / (F.col("_seam") - 1)).otherwise(F.lit(1.0))
-    blend = F.zip_with(
-        "above",
-        "row",
-        lambda a, b: F.greatest(F.lit(0.0), F.least(F.lit(255.0), a * F.col("_alpha") + b * (1.0 - F.col("_alpha")))).cast("int"),
+    grids = unpack(frames.select(*at, "px", "width", *(["height"] if dict(frames.dtypes)["px"] == "binary" else []))).select(*at, "px", "width")
+
+    def last(px: Column, values: Column) -> Column:
+        held = F.greatest(F.lit(0), F.least(F.size(px), values))
+        return F.slice(px, F.greatest(F.lit(1), F.size(px) - held + 1), held)
+
+    # A stitched seam has a greatest height, so only that many rows of a frame travel to the one below.
+    tails = grids.withColumn("px", last(F.col("px"), F.col("width") * C.STITCH_SEAM_MAX)) if seam == "stitch" else grids
+    tails = tails.join(steps.filter("_next is not null and _next_seam > 0").select(*at, "_next", "_next_seam"), at)
+    tails = tails.select(
+        *key, *[F.col("_next")[o].alias(o) for o in order], last(F.col("px"), F.col("width") * F.col("_next_seam")).alias("_above"), F.col("width").alias("_above_width")
     )
-    # Only the few rows of a seam meet another frame; all others stay where they are.
-    plain = own.filter(F.col("line") >= F.col("_seam")).select(*group, "y", "row")
-    joined = own.filter(F.col("line") < F.col("_seam")).join(above, [*group, *order, "line"], "left").withColumn("_alpha", alpha)
-    return plain.unionByName(joined.select(*group, "y", F.when(F.col("above").isNull(), F.col("row")).otherwise(blend).alias("row")))
+    placed = grids.join(steps, at).join(tails, at, "left")
+    above_rows = F.coalesce(F.size("_above") / F.col("_above_width"), F.lit(0))
+
+    def row(line: Column) -> Column:
+        own = F.slice("px", line * F.col("width") + 1, F.col("width"))
+        above = F.slice("_above", line * F.col("_above_width") + 1, F.col("_above_width"))
+        alpha = F.when(F.col("_seam") > 1, 1.0 - line / (F.col("_seam") - 1)).otherwise(F.lit(1.0))
+        mixed = F.zip_with(above, own, lambda a, b: F.greatest(F.lit(0.0), F.least(F.lit(255.0), a * alpha + b * (1.0 - alpha))).cast("int"))
+        return F.when((line < F.col("_seam")) & (line < above_rows), mixed).otherwise(own)
+
+    shown = F.col("height") - F.coalesce("next_overlap", F.lit(0))
+    lines = F.when(shown > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), shown - 1)), lambda y: F.struct((F.col("y_offset") + y).alias("y"), row(y).alias("row"))))
+    return placed.select(*group, F.explode(lines).alias("_line")).select(*group, "_line.y", "_line.row")

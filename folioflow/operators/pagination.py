@@ -485,8 +485,13 @@ def split_pages(
     parts = whole.select(*key, "width", "_target", F.lit(0).alias("_from"), F.col("height").alias("_to")).unionByName(
         good.filter(oversize).select(*key, "width", "_target", F.col("y_start").alias("_from"), F.col("y_end").alias("_to"))
     )
-    wanted = parts.withColumn("y", F.explode(F.sequence("_from", F.col("_to") - 1))).drop("_to")
-    pieces = profile.select(*key, "y", "density").join(wanted, [*key, "y"]).withColumn("y", F.col("y") - F.col("_from"))
+    # A row belongs to the last part that starts at or above it: part starts are marked among the rows and counted down the sheet.
+    parts = stage(Ordered(parts, key, ["_from"], small=small).position("_part", 1).result())
+    marks = parts.select(*key, F.col("_from").alias("y"), F.lit(None).cast("double").alias("density"), F.lit(1).alias("_start"))
+    rows = profile.select(*key, "y", "density", F.lit(0).alias("_start")).join(parts.select(*key).distinct(), key, "left_semi").unionByName(marks)
+    counted = Ordered(rows.withColumn("_after", 1 - F.col("_start")), key, ["y", "_after"], small=small).running("_part", F.col("_start")).result()
+    owned = counted.filter("_start = 0").select(*key, "_part", "y", "density").join(parts, [*key, "_part"])
+    pieces = owned.filter(F.col("y") < F.col("_to")).withColumn("y", F.col("y") - F.col("_from")).drop("_to", "_part")
     pieces = stage(pieces)
     sliced = slice_by_whitespace(
         pieces, [*key, "_from"], target=F.col("_target"), mode=mode, width=F.col("width"), ratio=ratio, small=small
