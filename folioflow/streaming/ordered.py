@@ -25,19 +25,12 @@ from folioflow.arrow import _TYPES
 from folioflow.operators.folds import KeepDistinctFrames, distinct_features
 from folioflow.runs import Fold
 from folioflow.ship import by_value
+from folioflow.streaming.streams import OUT_ROWS, missing
 
-# Rows that one output batch of a key holds.
-OUT_ROWS = 256
 # Microseconds of a row's event time, the same in every time zone.
 AT = "at_us"
 
 
-def _missing(value) -> bool:
-    import pandas as pd
-
-    return value is None or value is pd.NA or value is pd.NaT or (isinstance(value, float) and value != value)
-
-
 class Rule:
     """What happens at each row in order, and when nothing came for ``quiet_ms``.
 
@@ -103,9 +96,9 @@ class Recover(Rule):
 
 
 class _InOrder(StatefulProcessor):
-    def __init__(self, rule: Rule, order: Sequence[str], order_types: str, names: Sequence[str]):
+    def __init__(self, rule: Rule, order: Sequence[str], order_types: str, columns: Sequence[str], names: Sequence[str]):
         self.rule, self.order, self.names = rule, list(order), list(names)
-        self.order_types = order_types
+        self.order_types, self.columns = order_types, list(columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -115,9 +108,8 @@ class _InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
         newest = None
         for chunk in rows:
-            columns = list(chunk.columns)
             for row in chunk.itertuples(index=False, name=None):
-                row = {c: None if _missing(v) else v for c, v in zip(columns, row)}
+                row = {c: None if missing(v) else v for c, v in zip(self.columns, row)}
                 at = int(row[AT])
                 self.held.updateValue((at, *[row[o] for o in self.order]), (pickle.dumps(row),))
                 newest = at if newest is None else max(newest, at)
@@ -174,8 +166,8 @@ class _InOrder(StatefulProcessor):
 def in_order(stream: DataFrame, key: Sequence[str], ts: str, order: Sequence[str], rule: Rule, schema: T.StructType, *, delay: str) -> DataFrame:
     """Run a rule over the stream's rows of each key in the order (ts, order); later than ``delay`` rows are lost."""
     order_types = ", ".join(f"{o} {stream.schema[o].dataType.simpleString()}" for o in order)
-    processor = _InOrder(rule, order, order_types, schema.names)
     timed = stream.withColumn(AT, F.unix_micros(ts)).withWatermark(ts, delay)
+    processor = _InOrder(rule, order, order_types, timed.columns, schema.names)
     with by_value():
         return timed.groupBy(*key).transformWithStateInPandas(
             statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"

@@ -16,6 +16,8 @@ from folioflow.operators.windows import latest_fields
 from folioflow.runs import Fold
 from folioflow.ship import by_value
 
+# Rows that one output batch of a key holds.
+OUT_ROWS = 256
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -24,30 +26,70 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def missing(value) -> bool:
+    import pandas as pd
+
+    return value is None or value is pd.NA or value is pd.NaT or (isinstance(value, float) and value != value)
+
+
 class _FoldProcessor(StatefulProcessor):
-    """Runs a fold over the rows of a key, carrying its state from batch to batch."""
+    """Runs a fold over the rows of a key, carrying its state from batch to batch.
+
+    Rows of one micro-batch arrive in any order. One chunk of them is sorted in memory; when a key has more
+    than that in a micro-batch, its rows wait in map state and are taken from there one at a time, in order.
+    """
 
-    def __init__(self, fold: Fold, key: Sequence[str], order: Sequence[str], names: Sequence[str]):
-        self.fold, self.key, self.order, self.names = fold, list(key), list(order), list(names)
+    def __init__(self, fold: Fold, order: Sequence[str], order_types: str, columns: Sequence[str], names: Sequence[str]):
+        self.fold, self.order, self.order_types, self.names = fold, list(order), order_types, list(names)
+        # Chunks come with names of their own for columns that begin with an underscore.
+        self.columns = list(columns)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("fold", "state binary")
+        self.waiting = handle.getMapState("waiting", f"{self.order_types}, n bigint", "row binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
-
-        # Rows of one micro-batch arrive in any order.
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(self.order, kind="stable")
         state = pickle.loads(bytes(self.state.get()[0])) if self.state.exists() else self.fold.start()
+        held, count = next(rows), 0
+        for chunk in rows:
+            for part in (held, chunk) if held is not None else (chunk,):
+                count = self._wait(part, count)
+            held = None
+        ordered = self._sorted(held) if held is not None else self._waiting()
         out = []
-        for row in zip(*[batch[c] for c in self.fold.columns]):
-            state, values = self.fold.step(state, *[None if v is None or v is pd.NA else v for v in row])
-            out.append(values)
+        for row in ordered:
+            state, values = self.fold.step(state, *[row[c] for c in self.fold.columns])
+            out.append((*[row[n] for n in self.names], *values))
+            if len(out) >= OUT_ROWS:
+                yield self._frame(out)
+                out = []
         self.state.update((pickle.dumps(state),))
-        result = batch[self.names].copy()
-        for i, (name, _) in enumerate(self.fold.outputs):
-            result[name] = pd.Series([v[i] for v in out], index=result.index, dtype=object)
-        yield result
+        if out:
+            yield self._frame(out)
+
+    def _rows(self, chunk) -> Iterator[dict]:
+        for row in chunk.itertuples(index=False, name=None):
+            yield {c: None if missing(v) else v for c, v in zip(self.columns, row)}
+
+    def _sorted(self, chunk) -> Iterator[dict]:
+        return self._rows(chunk.set_axis(self.columns, axis=1).sort_values(self.order, kind="stable"))
+
+    def _wait(self, chunk, count: int) -> int:
+        for count, row in enumerate(self._rows(chunk), count + 1):
+            self.waiting.updateValue((*[row[o] for o in self.order], count), (pickle.dumps(row),))
+        return count
+
+    def _waiting(self) -> Iterator[dict]:
+        for at in sorted(map(tuple, self.waiting.keys())):
+            row = pickle.loads(bytes(self.waiting.getValue(at)[0]))
+            self.waiting.removeKey(at)
+            yield row
+
+    def _frame(self, rows):
+        import pandas as pd
+
+        names = [*self.names, *[n for n, _ in self.fold.outputs]]
+        return pd.DataFrame({n: pd.Series([r[i] for r in rows], dtype=object) for i, n in enumerate(names)})
 
     def close(self) -> None:
         pass
@@ -61,9 +103,10 @@ def stream_fold(stream: DataFrame, key: Sequence[str], order: Sequence[str], fol
     names = [f.name for f in stream.schema.fields if f.name not in fold.columns]
     fields = [stream.schema[n] for n in names]
     schema = T.StructType(fields + [T.StructField(n, _TYPES[t][0], True) for n, t in fold.outputs])
+    order_types = ", ".join(f"{o} {stream.schema[o].dataType.simpleString()}" for o in order)
     with by_value():
         return stream.groupBy(*key).transformWithStateInPandas(
-            statefulProcessor=_FoldProcessor(fold, key, order, names),
+            statefulProcessor=_FoldProcessor(fold, order, order_types, stream.columns, names),
             outputStructType=schema,
             outputMode="Append",
             timeMode="None",

@@ -87,6 +87,29 @@ def test_rows_out_of_order_are_released_in_order(spark, tmp_path):
         assert sum(r.job_id == j for r in got) == 60
 
 
+def test_a_key_with_several_chunks_in_a_micro_batch(spark, tmp_path):
+    """Rows of a key beyond one Arrow chunk wait in the state store and are folded in order."""
+    from folioflow.operators.folds import RecentHash
+
+    ST.use_rocksdb(spark)
+    rng = random.Random(6)
+    rows = [(1 + i % 2, i, i, "x") for i in range(120)]
+    rng.shuffle(rows)
+    stream = micro_batches(spark, f"{tmp_path}/c", [rows[:90], [(1, 200, 200, "x"), (2, 201, 201, "x")]], PATCH)
+    stream = stream.withColumn("_hash", F.col("seq") * 0)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    spark.conf.set("spark.sql.execution.arrow.transformWithStateInPandas.maxStateRowsPerBatch", "10")
+    try:
+        got, left = run(ST.stream_fold(stream, ["job_id"], ["seq"], RecentHash(0)), tmp_path, "c")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.unset("spark.sql.execution.arrow.transformWithStateInPandas.maxStateRowsPerBatch")
+    assert len(got) == 92 and left == 2
+    for job in (1, 2):
+        first = min(r[2] for r in rows[:90] if r[0] == job)
+        assert [r.seq for r in got if r.job_id == job and r.keep] == [first]
+
+
 def test_stale_answers(spark, tmp_path):
     ST.use_rocksdb(spark)
     requests = [(1, 0, 1), (1, 100, 2), (2, 5, 3), (1, 100, 4), (3, 50, 5)]
@@ -185,3 +208,54 @@ def test_structured_errors_of_any_shape(spark):
 def test_structured_errors_use_the_known_texts(spark, locale, text):
     detail = F.lit(json.dumps({"detail": "youtube_url is required when source_type is youtube"}))
     assert spark.range(1).select(TX.structured_error(detail, locale).alias("v")).first().v == text
+
+
+class FakeState:
+    """A value and map state held in memory."""
+
+    def __init__(self):
+        self.map, self.value = {}, None
+
+    def getValueState(self, name, schema):
+        return self
+
+    def getMapState(self, name, key, value):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def updateValue(self, key, value):
+        self.map[key] = value
+
+    def getValue(self, key):
+        return self.map[key]
+
+    def keys(self):
+        return list(self.map)
+
+    def removeKey(self, key):
+        del self.map[key]
+
+
+def test_chunks_of_a_micro_batch_are_folded_in_order():
+    import pandas as pd
+
+    from folioflow.operators.folds import RecentHash
+
+    rows = [(1, s, s // 4) for s in random.Random(1).sample(range(40), 40)]
+    columns = ["job_id", "seq", "_hash"]
+    whole = [[pd.DataFrame(rows, columns=["job_id", "seq", "_2"])], [pd.DataFrame(rows[i : i + 7], columns=["job_id", "seq", "_2"]) for i in range(0, 40, 7)]]
+    out = []
+    for chunks in whole:
+        processor, state = ST._FoldProcessor(RecentHash(0), ["seq"], "seq bigint", columns, ["job_id", "seq"]), FakeState()
+        processor.init(state)
+        out.append(pd.concat(processor.handleInputRows((1,), iter(chunks), None)).values.tolist())
+        assert not state.map
+    assert out[0] == out[1] and [r[1] for r in out[0]] == list(range(40)) and 0 < sum(r[2] for r in out[0]) < 40
