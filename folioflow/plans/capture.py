@@ -56,6 +56,8 @@ def kept_frames(sheets: DataFrame, options: CaptureOptions) -> DataFrame:
     kept = Q.dedupe_frames(sheets, KEY, ORDER, layout=options.layout, level=options.level, **options.dedupe)
     if options.layout != "page_turn":
         return kept
+    # Staged: the fold's frames are read by the page turns and again for their rows.
+    kept = stage(kept)
     turns = Q.page_turn_pages(Q.collapse_page_turns(kept, KEY, ORDER, overlap=options.overlap_threshold))
     return kept.join(turns.select(*KEY, *ORDER), [*KEY, *ORDER], "left_semi")
 
@@ -70,7 +72,9 @@ def stitched_pages(kept: DataFrame, options: CaptureOptions) -> DataFrame | None
 
 def capture(frames: DataFrame, rois: DataFrame, options: CaptureOptions = CaptureOptions()) -> Export:
     """``frames`` (source_id, frame_index, ts_sec, width, height, px), ``rois`` (source_id, roi) to an export."""
-    kept = stage(kept_frames(sampled_sheets(frames, rois, options), options))
+    # Staged: sizes, counts, features and the kept rows are all read from the warped frames.
+    sheets = stage(sampled_sheets(frames, rois, options))
+    kept = stage(kept_frames(sheets, options))
     formats = F.array(*[F.lit(f) for f in options.formats])
     runs = kept.select(*KEY).distinct().withColumns({"formats": formats, "include_raw": F.lit(options.include_raw)})
     raw = None

@@ -13,7 +13,7 @@ QUERIES, SQL = entry.queries(), entry.oracle_sql()
 ORDERED = [
     "a12_representative_frame", "j3_estimate_shift", "q1_dedupe_frames", "q2_recent_hash_filter", "q3_filter_scroll",
     "q4_collapse_page_turns", "q5_stitch_plan", "q6_merge_plan", "q13_compose_rows", "w1_frame_change", "x3_dhash",
-    "t3_debounce_latest", "w2_text_bands", "q7_pack_bands", "q8_resolve_overlaps",
+    "t3_debounce_latest", "t3_current_answers", "w2_text_bands", "q7_pack_bands", "q8_resolve_overlaps", "q1_dedupe_frames_full", "q5_stitch_buffer",
 ]
 # At the smallest size the sheets have no band of nine rows, so these are rightly empty.
 SPARSE = {"q7_pack_bands", "q8_resolve_overlaps", "w2_active_bands", "w4_page_gaps"}
