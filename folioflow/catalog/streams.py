@@ -20,25 +20,28 @@ FEED_ROWS = 250_000
 FEED_FILES = 4
 
 
-def _feed(spark, df, name, order):
+def _feed(spark, df, name, order, closing=None):
     """Write a table as micro-batches, oldest rows first, and open a stream that takes one micro-batch at a time.
 
     A micro-batch is a range of the order and a few files, each written by its own task; there are four at
-    least, more with the rows. They are written one after the other, so the source finds them in order.
+    least, more with the rows. They are written one after the other, so the source finds them in order; ``closing`` rows
+    come in the last file, so nothing is late to them.
     """
     path = scratch_path(spark, name)
     parts = max(4, -(-df.count() // FEED_ROWS))
     dealt = stage(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     for part in range(parts):
         dealt.filter(F.col("_part") == part).drop("_part").repartition(FEED_FILES).write.mode("append").parquet(path)
+    if closing is not None:
+        closing.select(*df.columns).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", str(FEED_FILES)).parquet(path)
 
 
-def _closed(df, key, ts="ts"):
-    """With one row of a key that does not occur, so late that the watermark passes all others."""
-    end = df.agg((F.max(ts) + F.expr("interval 400 days")).alias(ts)).withColumn(key, F.lit(-1))
-    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields if f.name not in (key, ts)]
-    return df.unionByName(end.select(F.col(key).cast(df.schema[key].dataType).alias(key), ts, *rest))
+def _closing(df, key, ts="ts", **values):
+    """One row of a key that does not occur, so late that the watermark passes all others."""
+    end = df.agg((F.max(ts) + F.expr("interval 400 days")).alias(ts))
+    own = {key: F.lit(-1), ts: F.col(ts)} | values
+    return end.select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema.fields])
 
 
 def _finish(spark, stream, name, mode="append"):
@@ -62,8 +65,8 @@ def t1b(spark, d):
     T.use_rocksdb(spark)
     frames = X.micro_frames(spark, d).withColumn("ts", F.timestamp_seconds(F.lit(1_600_000_000) + F.col("frame_index"))).select(*KEY, "ts", *ORDER, "px", "width", "height")
     late = F.pmod(F.xxhash64(*KEY, *ORDER), F.lit(7))
-    dealt = _closed(frames, "source_id").withColumn("frame_index", F.coalesce("frame_index", F.lit(0)))
-    stream = _feed(spark, dealt, "late-frames", [F.unix_seconds("ts") + late, *KEY])
+    end = _closing(frames, "source_id", frame_index=F.lit(0))
+    stream = _feed(spark, frames, "late-frames", [F.unix_seconds("ts") + late, *KEY], end)
     out = O.stream_dedupe_ordered(stream, KEY, ORDER, delay="10 seconds", layout="full_scroll", static=0.20, structure=0.0, min_side=0, blur=False)
     return _finish(spark, out, "t1-late").filter("source_id >= 0").select(*KEY, *ORDER)
 
@@ -135,8 +138,8 @@ def t3d(spark, d):
     T.use_rocksdb(spark)
     requests, answers = _answers(spark, d)
     late = F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(3000))
-    asked = _feed(spark, _closed(requests, "source_id"), "asked", [late, "source_id"])
-    given = _feed(spark, _closed(answers, "source_id").withColumn("asked_at", F.coalesce("asked_at", "ts")), "answered", [late, "source_id"])
+    asked = _feed(spark, requests, "asked", [late, "source_id"], _closing(requests, "source_id"))
+    given = _feed(spark, answers, "answered", [late, "source_id"], _closing(answers, "source_id", asked_at=F.col("ts")))
     out = O.stream_answers(asked, given, ["source_id"], tie="event_id", delay="1 hour", patience="30 hours")
     return _micros(_finish(spark, out, "t3-answers").filter("source_id >= 0"))
 
@@ -188,7 +191,7 @@ def t4c(spark, d):
     T.use_rocksdb(spark)
     late = F.unix_seconds("ts") + F.pmod(F.xxhash64("seq"), F.lit(3000))
     patches = X.job_patches(spark, d).select("job_id", "ts", "seq", "status")
-    stream = _feed(spark, _closed(patches, "job_id").withColumn("seq", F.coalesce("seq", F.lit(0).cast("bigint"))), "late-patches", [late, "job_id"])
+    stream = _feed(spark, patches, "late-patches", [late, "job_id"], _closing(patches, "job_id", seq=F.lit(0)))
     out = O.stream_transitions_expiring(stream, forget_ms=48 * 3_600_000, delay="1 hour")
     return _finish(spark, out, "t4-expiring").filter("job_id >= 0").select("job_id", "seq", "status")
 
@@ -204,7 +207,7 @@ def t5c(spark, d):
     T.use_rocksdb(spark)
     late = F.unix_seconds("ts") + F.pmod(F.xxhash64("seq"), F.lit(3000))
     patches = X.job_patches(spark, d).select("job_id", "ts", "seq", "status")
-    stream = _feed(spark, _closed(patches, "job_id").withColumn("seq", F.coalesce("seq", F.lit(0).cast("bigint"))), "late-patches", [late, "job_id"])
+    stream = _feed(spark, patches, "late-patches", [late, "job_id"], _closing(patches, "job_id", seq=F.lit(0)))
     out = O.stream_recover_by_timer(stream, stale_ms=24 * 3_600_000, delay="1 hour")
     back = _finish(spark, out, "t5-timer").filter("job_id >= 0")
     return back.select("job_id", F.unix_micros("updated_at").alias("updated_us"), "status", "error_code")

@@ -7,6 +7,8 @@ are not bit-equal to any particular image library.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 from folioflow import constants as C
@@ -47,15 +49,37 @@ def median3(gray: np.ndarray) -> np.ndarray:
     return np.median(stack, axis=0).astype(np.uint8)
 
 
-def gaussian_mean(gray: np.ndarray, block: int) -> np.ndarray:
+# Rows or columns that one matrix product of the Gaussian mean gives.
+_TILE = 128
+
+
+@lru_cache(maxsize=64)
+def _gaussian_tiles(size: int, block: int) -> tuple[tuple[int, int, int, int, np.ndarray], ...]:
+    """(first, last, from, to, weights) per tile of an axis; places beyond an edge count for the edge."""
     sigma = 0.3 * ((block - 1) * 0.5 - 1) + 0.8
     offset = np.arange(block) - (block - 1) / 2
     weight = np.exp(-(offset**2) / (2 * sigma * sigma))
     weight /= weight.sum()
-    wide = np.pad(gray.astype(np.float64), block // 2, mode="edge")
-    h, w = gray.shape
-    rows = sum(weight[i] * wide[i : i + h] for i in range(block))
-    return np.rint(sum(weight[i] * rows[:, i : i + w] for i in range(block)))
+    tiles = []
+    for first in range(0, size, _TILE):
+        last = min(size, first + _TILE)
+        low, high = max(0, first - block // 2), min(size, last + block // 2)
+        at = np.clip(np.arange(first, last)[:, None] + np.arange(block) - block // 2, 0, size - 1) - low
+        matrix = np.zeros((last - first, high - low))
+        np.add.at(matrix, (np.arange(last - first)[:, None], at), np.broadcast_to(weight, at.shape))
+        tiles.append((first, last, low, high, matrix))
+    return tuple(tiles)
+
+
+def gaussian_mean(gray: np.ndarray, block: int) -> np.ndarray:
+    """Rounded Gaussian mean over block x block neighbours, as products with banded matrices along both axes."""
+    values = gray.astype(np.float64)
+    down, out = np.empty_like(values), np.empty_like(values)
+    for first, last, low, high, matrix in _gaussian_tiles(gray.shape[0], block):
+        down[first:last] = matrix @ values[low:high]
+    for first, last, low, high, matrix in _gaussian_tiles(gray.shape[1], block):
+        out[:, first:last] = down[:, low:high] @ matrix.T
+    return np.rint(out)
 
 
 def ink_mask(gray: np.ndarray, block: int = C.INK_BLOCK, c: int = C.INK_OFFSET, opened: bool = False) -> np.ndarray:
