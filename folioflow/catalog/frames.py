@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import struct
-import zlib
 
 from pyspark.sql import functions as F
 
