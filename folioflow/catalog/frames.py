@@ -617,10 +617,10 @@ def s1(spark, d):
     f"""WITH RECURSIVE {MF}, {TURNS}, pg AS (SELECT source_id, page_no - 1 AS page_index FROM turns WHERE new_page), n AS (SELECT source_id, count(*) AS used FROM pg GROUP BY source_id),
 rn AS (SELECT source_id, used, CASE source_id % 4 WHEN 0 THEN ['png'] WHEN 1 THEN ['jpg','pdf'] WHEN 2 THEN ['png','pdf'] ELSE ['png','jpg','pdf'] END AS f FROM n),
 im AS (SELECT source_id, page_index, unnest(f) AS fm FROM pg JOIN rn USING (source_id))
-SELECT source_id, 'images' AS role, fm AS format, CAST(page_index + 1 AS INTEGER) AS item_index, 'page_' || lpad(CAST(page_index + 1 AS VARCHAR), 4, '0') || '.' || fm AS name FROM im WHERE fm <> 'pdf'
+SELECT source_id, 'images' AS role, fm AS format, CAST(page_index + 1 AS INTEGER) AS item_index, printf('page_%04d.', page_index + 1) || fm AS name FROM im WHERE fm <> 'pdf'
 UNION ALL SELECT source_id, 'full_sheet', 'png', 0, 'sheet_complete.png' FROM rn WHERE list_contains(f, 'png') AND used >= 2
 UNION ALL SELECT source_id, 'pdf', 'pdf', 0, 'sheet_export.pdf' FROM rn WHERE list_contains(f, 'pdf')
-UNION ALL SELECT source_id, 'raw_frames', 'png', frame_index, 'raw_' || lpad(CAST(frame_index AS VARCHAR), 5, '0') || '.png' FROM mf WHERE source_id = 3""",
+UNION ALL SELECT source_id, 'raw_frames', 'png', frame_index, printf('raw_%05d.png', frame_index) FROM mf WHERE source_id = 3""",
 )
 def s4(spark, d):
     mf = X.micro_frames(spark, d)
