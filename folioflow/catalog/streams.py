@@ -3,38 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from folioflow import fixtures as X
 from folioflow.catalog.base import ORACLES, query
 from folioflow.catalog.frames import KEY, ORDER
 from folioflow.operators import windows as W
-from folioflow.session import scratch_path, stage
+from folioflow.session import scratch_path
 from folioflow.streaming import ordered as O
 from folioflow.streaming import streams as T
 
 SG = X.SIGNAL_SQL
 
 
-# Rows of one micro-batch, and the files it is written as.
-FEED_ROWS = 250_000
+# Micro-batches of a feed, whatever its size; a larger table has more files in each, of about so many rows.
+BATCHES = 4
+FILE_ROWS = 250_000
 FEED_FILES = 4
 
 
 def _feed(spark, df, name, order, closing=None):
     """Write a table as micro-batches, oldest rows first, and open a stream that takes one micro-batch at a time.
 
-    A micro-batch is a range of the order and a few files, each written by its own task; there are four at
-    least, more with the rows. They are written one after the other, so the source finds them in order; ``closing`` rows
-    come in the last file, so nothing is late to them.
+    A micro-batch is a range of the order, dealt over files by as many tasks. Their number is fixed: each one loads and commits
+    the state of every key it meets, so more of them for more rows would cost the square of the rows. They are
+    written one after the other, so the source finds them in order; ``closing`` rows come in the last file, so nothing is late to them.
     """
-    path = scratch_path(spark, name)
-    parts = max(4, -(-df.count() // FEED_ROWS))
-    dealt = stage(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
-    for part in range(parts):
-        dealt.filter(F.col("_part") == part).drop("_part").repartition(FEED_FILES).write.mode("append").parquet(path)
+    path, ranges = scratch_path(spark, name), scratch_path(spark, name + "-ranges")
+    files = max(FEED_FILES, -(-df.count() // (BATCHES * FILE_ROWS)))
+    # Written by range: each micro-batch reads its own ranges only.
+    dealt = df.repartitionByRange(BATCHES * files, *order).withColumn("_part", F.spark_partition_id())
+    dealt.write.partitionBy("_part").parquet(ranges)
+    dealt = spark.read.schema(StructType([*df.schema.fields, StructField("_part", IntegerType())])).parquet(ranges)
+    parts = dealt.agg(F.max("_part")).first()[0] + 1
+    for batch in range(BATCHES):
+        own = dealt.filter((F.col("_part") >= batch * parts // BATCHES) & (F.col("_part") < (batch + 1) * parts // BATCHES))
+        own.drop("_part").repartition(files).write.mode("append").parquet(path)
     if closing is not None:
         closing.select(*df.columns).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", str(FEED_FILES)).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", str(files)).parquet(path)
 
 
 def _closing(df, key, ts="ts", **values):
@@ -163,7 +170,7 @@ def t4(spark, d):
 def t4b(spark, d):
     T.use_rocksdb(spark)
     stream = _feed(spark, X.job_patches(spark, d), "patches", ["ts", "seq"])
-    return _finish(spark, T.stream_transitions(stream), "t4-final").select("job_id", "seq", "status")
+    return _finish(spark, T.stream_transitions(stream), "t4-final", mode="update").select("job_id", "seq", "status")
 
 
 @query(

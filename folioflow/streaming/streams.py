@@ -151,45 +151,17 @@ def stream_current_jobs(stream: DataFrame, key: Sequence[str] = ("job_id",), *,
     return stream.groupBy(*key).agg(*latest_fields(fields, F.struct("ts", "seq")), F.max("seq").alias("last_seq"))
 
 
-class _Transitions(StatefulProcessor):
-    """Emits a job's step into done or error once, at the patch that made it final."""
-
-    def __init__(self, key: Sequence[str]):
-        self.key = list(key)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.done = handle.getValueState("done", "status string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        import pandas as pd
-
-        if self.done.exists():
-            for _ in rows:
-                pass
-            return
-        # Only the earliest final patch so far is held, however many rows the batch has.
-        final = None
-        for chunk in rows:
-            ended = chunk[chunk["status"].isin(["done", "error"])]
-            held = ended if final is None else pd.concat([final, ended], ignore_index=True)
-            final = held.sort_values(["ts", "seq"], kind="stable").head(1)
-        if final is not None and len(final):
-            self.done.update((final["status"].iloc[0],))
-            yield final[self.key + ["seq", "status"]]
-
-    def close(self) -> None:
-        pass
-
-
 def stream_transitions(stream: DataFrame, key: Sequence[str] = ("job_id",)) -> DataFrame:
-    """(key, seq, status): the first final state of every job, exactly once."""
+    """(key, seq, status): the first final state of every job, exactly once (update mode).
+
+    A job is sent by the micro-batch that first meets a final patch of it, and by no other: there the time of its first
+    micro-batch and of its latest are the same. A repeated micro-batch has the time it had before.
+    """
     key = list(key)
-    schema = T.StructType([stream.schema[k] for k in key] + [stream.schema["seq"], stream.schema["status"]])
-    slim = stream.select(*key, "ts", "seq", "status")
-    with by_value():
-        return slim.groupBy(*key).transformWithStateInPandas(
-            statefulProcessor=_Transitions(key), outputStructType=schema, outputMode="Append", timeMode="None"
-        )
+    ended = stream.filter(F.col("status").isin("done", "error")).withColumn("_now", F.current_timestamp())
+    first = F.min_by(F.struct("seq", "status"), F.struct("ts", "seq")).alias("_row")
+    rows = ended.groupBy(*key).agg(first, F.min("_now").alias("_since"), F.max("_now").alias("_latest"))
+    return rows.filter("_since = _latest").select(*key, "_row.*")
 
 
 def stream_recover(stream: DataFrame, key: Sequence[str] = ("job_id",), *, stale_after: str, delay: str) -> DataFrame:

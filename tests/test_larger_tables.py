@@ -16,3 +16,40 @@ def test_names_of_ten_thousand_pages(spark, tmp_path):
     error, rows = oracle.check(spark, con, "s4_write_pages", QUERIES["s4_write_pages"], SQL["s4_write_pages"], str(tmp_path))
     assert error is None and rows > 10_000
     assert con.execute(f"SELECT count(*) FROM ({SQL['s4_write_pages']}) WHERE name = 'page_10005.png'").fetchone() == (1,)
+
+
+def progress_of(stream, tmp_path, name, mode):
+    """(rows with the number of their micro-batch, number of micro-batches)."""
+    rows = []
+    sink = lambda batch, number: rows.extend((number, r) for r in batch.collect())
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{tmp_path}/{name}").foreachBatch(sink).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return rows, sum(p["numInputRows"] > 0 for p in query.recentProgress)
+
+
+def test_micro_batches_do_not_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    from folioflow.catalog import streams as feeds
+
+    monkeypatch.setattr(feeds, "FEED_ROWS", 50, raising=False)
+    monkeypatch.setattr(feeds, "FILE_ROWS", 50, raising=False)
+    stream = feeds._feed(spark, spark.range(3000).selectExpr("id", "id % 7 AS k"), "many", ["id"])
+    rows, batches = progress_of(stream, tmp_path, "many", "append")
+    assert batches == 4 and sorted(r.id for _, r in rows) == list(range(3000))
+    ends = [max(r.id for n, r in rows if n == b) for b in range(4)]
+    assert all(r.id > ends[n - 1] for n, r in rows if n)
+
+
+def test_a_job_ends_once_over_micro_batches(spark, tmp_path):
+    from folioflow.streaming import streams as ST
+
+    ST.use_rocksdb(spark)
+    batches = [
+        [(1, 5, 1, "running"), (2, 6, 2, "done"), (2, 4, 3, "error"), (2, 4, 4, "done")],
+        [(1, 9, 5, "error"), (2, 1, 6, "done"), (3, 7, 7, "queued")],
+        [(1, 10, 8, "done"), (2, 11, 9, "error")],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, "job_id int, ts int, seq long, status string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("job_id int, ts int, seq long, status string").option("maxFilesPerTrigger", "1").parquet(f"{tmp_path}/in")
+    rows, _ = progress_of(ST.stream_transitions(stream), tmp_path, "ends", "update")
+    assert sorted((n, *r) for n, r in rows) == [(0, 2, 3, "error"), (1, 1, 5, "error")]
