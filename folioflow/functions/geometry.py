@@ -80,10 +80,12 @@ def parse_roi(text: Column) -> Column:
     """JSON text of four [x, y] points of finite numbers, else null."""
     raw = F.from_json(F.trim(text), "array<array<string>>")
     points = F.transform(raw, lambda p: F.transform(p, try_number))
-    fine = (F.size(raw) == 4) & F.forall(
-        points, lambda p: (F.size(p) == 2) & F.forall(p, lambda v: v.isNotNull())
-    )
-    return F.when(fine, points)
+
+    def fine(roi: Column) -> Column:
+        return (F.size(roi) == 4) & F.forall(roi, lambda p: (F.size(p) == 2) & F.forall(p, lambda v: v.isNotNull()))
+
+    # As an array of one, so that the text is parsed once and not for every use of the points.
+    return F.get(F.filter(F.array(points), fine), 0)
 
 
 def infer_layout(hint: Column, roi: Column, stitch: Column, source_type: Column) -> Column:

@@ -49,10 +49,9 @@ def _hex_double(digits: Column) -> Column:
 def try_number(text: Column) -> Column:
     """Trimmed text as a finite double, else null. Type suffixes and named specials are not numbers."""
     text = F.trim(text)
-    value = F.when(text.rlike(_HEX), _hex_double(F.substr(text, F.lit(3)))).when(
-        text.rlike(_DECIMAL), text.cast("double")
-    )
-    return F.when(F.abs(value) < F.lit(float("inf")), value)
+    value = F.when(text.rlike(_DECIMAL), text.cast("double")).when(text.rlike(_HEX), _hex_double(F.substr(text, F.lit(3))))
+    # As an array of one: the number is made once, also inside lambdas, where Spark shares no common expressions.
+    return F.get(F.filter(F.array(value), lambda v: F.abs(v) < F.lit(float("inf"))), 0)
 
 
 def human_bytes(size: Column) -> Column:

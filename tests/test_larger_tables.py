@@ -2,6 +2,7 @@
 
 import duckdb
 import oracle
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -106,3 +107,27 @@ def test_answers_are_compared_with_one_request(spark, tmp_path):
     query.awaitTermination()
     assert "symmetricHashJoin" not in [s["operatorName"] for s in query.lastProgress["stateOperators"]]
     assert {(r.job_id, r.seq, r["size"]) for r in rows if r.job_id != -1} == {(1, big, big), (1, 2, None), (None, 8, 5)}
+
+
+def test_roi_text_is_parsed_once(spark):
+    """One parse of the text, however often the points are used; odd texts give no region."""
+    from folioflow.functions import geometry as G
+
+    texts = {
+        " [[1, 2.5],[-3e1,0x4],[5,6],[7,8]] ": None,
+        ' [["1", 2.5], ["-3e1", "0x1F"], [" 5 ", 6], [7, 8]] ': [[1.0, 2.5], [-30.0, 31.0], [5.0, 6.0], [7.0, 8.0]],
+        "[[1, 2], [3, 4], [5, 6], [7, 8]]": [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0], [7.0, 8.0]],
+        "[[1, 2], [3, 1e400], [5, 6], [7, 8]]": None,
+        "[[1, 2], [3, null], [5, 6], [7, 8]]": None,
+        "[[1, 2], null, [5, 6], [7, 8]]": None,
+        "[[1, 2], [3, 4, 5], [5, 6], [7, 8]]": None,
+        "[[1, 2], [3, 4], [5, 6]]": None,
+        "[]": None,
+        "no json": None,
+        None: None,
+    }
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    out = rows.select("t", G.parse_roi(F.col("t")).alias("p"))
+    used = out.select("t", "p", F.size("p"), F.col("p")[3][0] + F.col("p")[3][1])
+    assert {r.t: r.p for r in used.collect()} == texts
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
