@@ -20,6 +20,9 @@ one; an empty table gives no rows; only doc_id and text are read.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,9 +44,9 @@ def shingles(hashes: Column) -> Column:
     48 bits leave room for the rarity class in a key and collide for one token in some
     hundred even among 10^12 others; a chance meeting costs one comparison.
     """
-    starts = F.sequence(F.lit(0), F.greatest(F.size(hashes) - SHINGLE, F.lit(0)))
-    window = lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(SHINGLE)])
-    return F.array_distinct(F.transform(starts, lambda i: F.shiftrightunsigned(window(i), 16)))
+    starts = F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - SHINGLE + 1, F.lit(1)))
+    window = lambda first, i: F.xxhash64(first, *[F.get(hashes, i + k) for k in range(1, SHINGLE)])
+    return F.array_distinct(F.transform(starts, lambda first, i: F.shiftrightunsigned(window(first, i), 16)))
 
 
 def with_lines(docs: DataFrame) -> DataFrame:
@@ -57,9 +60,15 @@ def with_lines(docs: DataFrame) -> DataFrame:
     return lines.filter(F.btrim("line", F.lit(" \t\n\x0b\x0c\r")) != "").select("id", (F.col("stamp") + F.col("number")).alias("at"), "line")
 
 
+def line_words(line: Column) -> Column:
+    """White-space words of one line. Few lines hold other white space than blanks; the rest need no regular expression."""
+    other = reduce(or_, [F.contains(line, F.lit(c)) for c in "\t\n\x0b\x0c\r"])
+    return F.when(other, words(line)).otherwise(F.array_remove(F.split(line, " "), ""))
+
+
 def with_tokens(lines: DataFrame) -> DataFrame:
-    split = settled(lines, "words", words(F.lower("line"))).select("id", "at", "words")
-    hashed = settled(split, "hashes", F.transform("words", lambda w: F.xxhash64(w))).drop("words")
+    low = lines.select("id", "at", F.lower("line").alias("line"))
+    hashed = settled(low, "hashes", F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w))).drop("line")
     return settled(hashed, "tokens", shingles(F.col("hashes"))).drop("hashes")
 
 
@@ -73,17 +82,21 @@ def rarity_classes(tokens: DataFrame) -> list[int]:
     return classes
 
 
+def rarity_keys(tokens: Column, classes: list[int]) -> Column:
+    """The tokens' keys, declared as never null: plain longs are sorted several times faster than boxed ones."""
+    key = lambda t: t
+    if any(classes):
+        table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")  # a constant
+        key = lambda t: F.shiftleft(F.get(table, t.bitwiseAND(F.lit(SKETCH_BUCKETS - 1))), 48).bitwiseOR(t)
+    return F.transform(tokens, lambda t: F.coalesce(key(t), F.lit(0).cast("bigint")))
+
+
 def prefixes(tokens: DataFrame, classes: list[int]) -> DataFrame:
     """One row per prefix token: id, at, n (tokens of the line), pos, key.
 
     A key is the rarity class in the high bits and the token's hash below, so keys sort by rarity.
     """
-    keyed = F.col("tokens")
-    if any(classes):
-        table = F.split(F.lit(",".join(map(str, classes))), ",").cast("array<bigint>")  # a constant
-        rarity = lambda t: F.get(table, t.bitwiseAND(F.lit(SKETCH_BUCKETS - 1)))
-        keyed = F.transform("tokens", lambda t: F.shiftleft(rarity(t), 48).bitwiseOR(t))
-    ordered = F.sort_array(keyed)
+    ordered = F.sort_array(rarity_keys(F.col("tokens"), classes))
     n = F.size("tokens")
     length = n - F.floor((n * NUM + DEN - 1) / DEN).cast("int") + 1
     rows = tokens.select("id", "at", n.alias("n"), F.slice(ordered, F.lit(1), length).alias("keys"))
