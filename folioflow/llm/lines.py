@@ -32,6 +32,8 @@ SHINGLE = 5
 # Similarity of at least 4/5, in whole numbers.
 NUM, DEN = 4, 5
 SKETCH_BUCKETS = 1 << 12
+# Up to so many buckets of frequent tokens, most lines need no rarity keys to find their prefix.
+FEW_BUCKETS = 64
 # Longs of a line's bitmap.
 SIGNATURE = 4
 _LAST = (1 << 63) - 1
@@ -69,7 +71,8 @@ def line_words(line: Column) -> Column:
 def with_tokens(lines: DataFrame) -> DataFrame:
     low = lines.select("id", "at", F.lower("line").alias("line"))
     hashed = settled(low, "hashes", F.transform(line_words(F.col("line")), lambda w: F.xxhash64(w))).drop("line")
-    return settled(hashed, "tokens", shingles(F.col("hashes"))).drop("hashes")
+    # Sorted here, where their type tells that none is null, they are sorted as plain longs and once for all.
+    return settled(hashed, "tokens", F.sort_array(shingles(F.col("hashes")))).drop("hashes")
 
 
 def rarity_classes(tokens: DataFrame) -> list[int]:
@@ -92,14 +95,20 @@ def rarity_keys(tokens: Column, classes: list[int]) -> Column:
 
 
 def prefixes(tokens: DataFrame, classes: list[int]) -> DataFrame:
-    """One row per prefix token: id, at, n (tokens of the line), pos, key.
+    """One row per prefix token of lines with sorted tokens: id, at, n (tokens of the line), pos, key.
 
-    A key is the rarity class in the high bits and the token's hash below, so keys sort by rarity.
+    A key is the rarity class in the high bits and the token's hash below, so keys sort by rarity. The class of
+    most tokens is 0 and their key the token itself: a line whose first tokens are all such has them as its prefix.
     """
-    ordered = F.sort_array(rarity_keys(F.col("tokens"), classes))
     n = F.size("tokens")
     length = n - F.floor((n * NUM + DEN - 1) / DEN).cast("int") + 1
-    rows = tokens.select("id", "at", n.alias("n"), F.slice(ordered, F.lit(1), length).alias("keys"))
+    first = lambda keys: F.slice(keys, F.lit(1), length)
+    keys, frequent = first("tokens"), [b for b, c in enumerate(classes) if c]
+    if frequent:
+        ranked = first(F.sort_array(rarity_keys(F.col("tokens"), classes)))
+        some = F.exists(keys, lambda t: t.bitwiseAND(F.lit(SKETCH_BUCKETS - 1)).isin(frequent))
+        keys = F.when(some, ranked).otherwise(keys) if len(frequent) <= FEW_BUCKETS else ranked
+    rows = settled(tokens.select("id", "at", "tokens", n.alias("n")), "keys", keys)
     return rows.select("id", "at", "n", F.posexplode("keys").alias("pos", "key"))
 
 
@@ -149,9 +158,13 @@ def _verified(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
 def _copies(lines: DataFrame) -> DataFrame:
     """(id, at) of every line that equals an earlier one."""
     digests = staged(lines.select("id", "at", F.xxhash64("line").alias("h"), F.crc32(F.col("line").cast("binary")).alias("c")), "lines-digests")
-    first = digests.groupBy("h", "c").agg(F.min(F.struct("id", "at")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = digests.join(sized(staged(first.select("h", "c", "first"), "lines-firsts"), BROADCAST_DOCUMENTS), ["h", "c"]).filter(F.struct("id", "at") != F.col("first"))
-    return staged(again.select("id", "at").distinct(), "lines-copies")
+    # Counted first, in plain longs: the least place, a struct, is sought among repeated lines only.
+    repeated = staged(digests.groupBy("h", "c").count().filter("count > 1").select("h", "c"), "lines-repeated")
+    groups = repeated.count()
+    again = staged(digests.join(sized(repeated, count=groups), ["h", "c"]), "lines-again")
+    first = again.groupBy("h", "c").agg(F.min(F.struct("id", "at")).alias("first"))
+    later = again.join(sized(first, BROADCAST_DOCUMENTS, groups), ["h", "c"]).filter(F.struct("id", "at") != F.col("first"))
+    return staged(later.select("id", "at").distinct(), "lines-copies")
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
@@ -159,9 +172,10 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     lines = with_lines(docs.select("doc_id", "text"))
     copies = _copies(lines)
     tokens = staged(with_tokens(lines.join(sized(copies), ["id", "at"], "left_anti")), "lines-tokens")
-    held = staged(prefixes(tokens, rarity_classes(tokens)), "lines-prefixes")
-    shared = staged(held.groupBy("key").count().filter("count > 1").select("key"), "lines-keys")
-    held = staged(held.join(sized(shared), "key"), "lines-shared")
+    # Not staged: cutting prefixes off sorted tokens a second time costs less than writing and reading them.
+    cut = prefixes(tokens, rarity_classes(tokens))
+    shared = staged(cut.groupBy("key").count().filter("count > 1").select("key"), "lines-keys")
+    held = staged(cut.join(sized(shared), "key"), "lines-shared")
     some = sized(held.select("id", "at").distinct(), count=held.count())
     drawn = signatures(tokens.join(some, ["id", "at"], "left_semi"))
     held = held.join(staged(drawn, "lines-signatures"), ["id", "at"])
